@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, pii, quality, warc
 from .common import small_batches, table
 
 
@@ -43,9 +43,38 @@ FROM (
 """
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+g AS (SELECT *, row_number() OVER (PARTITION BY hex ORDER BY page_id NULLS LAST, url) AS k,
+             first_value(page_id) OVER (PARTITION BY hex ORDER BY page_id NULLS LAST, url) AS lead FROM p)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(8), lambda j: list_aggregate(list_transform([15, 10, 5, 0], lambda b:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(hex, CAST(5 * j + 1 AS INT), 5) AS INT) >> b) & 31) AS INT), 1)),
+    'string_agg', '')), 'string_agg', '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN lead END AS refers_to
+FROM g
+"""
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    return quality.assess(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
-    return {"op4_mixing": op4_mixing}
+    return {"op1_warc": op1_warc, "op4_mixing": op4_mixing, "op9_pii": op9_pii, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL}
+    return {"op1_warc": OP1_SQL, "op4_mixing": OP4_SQL}
