@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 #: Vectors shorter than this are divided by it, so that a zero vector stays zero.
 FLOOR = 1e-12
@@ -47,7 +48,7 @@ def crop_box(x: Column, y: Column, w: Column, h: Column, width: Column, height:
     return F.when((x1 - x0 >= 4) & (y1 - y0 >= 4), box)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def from_blob(blobs: pd.Series) -> pd.Series:
     """Little-endian 32-bit floats of a binary; trailing bytes are dropped."""
     import numpy as np
