@@ -84,20 +84,18 @@ def resolved(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     Only ids and digests are grouped; each payload is shuffled once, by its row's key.
     """
     pages = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    pages = pages.withColumn("digest", F.sha1("payload"))
-    key = ("page_id", "url", "digest")
-    ids = pages.groupBy(*key).agg(F.octet_length(F.first("payload")).alias("bytes"))
-    lead = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("page_id"), F.col("url").alias("url"))
+    pages = pages.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload"))
+    # one key for a row, so that nulls need no care and the join below leaves equal rows together
+    pages = pages.withColumn("key", F.sha1(F.concat(F.to_json(F.struct("page_id", "url")), F.col("digest")).cast("binary")))
+    ids = pages.groupBy("key", "page_id", "url", "digest", "bytes").agg(F.count("*").alias("rows"))
+    lead = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("page_id"), F.col("url").alias("url"), F.col("key").alias("key"))
     # written, so that both sides of the next join are plain and a hot digest is split at run time
-    groups = written(pages.groupBy("digest").agg(F.min(lead).alias("lead")), "payloads")
-    ids = ids.join(groups, "digest")
-    first = F.col("page_id").eqNullSafe(F.col("lead.page_id")) & F.col("url").eqNullSafe(F.col("lead.url"))
-    ids = ids.select(*key, (first | (F.col("bytes") < min_bytes)).alias("first"), (F.col("bytes") < min_bytes).alias("small"), F.col("lead.page_id").alias("lead_id"), F.col("lead.url").alias("lead_url"))
-    p, i = pages.alias("p"), ids.alias("i")
-    rows = p.join(i, F.col("p.page_id").eqNullSafe(F.col("i.page_id")) & F.col("p.url").eqNullSafe(F.col("i.url")) & (F.col("p.digest") == F.col("i.digest")))
-    rows = rows.select("p.page_id", "p.url", "p.digest", "payload", "first", "small", "lead_id", "lead_url")
-    # equal rows stand together after that join: one of them responds
-    again = Window.partitionBy("page_id", "url", "digest").orderBy("first")
+    groups = written(ids.groupBy("digest").agg(F.min(lead).alias("lead")), "payloads")
+    small = F.col("bytes") < min_bytes
+    ids = ids.join(groups, "digest").select("key", (F.col("key") == F.col("lead.key")).alias("first"), small.alias("small"), F.col("lead.page_id").alias("lead_id"), F.col("lead.url").alias("lead_url"))
+    # payloads are shuffled once, by key; equal rows stand together then and one of them responds
+    rows = pages.drop("digest", "bytes").join(ids, "key")
+    again = Window.partitionBy("key").orderBy("first")
     rows = rows.withColumn("is_response", F.col("small") | (F.col("first") & (F.row_number().over(again) == 1)))
     return rows.select("page_id", "url", "payload", "is_response", F.when(~F.col("is_response"), F.col("lead_id")).alias("refers_to"), F.when(~F.col("is_response"), F.col("lead_url")).alias("refers_url"))
 
