@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,16 +24,20 @@ def _group(text: Column, pattern: str, k: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
 
 
-def _number(text: Column, pattern: str, k: int) -> Column:
-    return _group(text, pattern, k).try_cast("int")
+def _with(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once, however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def _timestamp(text: Column, pattern: str, time: bool) -> Column:
     """The first match as a timestamp without zone; NULL unless every part is in range (a second of 60 is not)."""
-    y, m, d = (_number(text, pattern, k) for k in (1, 2, 3))
-    h, mi, s = (F.coalesce(_number(text, pattern, k), F.lit(0)) for k in (4, 5, 6)) if time else (F.lit(0),) * 3
-    made = F.try_make_timestamp_ntz(y, m, d, h, mi, s.cast("decimal(16,6)"))
-    return F.when((y >= 1) & (h < 24) & (mi < 60) & (s < 60), made)
+    parts = F.array(*(_group(text, pattern, k).try_cast("int") for k in range(1, 7 if time else 4)))
+
+    def made(p: Column) -> Column:
+        h, mi, s = (F.coalesce(p[k], F.lit(0)) for k in (3, 4, 5)) if time else (F.lit(0),) * 3
+        return F.when((p[0] >= 1) & (s < 60), F.try_make_timestamp_ntz(p[0], p[1], p[2], h, mi, s.cast("decimal(16,6)")))
+
+    return _with(parts, made)
 
 
 def rect(xml: Column) -> Column:
