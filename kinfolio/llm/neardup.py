@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, written
+from .common import written
 from .components import components
 
 #: Rows of a band; a pair at the threshold goes unseen by all bands with at most this probability.
@@ -20,6 +20,10 @@ ROWS, MISS = 5, 1e-8
 SKETCH_WORDS = 8
 #: Words whose hashes a Python worker remembers.
 CACHE = 1 << 20
+#: Rounds of pairs with hubs at most, and pairs across components a bucket member may leave to the last round.
+ROUNDS, PAIRS_A_MEMBER = 2, 2
+#: Ids that are sent to every task, 8 bytes each.
+BROADCAST_IDS = 500_000
 #: Elements of a block of hash values.
 BLOCK = 1 << 22
 
@@ -140,17 +144,19 @@ def sketched(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     return pairs.where(near & sizes).drop("sa", "sb", "na", "nb")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, similarity: float, broadcast_ids: int = 500_000) -> DataFrame:
-    """``pairs(a, b)`` of which 100 * intersection >= 100 * similarity * union holds on the whole sets, written.
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, text (binary) of the given documents. At most BROADCAST_IDS ids are sent to every task, more are joined."""
+    ids = written(ids, "ids")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
-    Only texts that stand in a pair are shuffled: their ids are broadcast if at most ``broadcast_ids``, else joined.
-    """
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``pairs(a, b)`` of which 100 * intersection >= 100 * similarity * union holds on the whole sets, written."""
     percent = round(100 * similarity)
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "paired")
-    few = ids.count() <= broadcast_ids
     # a class representative is the smallest id of its set; of repeated rows with that id any text has a set of its own,
     # so the pair holds if it holds for one of them
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    texts = texts_of(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), docs)
     rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,13 +183,15 @@ def link(docs: DataFrame, *, width: int = 3, similarity: float = 0.85) -> DataFr
     1. Rows with the same set are one class; its smallest doc_id represents it from here on.
     2. A class meets others in band buckets. Each bucket has a hub, by hash; each class goes with the hub whose odd sketch
        is nearest among its buckets', so a group of any size yields one pair a class. Confirmed pairs are joined.
-    3. Again with other hubs, of other components only, while a round still joins many classes.
-    4. In the buckets that still hold several components every pair across components whose sketches allow the
-       similarity is confirmed, so no link between different components is lost to the shortcuts of steps 2 and 3.
+    3. In buckets that still hold several components, members go that have too few shingles in common with other components
+       for any link to them (see :func:`peeled`); while many pairs are left, steps 2 and 3 follow again with other hubs.
+    4. Every pair across components that is left and whose sketches allow the similarity is confirmed, so no link between
+       different components is lost to the shortcuts of steps 2 and 3.
 
     Null and empty texts have 0 shingles and no links. A null doc_id links with nothing: its component_id is null and it
     is kept. Repeated doc_ids are one document with the sets of all its rows.
     """
+    percent = round(100 * similarity)
     sig = written(signatures(docs, width, similarity), "signatures")
     filled = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
@@ -193,49 +201,159 @@ def link(docs: DataFrame, *, width: int = 3, similarity: float = 0.85) -> DataFr
     buckets = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     members = written(rows.join(written(buckets, "buckets").select("key"), "key").distinct(), "members")
     near = written(reps.drop("bands").join(members.select("rep").distinct(), "rep", "left_semi"), "near")
-    links, tested = None, None
-    comp = None
-    for turn in range(3):
-        placed = with_component(members, comp)
-        hubs = written(placed.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", "key", F.lit(turn))).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high"), "hubs")
-        pairs = placed.join(hubs.select("key", "hub"), "key").where("rep <> hub")
-        pairs = pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), "rep", "comp").distinct()
+    placed, tested, comp, sets = members.select("key", "rep", F.col("rep").alias("comp"), F.lit(0).cast("long").alias("cross"), F.lit(1).cast("long").alias("size")), None, None, None
+    for turn in range(ROUNDS):
+        # pairs across components of each bucket, counted without pairing; its hub is of its largest component, and there
+        # the member that has the most in common with others
+        counts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max_by("rep", F.struct(F.col("cross") / F.col("size"), F.xxhash64("rep", "key"))).alias("hub"))
+        counts = counts.groupBy("key").agg(F.max_by("hub", F.struct("n", F.xxhash64("hub", "key"))).alias("hub"), F.count("*").alias("comps"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), F.sum("n").alias("n"))
+        hubs = written(counts.where("comps > 1"), "hubs")
+        left = hubs.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+        if not left.pairs or turn and left.pairs <= PAIRS_A_MEMBER * left.rows:
+            break
+        met = placed.join(hubs.select("key", "hub"), "key").where("rep <> hub").select("rep", "comp", "hub").distinct()
         if comp is not None:
-            pairs = pairs.join(comp.select(F.col("node").alias("hub"), F.col("component").alias("hub_comp")), F.when(F.col("a") == F.col("rep"), F.col("b")).otherwise(F.col("a")) == F.col("hub"), "left")
-            pairs = pairs.where(F.coalesce("hub_comp", F.when(F.col("a") == F.col("rep"), F.col("b")).otherwise(F.col("a"))) != F.col("comp")).drop("hub", "hub_comp")
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        best = sketched(pairs, near, similarity).groupBy("rep").agg(F.min_by(F.struct("a", "b"), F.struct("bits", "a", "b")).alias("p"))
+            met = met.join(comp.select(F.col("node").alias("hub"), F.col("component").alias("hub_comp")), "hub", "left").where(F.coalesce("hub_comp", "hub") != F.col("comp"))
+        met = met.select("rep", F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+        if tested is not None:
+            met = met.join(tested, ["a", "b"], "left_anti")
+        best = sketched(met, near, similarity).groupBy("rep").agg(F.min_by(F.struct("a", "b"), F.struct("bits", "a", "b")).alias("p"))
         chosen = written(best.select("p.a", "p.b").distinct(), "chosen")
-        tested = chosen if tested is None else written(tested.unionByName(chosen), "tested")
-        found = confirmed(chosen, docs, width, similarity)
-        n_found, n_chosen = found.count(), chosen.count()
-        links = found if links is None else links.unionByName(found)
-        comp = components(links, "a", "b")
-        if n_found < 100 or 20 * n_found < n_chosen:
-            break
-    placed = with_component(members, comp)
-    open_ = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    placed = written(placed.join(written(open_, "open"), "key"), "placed")
-    x, y = placed.alias("x"), placed.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")))
-    across = across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    rest = confirmed(written(sketched(across, near, similarity).select("a", "b"), "across"), docs, width, similarity)
-    if not rest.isEmpty():
-        comp = components(links.unionByName(rest), "a", "b")
+        tested = chosen if tested is None else tested.unionByName(chosen)
+        comp = merged(comp, confirmed(chosen, docs, width, similarity))
+        placed = written(still_open(with_component(placed.select("key", "rep"), comp)), "placed")
+        if sets is None:
+            sets = shingle_rows(placed.select("rep").distinct(), docs, width)
+        placed = written(still_open(peeled(placed, near, sets, similarity)), "placed")
+    if left.pairs and sets is not None:
+        sided, held, pivots, own, pivot = around_pivots(placed, sets, percent)
+        beside = held.join(pivots.select("giant", F.col("rep").alias("pivot"), F.col("size").alias("pivot_size")), "giant")
+        beside = beside.where(100 * F.col("base") >= percent * (F.col("size") + F.col("pivot_size") - F.col("base")))
+        found = confirmed(written(beside.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), "rep", "giant").distinct(), "beside"), docs, width, similarity)
+        comp = merged(comp, found)
+        joined = beside.select("rep", "giant", F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct().join(found, ["a", "b"]).select("rep", "giant")
+        across = across_pairs(sided, held, written(held.join(joined, ["rep", "giant"], "left_anti"), "apart"), sets, own, pivot, percent)
+        across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        comp = merged(comp, confirmed(written(sketched(across, near, similarity).select("a", "b"), "across"), docs, width, similarity))
+    if comp is None:
+        comp = reps.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
     # repeated doc_ids with different sets hang together through their doc_id
     out = sig.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
     out = out.withColumn("node", F.coalesce("rep", "doc_id")).join(comp.withColumnRenamed("component", "linked"), "node", "left")
     out = out.withColumn("component_id", F.coalesce("linked", "node"))
-    repeated = filled.groupBy("doc_id").agg(F.count_distinct("digest").alias("sets")).where("sets > 1")
+    repeated = written(filled.groupBy("doc_id").agg(F.count_distinct("digest").alias("sets")).where("sets > 1").select("doc_id"), "repeated")
     if not repeated.isEmpty():
-        ties = out.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
-        comp = components(links.unionByName(rest).unionByName(ties), "a", "b")
+        ties = out.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+        comp = merged(comp, ties)
         out = out.drop("linked", "component_id").join(comp.withColumnRenamed("component", "linked"), "node", "left").withColumn("component_id", F.coalesce("linked", "node"))
-    for used in (members, near):
-        remove(docs.sparkSession, used)
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def still_open(placed: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components."""
+    several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    return placed.join(several, "key", "left_semi")
+
+
+def shingle_rows(reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """rep, shingle of the given classes, written."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache: dict[bytes, int] = {}
+        for pdf in batches:
+            yield pd.DataFrame({"rep": pdf["doc_id"], "shingles": [shingles(t, width, cache).view(np.int64) for t in pdf["text"]]})
+
+    found = texts_of(reps.select(F.col("rep").alias("doc_id")), docs).mapInPandas(run, "rep long, shingles array<long>")
+    return written(found.select("rep", F.explode("shingles").alias("shingle")), "shingles")
+
+
+def peeled(placed: DataFrame, near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``placed(key, rep, comp)`` without the members that can have no link to another component of their bucket, with
+    ``cross``, the shingles in common with other components, and ``size``.
+
+    A link needs an intersection of t / (1 + t) times both sizes together, and the other size is at least the smallest of
+    the bucket. Only shingles that stand in two components can be in it, so a member with fewer of those goes. An edited
+    copy has shingles of its own and goes by this count, without being compared with its group; no link is lost.
+    """
+    own = sets.join(placed.select("rep", "comp").distinct(), "rep")
+    shared = own.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("shingle")
+    cross = own.join(written(shared, "shared"), "shingle", "left_semi").groupBy("rep").agg(F.count_distinct("shingle").alias("cross"))
+    size = near.groupBy("rep").agg(F.min("n_shingles").alias("size"))
+    rows = placed.select("key", "rep", "comp").join(cross, "rep").join(size.withColumn("size", F.col("size").cast("long")), "rep")
+    least = written(rows.groupBy("key").agg(F.min("size").alias("least")), "smallest")
+    t = round(100 * similarity)
+    other = F.greatest(F.col("least").cast("double"), F.col("size") * t / 100)
+    return rows.join(least, "key").where(F.col("cross") * (100 + t) >= t * (F.col("size") + other) - 1e-6).select("key", "rep", "comp", "cross", "size")
+
+
+def pairs_of(left: DataFrame, right: DataFrame, common: Column) -> DataFrame:
+    """a, b of different components that share a bucket and for which ``common`` (of x and y) holds."""
+    x, y = left.alias("x"), right.alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & common)
+    return met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+
+
+def around_pivots(placed: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, ...]:
+    """The rows of ``placed`` with their bucket's largest component, ``giant``, and what is known of the rows outside it.
+
+    One member of a giant is its pivot. Returns the rows, the rows outside with ``base`` (shingles in common with the pivot),
+    the pivots, the shingles of the members outside with whether the pivot holds them, and the pivots' shingles.
+    """
+    n = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    largest = written(n.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("giant")), "largest")
+    sided = written(placed.join(largest, "key"), "sided")
+    inside, outside = sided.where("comp = giant"), sided.where("comp <> giant")
+    central = F.struct(F.col("cross") / F.col("size"), "size", "rep")
+    pivots = written(inside.groupBy("giant").agg(F.max_by(F.struct("rep", "size"), central).alias("p")).select("giant", "p.rep", "p.size"), "pivots")
+    pivot = written(sets.join(pivots, "rep").select("giant", "shingle", F.lit(True).alias("held")), "pivot-sets")
+    own = written(sets.join(outside.select("rep", "giant").distinct(), "rep").join(pivot, ["giant", "shingle"], "left"), "own")
+    base = own.groupBy("rep", "giant").agg(F.count_if(F.col("held")).alias("base"))
+    return sided, written(outside.join(base, ["rep", "giant"]), "held"), pivots, own, pivot
+
+
+def across_pairs(sided: DataFrame, held: DataFrame, apart: DataFrame, sets: DataFrame, own: DataFrame, pivot: DataFrame, percent: int) -> DataFrame:
+    """a, b of different components whose shingles allow a link. ``held`` are the rows outside their bucket's largest
+    component, ``apart`` those of them that have no link to its pivot.
+
+    A bucket's largest component may be very large, and what is outside must not meet all of it. For B outside and C
+    inside, |B & C| <= |B & pivot| + |(B - pivot) & C|. So B meets those C small enough for the first term, and those that
+    share enough of what B has besides: they are found by a join on those shingles, which are few and rare. Two members
+    outside meet by the same rule. The bound holds for any pivot, so no link is lost.
+    """
+    inside = sided.where("comp = giant")
+    sizes = F.col("x.size") + F.col("y.size")
+    enough = (100 + percent) * F.least("x.cross", "y.cross") >= percent * sizes
+    first = pairs_of(apart, inside.join(apart.select("key").distinct(), "key", "left_semi"), enough & ((100 + percent) * F.col("x.base") >= percent * sizes))
+    members = inside.select("rep", "giant", "size").distinct()
+    besides = sets.join(members, "rep").join(pivot, ["giant", "shingle"], "left_anti").select(F.col("rep").alias("b"), "giant", "shingle", F.col("size").alias("b_size"))
+    mine = own.where("held IS NULL").join(apart.select("rep", "giant", "size", "base").distinct(), ["rep", "giant"])
+    common = mine.join(besides, ["giant", "shingle"]).groupBy("rep", "b", "size", "b_size", "base").agg(F.count("*").alias("m"))
+    second = common.where((100 + percent) * (F.col("base") + F.col("m")) >= percent * (F.col("size") + F.col("b_size"))).select(F.col("rep").alias("a"), "b")
+    third = pairs_of(held, held, enough & (F.col("x.rep") < F.col("y.rep")) & ((100 + percent) * F.least("x.base", "y.base") >= percent * sizes))
+    theirs = own.where("held IS NULL").join(held.select("rep", "giant", "comp", "size", "base").distinct(), ["rep", "giant"])
+    x, y = theirs.alias("x"), theirs.alias("y")
+    both = x.join(y, (F.col("x.giant") == F.col("y.giant")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")))
+    both = both.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), sizes.alias("sizes"), F.least("x.base", "y.base").alias("base")).agg(F.count("*").alias("m"))
+    fourth = both.where((100 + percent) * (F.col("base") + F.col("m")) >= percent * F.col("sizes")).select("a", "b")
+    return first.unionByName(second).unionByName(third).unionByName(fourth)
+
+
+def merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) of what ``comp`` joins already and ``links(a, b)`` join besides: only components are linked anew."""
+    if comp is None:
+        return components(links, "a", "b")
+    a, b = (comp.select(F.col("node").alias(x), F.col("component").alias(f"{x}_comp")) for x in ("a", "b"))
+    ends = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    above = components(ends, "a", "b")
+    if above.isEmpty():
+        return comp
+    up = above.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    moved = comp.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    new = above.join(comp.select("node"), "node", "left_anti")
+    return written(moved.unionByName(new), "components")
+
+
 def with_component(members: DataFrame, comp: DataFrame | None) -> DataFrame:
     """``members(key, rep)`` with ``comp``: the component of a class, or itself."""
     if comp is None:
