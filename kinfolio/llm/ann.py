@@ -16,6 +16,8 @@ from .common import bounded_ids, written
 LIST_ROWS, SAMPLE_ROWS, ROWS_A_CENTROID = 256, 20_000, 16
 #: A vector stands in at most so many lists, and in those whose centroid is at most so much farther than the nearest.
 REPLICAS, BOUNDARY = 4, 1.1
+#: Rows that walk the graph together: their neighbours' vectors are in memory at once.
+WALK_ROWS = 256
 #: Rows of a block of a list, and of the queries that meet it.
 BLOCK_ROWS = 4096
 
@@ -42,7 +44,12 @@ class Lists:
     ratio: float
 
     def search(self, x: np.ndarray, beam: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """The ``beam`` nearest centroids found of each row of ``x``, nearest first, and their distances.
+        """The ``beam`` nearest centroids found of each row of ``x``, nearest first, and their distances."""
+        parts = [self._walk(x[a : a + WALK_ROWS], beam, wide) for a in range(0, len(x), WALK_ROWS)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _walk(self, x: np.ndarray, beam: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+        """One block of rows of :meth:`search`.
 
         A best-first walk of the graph by all rows at once: each step opens the ``wide`` nearest centroids of a row's beam
         that are not open yet, until a row's whole beam is open.

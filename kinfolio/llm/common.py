@@ -56,5 +56,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_ids(rows: DataFrame, key: str, limit: int, seed: int) -> DataFrame:
-    """At most ``limit`` rows in seeded hash order, so that the choice is the same in every run."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(limit)
+    """At most ``limit`` rows in seeded hash order, so that the choice is the same in every run.
+
+    They are written: collected at once, every partition would send its own first ``limit`` rows to the driver.
+    """
+    return written(rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(limit), "sample")
