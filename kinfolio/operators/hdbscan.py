@@ -111,8 +111,8 @@ def spanning_tree(x: np.ndarray, core: np.ndarray) -> np.ndarray:
 def labels(x: np.ndarray, core: np.ndarray, min_cluster_size: int, epsilon: float, birth: float | None) -> np.ndarray:
     """Cluster of each point, -1 for noise, by excess of mass. ``birth``: lambda of the root if it may be a cluster."""
     n = len(x)
-    if n < 2:
-        return np.full(n, 0 if birth is not None and n >= min_cluster_size else -1)
+    if n < max(2, min_cluster_size):
+        return np.full(n, -1)
     edges = spanning_tree(x, core)
     # the dendrogram: node n + k joins the two trees of edge k
     parent, top = np.arange(2 * n - 1), list(range(n))
