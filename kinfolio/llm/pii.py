@@ -26,7 +26,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 DIGITS = re.compile(r"[0-9]+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"[A-Za-z0-9._~:/?#@!$&'()*+,;=%\[\]-]+")
-ACCOUNT = re.compile(r"[\x20]?(?:number|no|nr)?[.:#=\x20]{1,3}([A-Za-z0-9](?:[\x20-]?[A-Za-z0-9])*)")
+ACCOUNT = re.compile(r"[\x20]?(?:number|no|nr)?[.:#=\x20]{1,3}([A-Za-z0-9](?:[\x20-]?[A-Za-z0-9]){0,47})")
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -107,17 +107,18 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int
         elif at >= account_from and (at == 0 or not text[at - 1].isalnum()):
             m = ACCOUNT.match(text, last + 1)
             if m:
-                # the longest lead of the blank-separated groups that is a valid number
+                # the longest lead of the blank-separated groups that is a valid number; a group that goes on is left out
                 value, end = m.group(1), m.end()
-                for _ in range(8):
-                    if account(value):
+                whole = text[end : end + 1] == "" or not (text[end].isascii() and text[end].isalnum())
+                while True:
+                    if whole and account(value):
                         out["account"].append(("account", m.start(1), end))
                         account_from = end
                         break
                     cut = max(value.rfind(" "), value.rfind("-"))
                     if cut < 1:
                         break
-                    value, end = value[:cut], m.start(1) + cut
+                    value, end, whole = value[:cut], m.start(1) + cut, True
     return [s for k in KINDS for s in out[k]]
 
 

@@ -62,3 +62,11 @@ def test_redact(spark):
     assert out[1].text == "to [EMAIL], call [PHONE]!" and out[1].n_chars == len(out[1].text)
     assert out[2].text is None and out[2].n_chars == 7
     assert pii.redact(df).columns == df.columns
+
+
+def test_account_before_many_words():
+    anchors = pii.automaton()
+    number = "DE89 3704 0044 0532 0130 00"
+    text = f"iban {number} " + "a b c d e f g h " * 200
+    assert [text[a:b] for k, a, b in pii.spans(text, anchors) if k == "account"] == [number]
+    assert not [s for s in pii.spans("account " + "x" * 500 + "1", anchors) if s[0] == "account"]
