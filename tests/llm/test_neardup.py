@@ -79,11 +79,15 @@ def test_odd_sketch_follows_similarity():
     base = rng.integers(0, 1 << 63, 1000).astype(np.uint64)
     bits = []
     for share in (1.0, 0.95, 0.7, 0.3, 0.0):
-        other = np.concatenate([base[: int(1000 * share)], rng.integers(0, 1 << 63, 1000 - int(1000 * share)).astype(np.uint64)])
-        a, b = (neardup.odd_sketch(neardup.minhash(np.unique(h), x, f)) for h in (base, other))
-        bits.append(sum(int(v).bit_count() for v in (a ^ b).view(np.uint64)))
-    assert bits[0] == 0 and bits == sorted(bits)
-    assert bits[1] <= neardup.most_bits(0.85, len(x)) < bits[4]
+        drawn = []
+        for _ in range(20):  # one draw strays by about ten bits, as much as the least similar pairs lie apart
+            other = np.concatenate([base[: int(1000 * share)], rng.integers(0, 1 << 63, 1000 - int(1000 * share)).astype(np.uint64)])
+            a, b = (neardup.odd_sketch(neardup.minhash(np.unique(h), x, f)) for h in (base, other))
+            drawn.append(sum(int(v).bit_count() for v in (a ^ b).view(np.uint64)))
+        bits.append(drawn)
+    means = [np.mean(d) for d in bits]
+    assert means[0] == 0 and means == sorted(means)
+    assert max(bits[1]) <= neardup.most_bits(0.85, len(x)) < min(bits[4])
 
 
 def test_minhash_blocks_agree(monkeypatch):
