@@ -15,19 +15,56 @@ from pyspark.sql import functions as F
 
 from .common import bounded_ids, written
 
-#: Candidates: runs of the characters keys are made of.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,512}={0,2}(?![A-Za-z0-9+/_=-])")
 #: Words beside a candidate that name a secret, or a harmless value.
 SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "auth", "bearer", "credential", "private")
 BENIGN_WORDS = ("sha", "sha1", "sha256", "md5", "checksum", "commit", "digest", "uuid", "id", "hash", "etag", "revision", "example", "placeholder", "page", "integrity")
 #: Published prefixes of issued keys.
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "glpat-", "sk_live_", "rk_live_", "xoxb-", "xoxp-", "AIza", "ya29.", "eyJ", "SG.")
+#: Secret words that may end a longer name, as in ``db_password`` or ``clientSecret``.
+ENDINGS = ("token", "secret", "password", "passwd", "pwd", "apikey", "_key", "-key", "credential", "credentials", "accesskey", "privatekey")
 FEATURES = (
     "length", "entropy", "transitions", "digit_share", "upper_share", "lower_share", "vowel_share", "bigram", "dictionary",
     "hex_only", "quoted", "assigned", "secret_word", "benign_word", "prefix", "path_word", "path_test",
 )
 #: Characters read on either side.
 AROUND = 48
+#: Whole runs of the characters keys are made of. A run is read once: it is possessive and begins where no other run ends.
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+#: Tokens that hold dots or are known by their prefix; a dot that ends a sentence is none of theirs.
+ISSUED = re.compile(r"(?<![A-Za-z0-9+/_.-])(?:" + "|".join(map(re.escape, PREFIXES)) + r")(?:[A-Za-z0-9+/_-]|\.(?=[A-Za-z0-9+/_-])){8,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+#: A name and what assigns to it; whether the name holds a secret word is looked up.
+LEAD = re.compile(r"(?<![\w-])([\w-]++)[\"'\]]{0,2}[\x20\t]*+(?:=>|:=|={1,3}|:)[\x20\t]*+(?:(?i:bearer|basic|token)[\x20\t]++)?")
+NAMES = re.compile("|".join(SECRET_WORDS), re.I)
+#: Assigned values: in quotes, or up to a blank or quote without the punctuation behind.
+IN_QUOTES = {q: re.compile(rf"(?:[^{q}\\\r\n]|\\.){{8,}}+(?={q})") for q in "\"'`"}
+BARE = re.compile(r"[^\s\"'`]{7,}[^\s\"'`.,;:!?)\]}>]")
+
+
+class Candidates:
+    """What can be a secret: runs of 16 key characters or more, issued tokens, and values of 8 characters or more that are
+    assigned to a name with a secret word. None has a largest length."""
+
+    @staticmethod
+    def assigned(text: str) -> Iterator[re.Match[str]]:
+        upto = 0
+        for m in LEAD.finditer(text):
+            at = m.end()
+            if at < upto or not NAMES.search(m.group(1)):
+                continue
+            quote = text[at : at + 1]
+            value = IN_QUOTES[quote].match(text, at + 1) if quote in IN_QUOTES else None
+            value = value or BARE.match(text, at + (quote in IN_QUOTES))
+            if value:
+                upto = value.end()
+                yield value
+
+    def finditer(self, text: str) -> list[re.Match[str]]:
+        """Matches in order, each span once. A value and a run inside it are both candidates."""
+        found = {m.span(): m for ways in (RUN.finditer(text), ISSUED.finditer(text), self.assigned(text)) for m in ways}
+        return [found[span] for span in sorted(found)]
+
+
+CANDIDATE = Candidates()
 SYLLABLES = re.compile(r"[bcdfghjklmnpqrstvwxz]{0,3}[aeiouy]+[bcdfghjklmnpqrstvwxz]{0,2}")
 
 
@@ -85,7 +122,7 @@ def features(s: str, before: str, after: str, path: str, lang: Language) -> list
         min(n, 256), -sum(k / n * math.log2(k / n) for k in counts.values()), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1),
         kinds.count(0) / n, kinds.count(1) / n, kinds.count(2) / n, vowels / n, lang.likelihood(s), lang.coverage(s),
         float(re.fullmatch(r"[0-9a-fA-F]+", s) is not None), float(before[-1:] in "\"'" and before[-1:] != ""), float(re.search(r"[:=]\s*[\"']?$", before[-6:]) is not None),
-        float(any(w in SECRET_WORDS or w.endswith(("_key", "_token", "_secret")) for w in lead)), float(any(w in BENIGN_WORDS for w in lead)), float(s.startswith(PREFIXES)),
+        float(any(w in SECRET_WORDS or w.endswith(ENDINGS) for w in lead)), float(any(w in BENIGN_WORDS for w in lead)), float(s.startswith(PREFIXES)),
         float(any(w in ("env", "config", "secret", "secrets", "credentials", "settings") for w in where)), float(any(w in ("test", "tests", "example", "examples", "docs", "fixture", "fixtures") for w in where) or any(w in ("example", "dummy", "fake") for w in near)),
     ]
 
@@ -171,7 +208,8 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def labelled(seed: int = 1, n: int = 3000) -> pd.DataFrame:
     """Labelled findings (value, before, after, path, label), generated: issued-looking keys in the places people leave
-    them, and what scanners wrongly report: digests, identifiers, paths, long words, placeholders."""
+    them, and what scanners wrongly report: digests, identifiers, paths, long words, placeholders. Behind the ``n`` of these
+    stand half as many short, long and dotted ones."""
     rng = np.random.default_rng(seed)
     alpha = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     some = lambda letters, k: "".join(letters[i] for i in rng.integers(0, len(letters), k))
@@ -195,6 +233,29 @@ def labelled(seed: int = 1, n: int = 3000) -> pd.DataFrame:
                 ("/".join(pick(parts) + pick(parts) for _ in range(4)), pick(("see ", "path: ", "in "))), (some("0123456789", int(rng.integers(16, 20))), pick(parts) + " "),
             )[case]
             rows.append((value, f"{pick(parts)} {before}", " " + pick(parts), pick(("tests/data.py", "docs/readme.md", "", "src4", "yarn.lock")), 0))
+    # passwords, long keys and dotted tokens, and the ordinary values that stand in the same places
+    word = lambda k: "".join(pick(parts) for _ in range(k))
+    for k in range(n // 2):
+        name = pick(("token", "api_key", "secret", "password", "db_password", "passwd", "pwd", "client_secret", "PASSWORD", "private_key", "credential", "auth"))
+        before = f"{pick(parts)} {name}{pick((' = ', '=', ': '))}"
+        if k % 2:
+            mixed = word(int(rng.integers(1, 3))).capitalize()
+            value = (
+                some(alpha + "!@#$%^&*", int(rng.integers(8, 16))), f"{mixed[:2]}{some('0123456789', 1)}{mixed[2:]}{some('0123456789!@#$', int(rng.integers(3, 6)))}", some(alpha + "0123456789", int(rng.integers(8, 16))),
+                some(alpha + "+/", int(rng.integers(500, 2500))) + pick(("", "=", "==")), some(alpha, int(rng.integers(500, 1500))),
+                f"eyJ{some(alpha, 33)}.eyJ{some(alpha + '_-', int(rng.integers(40, 800)))}.{some(alpha + '_-', 43)}", f"SG.{some(alpha, 22)}.{some(alpha + '_-', 43)}", "ya29." + some(alpha + "_-", int(rng.integers(40, 200))),
+            )[int(rng.integers(0, 8))]
+            q = pick(('"', "'", "", '"'))
+            if len(value) > 15 and not k % 5:
+                before, q = f"{pick(parts)} ", ""
+                value = value if value.startswith(PREFIXES) else pick(PREFIXES[:9]) + value[:40]
+            rows.append((value, before + q, q + " " + pick(parts), pick(("src/settings.py", "config/prod.env", "", "src4", "app/secrets.yml")), 1))
+        else:
+            value, q = (
+                (word(int(rng.integers(3, 5))), ""), (word(4).capitalize(), ""), (word(2) + " " + word(2) + " " + word(1), '"'), (pick(("required", "undefined", "optional", "changeme", "your_password", "<password>", "string,null", "os.environ", "********", "${PASSWORD}", "xxxxxxxx", "not_provided")), pick(('"', ""))),
+                (pick("x=-_a0") * int(rng.integers(16, 3000)), ""), ("/".join(word(2) for _ in range(int(rng.integers(4, 60)))), ""), (".".join(word(2) for _ in range(3)), ""), ("-".join(word(2) for _ in range(4)), ""),
+            )[int(rng.integers(0, 8))]
+            rows.append((value, (before if len(value) < 60 else f"{pick(parts)} ") + q, q + " " + pick(parts), pick(("tests/data.py", "docs/readme.md", "", "src4", "src/settings.py")), 0))
     return pd.DataFrame(rows, columns=["value", "before", "after", "path", "label"])
 
 

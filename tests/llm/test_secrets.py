@@ -47,3 +47,26 @@ def test_forest_walk_equals_plain():
 
     assert np.allclose(f.score(x), [walk(r) for r in x])
     assert ((f.score(x) > 0.5) == (y == 1)).mean() > 0.95
+
+
+def test_long_short_and_dotted_secrets(spark):
+    rng = np.random.default_rng(6)
+    some = lambda k, more="": "".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789" + more), k))
+    values = {
+        1: (f'token = "{(v := some(600))}" end', v), 2: (f'private_key: "{(v := some(1700, "+/") + "==")}"', v), 3: ('password = "Tr0ub4dor3" x', "Tr0ub4dor3"),
+        4: (f"key SG.{(v := some(22) + '.' + some(43))}.", "SG." + v), 5: (f"see ya29.{(v := some(60))} here", "ya29." + v),
+        6: (f"Authorization: Bearer {(v := 'eyJ' + some(30) + '.eyJ' + some(700) + '.' + some(43))}", v), 7: (f"DB_PASSWORD={(v := some(40))}", v),
+    }
+    plain = {11: "the key: understanding what people want", 12: "password: required, token: optional", 13: "-" * 3000, 14: "word/" * 400}
+    docs = spark.createDataFrame([*((i, t, "src1", "") for i, (t, _) in values.items()), *((i, t, "src1", "") for i, t in plain.items())], DOCS)
+    lang = secrets.language(docs)
+    out = secrets.scan(docs, secrets.train(spark.createDataFrame(secrets.labelled()), lang), lang).collect()
+    reported = {(r.doc_id, r.start, r.end) for r in out if r.reported}
+    for i, (t, v) in values.items():
+        assert (i, t.index(v), t.index(v) + len(v)) in reported, (i, t[:60])
+    assert not {i for i, *_ in reported} & set(plain)
+
+
+def test_candidates_take_linear_time():
+    for t in ("password=" * 100_000, "key: '" * 100_000, "a" * 1_000_000 + "===", "eyJ." * 200_000, "-_" * 300_000, 'token="' + "\\" * 300_000):
+        secrets.CANDIDATE.finditer(t)
