@@ -26,10 +26,11 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 DIGITS = re.compile(r"[0-9]+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"[A-Za-z0-9._~:/?#@!$&'()*+,;=%\[\]-]+")
-ACCOUNT = re.compile(r"[\x20]?(?:number|no|nr)?[.:#=\x20]{1,3}([A-Za-z0-9](?:[\x20-]?[A-Za-z0-9]){0,47})")
+ACCOUNT = re.compile(r"[\x20]?(?i:number|no|nr)?[.:#=\x20]{1,3}([A-Za-z0-9](?:[\x20-]?[A-Za-z0-9]){0,47})")
 
 
 def automaton() -> ahocorasick.Automaton:
+    """Anchors in lower case; it reads what :func:`lowered` gives."""
     found = ahocorasick.Automaton()
     for c in "0123456789":
         found.add_word(c, ("digit", 1))
@@ -37,12 +38,16 @@ def automaton() -> ahocorasick.Automaton:
     found.add_word("+", ("plus", 1))
     for kind, strings in (("scheme", SCHEMES), ("cue", CUES)):
         for s in strings:
-            for form in (s, s.upper(), s.capitalize()):
-                found.add_word(form, (kind, len(form)))
+            found.add_word(s, (kind, len(s)))
     found.make_automaton()
     return found
 
 
+def lowered(text: str) -> str:
+    """``text`` with A-Z alone in lower case, so that all offsets stay."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -72,7 +77,7 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int
     """
     out: dict[str, list[tuple[str, int, int]]] = {k: [] for k in KINDS}
     email_from = ip_from = card_from = url_from = account_from = 0
-    for last, (anchor, length) in anchors.iter(text):
+    for last, (anchor, length) in anchors.iter(lowered(text)):
         at = last - length + 1
         if anchor == "digit":
             if at >= card_from:

@@ -70,3 +70,19 @@ def test_account_before_many_words():
     text = f"iban {number} " + "a b c d e f g h " * 200
     assert [text[a:b] for k, a, b in pii.spans(text, anchors) if k == "account"] == [number]
     assert not [s for s in pii.spans("account " + "x" * 500 + "1", anchors) if s[0] == "account"]
+
+
+def test_labels_in_any_case():
+    number = {
+        "Account Number: 12345678": "12345678", "ACCOUNT NUMBER: 12345678": "12345678", "Passport No. A1234567": "A1234567", "PASSPORT NO A1234567": "A1234567",
+        "Social Security: 123-45-6789": "123-45-6789", "SOCIAL SECURITY NUMBER 123-45-6789": "123-45-6789", "Tax ID: 987654321": "987654321", "Driver License Nr: D12345678": "D12345678",
+    }
+    for lead in ("", "İé ẞ "):
+        for t, n in number.items():
+            assert [(lead + t)[a:b] for k, a, b in pii.spans(lead + t, A) if k == "account"] == [n], t
+    assert [s for s in pii.spans("Https://A.example/x HtTp://b.example", A) if s[0] == "url"] == [("url", 0, 19), ("url", 20, 36)]
+
+
+def test_redact_labels_in_any_case(spark):
+    df = spark.createDataFrame([(1, "Account Number: 12345678; Passport No. A1234567")], "doc_id long, text string")
+    assert pii.redact(df).first().text == "Account Number: [ACCOUNT]; Passport No. [ACCOUNT]"
