@@ -195,8 +195,9 @@ def link(docs: DataFrame, *, width: int = 3, similarity: float = 0.85) -> DataFr
     sig = written(signatures(docs, width, similarity), "signatures")
     filled = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
-    reps = filled.alias("s").join(classes.alias("c"), (F.col("s.digest") == F.col("c.digest")) & (F.col("s.doc_id") == F.col("c.rep"))).select("rep", "n_shingles", "bands", "sketch")
-    reps = reps.dropDuplicates(["rep", "n_shingles"])
+    reps = filled.alias("s").join(classes.alias("c"), (F.col("s.digest") == F.col("c.digest")) & (F.col("s.doc_id") == F.col("c.rep"))).select("rep", "s.digest", "n_shingles", "bands", "sketch")
+    # equal rows once; several sets of one doc_id all stay
+    reps = reps.dropDuplicates(["rep", "digest"]).drop("digest")
     rows = reps.select("rep", F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     members = written(rows.join(written(buckets, "buckets").select("key"), "key").distinct(), "members")

@@ -114,3 +114,12 @@ def test_stars(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     loops = {a for a, b in edges if a == b}
     assert all(got[v] == root(v) for v in up if v in got) and set(up) - set(got) <= loops
+
+
+def test_texts_of_one_id_and_equal_length_keep_their_near_copies(spark):
+    rows = []
+    for k in range(6):
+        a, b = ([f"{x}{k}w{j}" for j in range(60)] for x in "ab")
+        rows += [(10 * k, " ".join(a), ""), (10 * k, " ".join(b), ""), (10 * k + 1, " ".join([*a[:59], "end"]), ""), (10 * k + 2, " ".join([*b[:59], "end"]), "")]
+    got = {r.doc_id: r.component_id for r in neardup.link(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: i // 10 * 10 for i, *_ in rows}
