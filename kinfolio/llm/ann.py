@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -36,12 +36,16 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 @dataclass
 class Lists:
-    """Centroids of unit length, their neighbour graph, and the distance ratio up to which a query visits lists."""
+    """Centroids of unit length, their neighbour graph, and the distance ratio up to which a query visits lists.
+
+    ``held``: per list, results its vectors can give at least, each vector counted in its nearest list alone.
+    """
 
     centroids: np.ndarray
     graph: np.ndarray
     entries: np.ndarray
     ratio: float
+    held: np.ndarray | None = None
 
     def search(self, x: np.ndarray, beam: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """The ``beam`` nearest centroids found of each row of ``x``, nearest first, and their distances."""
@@ -104,19 +108,27 @@ class Lists:
             out.append(np.array(chosen))
         return out
 
-    def visits(self, x: np.ndarray) -> list[np.ndarray]:
+    def visits(self, x: np.ndarray, least: int = 0) -> list[np.ndarray]:
         """Lists a query visits: all whose centroid is at most ``ratio`` times as far as the nearest.
 
-        The beam doubles until its farthest list is beyond the ratio, so the ratio alone decides.
+        Where that and nearer lists hold no more than ``least`` (a query is no result of its own), the ratio counts from the
+        list with which they do; if all together hold too few, all are visited. The beam doubles until its farthest list is
+        beyond the ratio, so the ratio alone decides.
         """
         out: list[np.ndarray | None] = [None] * len(x)
         left, beam = np.arange(len(x)), 64
         while len(left):
             ids, d = self.search(x[left], beam)
-            inside = d <= self.ratio * np.maximum(d[:, :1], 1e-12)
+            real, reach, enough = np.isfinite(d), d[:, 0], np.ones(len(d), bool)
+            if self.held is not None:
+                more = np.cumsum(np.where(real, self.held[ids], 0), axis=1) > least
+                enough = more.any(axis=1)
+                reach = np.where(enough, d[np.arange(len(d)), more.argmax(axis=1)], np.inf)
+            inside = real & (d <= self.ratio * np.maximum(reach, 1e-12)[:, None])
             for row, near, ok in zip(left, ids, inside, strict=True):
                 out[row] = near[ok]
-            left, beam = (left[inside.all(axis=1)] if beam < len(self.centroids) else left[:0]), 2 * beam
+            go = inside.all(axis=1) | ~enough
+            left, beam = (left[go] if beam < len(self.centroids) else left[:0]), 2 * beam
         return out  # type: ignore[return-value]
 
 
@@ -208,15 +220,17 @@ def search(vectors: DataFrame, *, every: int = 50, k: int = 5) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows, n = rows.where(F.size("embedding") == lengths["dim"]), lengths["count"]
     sample = bounded_ids(rows, "vec_id", SAMPLE_ROWS, 3).toPandas().sort_values("vec_id")  # at most SAMPLE_ROWS vectors
-    lists = spark.sparkContext.broadcast(fit(stacked(sample["embedding"]), n))
+    lists = fit(stacked(sample["embedding"]), n)
+
+    def placed(lists: Lists, way: str, *more):
+        sent = spark.sparkContext.broadcast(lists)
 
-    def placed(way: str):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for a in range(0, len(pdf), 1000):
                     part = pdf.iloc[a : a + 1000]
                     x = stacked(part["embedding"])
-                    where = getattr(lists.value, way)(x / np.linalg.norm(x, axis=1, keepdims=True))
+                    where = getattr(sent.value, way)(x / np.linalg.norm(x, axis=1, keepdims=True), *more)
                     yield pd.DataFrame({"vec_id": part["vec_id"].values, "list": where, "embedding": part["embedding"].values})
 
         return run
@@ -224,8 +238,13 @@ def search(vectors: DataFrame, *, every: int = 50, k: int = 5) -> DataFrame:
     kind = "vec_id long, list array<int>, embedding array<double>"
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = rows.repartition(tasks, "vec_id")
-    posted = written(spread.mapInPandas(placed("places"), kind), "postings").select(F.explode("list").alias("list"), "vec_id", "embedding")
-    asked = written(spread.where(F.col("vec_id") % every == 0).mapInPandas(placed("visits"), kind), "visits").select(F.explode("list").alias("list"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    posted = written(spread.mapInPandas(placed(lists, "places"), kind), "postings")
+    # one row a list
+    first = posted.groupBy(F.element_at("list", 1).alias("list")).agg(F.count("*").alias("n")).toPandas()
+    held = np.zeros(len(lists.centroids), np.int64)
+    held[first["list"].to_numpy(int)] = first["n"]
+    posted = posted.select(F.explode("list").alias("list"), "vec_id", "embedding")
+    asked = written(spread.where(F.col("vec_id") % every == 0).mapInPandas(placed(replace(lists, held=held), "visits", k), kind), "visits").select(F.explode("list").alias("list"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     # one row a list: at most SAMPLE_ROWS / ROWS_A_CENTROID lists
     sizes = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("cuts"))
     loads = asked.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("lots"))

@@ -77,3 +77,24 @@ def test_blocks(spark, monkeypatch):
     whole = found(ann.search(df, every=10))
     monkeypatch.setattr(ann, "BLOCK_ROWS", 37)
     assert found(ann.search(df, every=10)) == whole
+
+
+def test_isolated_vectors_get_k_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_ROWS", 16)
+    rng = np.random.default_rng(11)
+    x = (np.eye(24)[rng.integers(0, 8, 1600)] + 0.05 * rng.normal(size=(1600, 24))).astype(np.float32)
+    for j in range(16):  # vectors in directions of their own
+        x[100 * j] = np.eye(24)[8 + j] + 0.01 * rng.normal(size=24)
+    df = spark.createDataFrame([(int(i), [float(t) for t in v], 0, "") for i, v in enumerate(x)], SCHEMA)
+    want, got = brute(np.arange(1600), x, 20, 5), found(ann.search(df, every=20))
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    alone = [100 * j for j in range(16)]
+    hits = sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in alone)
+    assert hits / (5 * len(alone)) >= 0.9
+
+
+def test_visits_hold_enough():
+    c = np.eye(6)
+    lists = ann.Lists(c, np.array([[(k + j) % 6 for j in range(1, 6)] for k in range(6)]), np.arange(6), 1.2, np.array([1, 2, 2, 2, 90, 3]))
+    assert len(lists.visits(c[:1], 5)[0]) == 6 and list(lists.visits(c[4:5], 5)[0]) == [4]
+    assert len(lists.visits(c[4:5], 1000)[0]) == 6
