@@ -20,6 +20,8 @@ REPLICAS, BOUNDARY = 4, 1.1
 WALK_ROWS = 256
 #: Rows of a block of a list, and of the queries that meet it.
 BLOCK_ROWS = 4096
+#: Pairs of a query and a vector whose components are in memory at once, besides one query's with a block.
+PAIRS = 1 << 16
 
 
 def norm(v: Column) -> Column:
@@ -179,26 +181,48 @@ def fit(sample: np.ndarray, rows: int, *, rounds: int = 10, degree: int = 16, re
     return lists
 
 
-def nearest(block: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score): per query the k nearest rows of the block, by cosine in doubles, ties to the smaller id.
+def first_k(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Rows that are among the first k of their ``q``, highest score first, ties to the smaller id."""
+    order = np.lexsort((ids, -score, q))
+    ranked = q[order]
+    first = np.r_[True, ranked[1:] != ranked[:-1]] if len(q) else np.zeros(0, bool)
+    rank = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0)) if len(q) else np.zeros(0, int)
+    return order[rank < k]
+
 
-    A matrix product finds what can be among them, up to rounding; each of those is then scored alike, row by row.
+def nearest(block: np.ndarray, members: list[np.ndarray], queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, score): per query its k nearest, by cosine in doubles, ties to the smaller id.
+
+    A row of the block stands for the equal vectors ``members``: ids in ascending order, k + 1 of them at most, as a query is
+    no neighbour of its own. A matrix product finds what can be among the nearest, up to rounding; each of those is then
+    scored alike, at most about PAIRS at a time, and the best k + 1 rows give their members.
     """
+    ids, size = np.array([m[0] for m in members]), np.array([len(m) for m in members])
+    start, flat = np.cumsum(size) - size, np.concatenate(members)
     bn, qn = np.sqrt(np.einsum("ij,ij->i", block, block)), np.sqrt(np.einsum("ij,ij->i", queries, queries))
     rough = (queries / qn[:, None]) @ (block / bn[:, None]).T
-    rough[query_ids[:, None] == ids[None, :]] = -np.inf
-    if rough.shape[1] > k:
-        bar = np.partition(rough, -k, axis=1)[:, -k]
+    rough[(query_ids[:, None] == ids[None, :]) & (size == 1)] = -np.inf
+    if rough.shape[1] > k + 1:
+        bar = np.partition(rough, -(k + 1), axis=1)[:, -(k + 1)]
     else:
         bar = np.full(len(rough), -2.0)
-    q, v = np.nonzero(rough >= np.maximum(bar, -2.0)[:, None] - 1e-9)
-    score = np.einsum("ij,ij->i", queries[q], block[v]) / (qn[q] * bn[v])
-    order = np.lexsort((ids[v], -score, q))
-    q, v, score = q[order], v[order], score[order]
-    first = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
-    rank = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0)) if len(q) else np.zeros(0, int)
-    top = rank < k
-    return query_ids[q[top]], ids[v[top]], score[top]
+    may = rough >= np.maximum(bar, -2.0)[:, None] - 1e-9
+    lot = np.cumsum(may.sum(axis=1)) // PAIRS
+    out = []
+    for part in np.split(np.arange(len(lot)), np.flatnonzero(np.diff(lot)) + 1):
+        q, v = np.nonzero(may[part])
+        q = part[q]
+        score = np.einsum("ij,ij->i", queries[q], block[v]) / (qn[q] * bn[v])
+        best = first_k(q, ids[v], score, k + 1)
+        q, v, score = q[best], v[best], score[best]
+        n = size[v]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        q, score, found = np.repeat(q, n), np.repeat(score, n), flat[np.repeat(start[v], n) + within]
+        other = found != query_ids[q]
+        q, score, found = q[other], score[other], found[other]
+        best = first_k(q, found, score, k)
+        out.append((query_ids[q[best]], found[best], score[best]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))  # type: ignore[return-value]
 
 
 def stacked(s: pd.Series) -> np.ndarray:
@@ -218,8 +242,14 @@ def search(vectors: DataFrame, *, every: int = 50, k: int = 5) -> DataFrame:
     schema = "query_id long, vec_id long, score double"
     if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows, n = rows.where(F.size("embedding") == lengths["dim"]), lengths["count"]
-    sample = bounded_ids(rows, "vec_id", SAMPLE_ROWS, 3).toPandas().sort_values("vec_id")  # at most SAMPLE_ROWS vectors
+    rows = rows.where(F.size("embedding") == lengths["dim"])
+    # equal vectors are one, with the ids that can be results; every partition sends k + 1 rows of a vector at most
+    order = Window.partitionBy("embedding").orderBy("vec_id")
+    few = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+    distinct = few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
+    distinct = written(distinct.select(F.element_at("members", 1).alias("vec_id"), "embedding", "members"), "distinct")
+    n = distinct.count()
+    sample = bounded_ids(distinct.select("vec_id", "embedding"), "vec_id", SAMPLE_ROWS, 3).toPandas().sort_values("vec_id")  # at most SAMPLE_ROWS vectors
     lists = fit(stacked(sample["embedding"]), n)
 
     def placed(lists: Lists, way: str, *more):
@@ -231,33 +261,34 @@ def search(vectors: DataFrame, *, every: int = 50, k: int = 5) -> DataFrame:
                     part = pdf.iloc[a : a + 1000]
                     x = stacked(part["embedding"])
                     where = getattr(sent.value, way)(x / np.linalg.norm(x, axis=1, keepdims=True), *more)
-                    yield pd.DataFrame({"vec_id": part["vec_id"].values, "list": where, "embedding": part["embedding"].values})
+                    yield pd.DataFrame({"vec_id": part["vec_id"].values, "list": where, "embedding": part["embedding"].values, "members": part["members"].values})
 
         return run
 
-    kind = "vec_id long, list array<int>, embedding array<double>"
+    kind = "vec_id long, list array<int>, embedding array<double>, members array<long>"
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = rows.repartition(tasks, "vec_id")
+    spread = distinct.repartition(tasks, "vec_id")
+    asking = rows.where(F.col("vec_id") % every == 0).select("vec_id", "embedding", F.array("vec_id").alias("members")).repartition(tasks, "vec_id")
     posted = written(spread.mapInPandas(placed(lists, "places"), kind), "postings")
     # one row a list
-    first = posted.groupBy(F.element_at("list", 1).alias("list")).agg(F.count("*").alias("n")).toPandas()
+    first = posted.groupBy(F.element_at("list", 1).alias("list")).agg(F.sum(F.size("members")).alias("n")).toPandas()
     held = np.zeros(len(lists.centroids), np.int64)
     held[first["list"].to_numpy(int)] = first["n"]
-    posted = posted.select(F.explode("list").alias("list"), "vec_id", "embedding")
-    asked = written(spread.where(F.col("vec_id") % every == 0).mapInPandas(placed(replace(lists, held=held), "visits", k), kind), "visits").select(F.explode("list").alias("list"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    posted = posted.select(F.explode("list").alias("list"), "vec_id", "embedding", "members")
+    asked = written(asking.mapInPandas(placed(replace(lists, held=held), "visits", k), kind), "visits").select(F.explode("list").alias("list"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     # one row a list: at most SAMPLE_ROWS / ROWS_A_CENTROID lists
     sizes = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("cuts"))
     loads = asked.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("lots"))
     blocks = F.broadcast(written(sizes.join(loads, "list"), "blocks"))
     posted = posted.join(blocks, "list").withColumn("cut", F.pmod(F.xxhash64("vec_id"), "cuts")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
     asked = asked.join(blocks, "list").withColumn("lot", F.pmod(F.xxhash64("query_id"), "lots").cast("int")).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    posted = posted.select("list", F.col("cut").cast("int").alias("cut"), "lot", "vec_id", "embedding")
+    posted = posted.select("list", F.col("cut").cast("int").alias("cut"), "lot", "vec_id", "embedding", "members")
     asked = asked.select("list", "cut", "lot", "query_id", "query")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        q, v, s = nearest(stacked(left["embedding"]), left["vec_id"].to_numpy(), stacked(right["query"]), right["query_id"].to_numpy(), k)
+        q, v, s = nearest(stacked(left["embedding"]), [np.asarray(m, np.int64) for m in left["members"]], stacked(right["query"]), right["query_id"].to_numpy(), k)
         return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
 
     key = ("list", "cut", "lot")

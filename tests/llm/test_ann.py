@@ -98,3 +98,32 @@ def test_visits_hold_enough():
     lists = ann.Lists(c, np.array([[(k + j) % 6 for j in range(1, 6)] for k in range(6)]), np.arange(6), 1.2, np.array([1, 2, 2, 2, 90, 3]))
     assert len(lists.visits(c[:1], 5)[0]) == 6 and list(lists.visits(c[4:5], 5)[0]) == [4]
     assert len(lists.visits(c[4:5], 1000)[0]) == 6
+
+
+def test_equal_vectors_are_scored_once(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(900, 6)).astype(np.float32)
+    x[rng.random(900) < 0.4] = x[3]
+    x[500:504] = x[7]
+    x[600:603] = 2 * x[7]
+    monkeypatch.setattr(ann, "PAIRS", 100)
+    df = spark.createDataFrame([(int(i), [float(t) for t in v], 0, "") for i, v in enumerate(x)], SCHEMA)
+    got, want = found(ann.search(df, every=1)), brute(np.arange(900), x, 1, 5)
+    hot = [q for q in want if (x[q] == x[3]).all()] + [7, 500, 501, 502, 503, 600, 601, 602]
+    for q in hot:
+        assert [i for i, _ in got[q]][: 4 if q in hot[-8:] else 5] == [i for i, _ in want[q]][: 4 if q in hot[-8:] else 5], q
+    assert all(len(v) == 5 for v in got.values())
+
+
+def test_ties_are_scored_in_bounded_lots(monkeypatch):
+    monkeypatch.setattr(ann, "PAIRS", 1000)
+    sizes, plain = [], np.einsum
+
+    def watched(how, *xs, **more):
+        sizes.append(len(xs[0]))
+        return plain(how, *xs, **more)
+
+    monkeypatch.setattr(ann.np, "einsum", watched)
+    block = np.arange(1, 501)[:, None] * np.ones((1, 4))  # one direction in 500 lengths: every pair ties
+    q, v, s = ann.nearest(block, [np.array([k]) for k in range(500)], block[:200], np.arange(200), 5)
+    assert len(q) == 1000 and max(sizes) <= 1500 and np.allclose(s, 1)
