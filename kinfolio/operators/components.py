@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import remove, written
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -25,6 +25,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         then = written(small, "edges")
+        for used in (least, now):
+            remove(used)
         now = then
         ends = now.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
         if ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 OR below + above > 1").isEmpty():
