@@ -29,11 +29,11 @@ def norm(v: Column) -> Column:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding of the vectors that take part, one row per vec_id."""
+    """vec_id and embedding of the vectors that take part; of unequal vectors with one vec_id, the smallest in array order."""
     v = F.col("embedding")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select("vec_id", v.cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0))
-    return rows.where(fine).where(norm(F.col("embedding")) > 0).dropDuplicates(["vec_id"])
+    return rows.where(fine).where(norm(F.col("embedding")) > 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
 @dataclass

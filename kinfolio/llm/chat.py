@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_with_ids
+
 #: Turns with their role, text escaped, the assistant's text marked for the loss.
 TEMPLATE = (
     "{% for m in messages %}### {{ m.role | escape_role }}: "
@@ -111,7 +113,7 @@ FILTERS: dict[str, Callable[[Any], Any]] = {
     "trim": lambda x: shown(x).strip(),
     "upper": lambda x: shown(x).upper(),
     "lower": lambda x: shown(x).lower(),
-    "length": len,
+    "length": lambda x: counted(x),
     # a role ends at a bare colon
     "escape_role": lambda x: escape(shown(x)).replace(":", "\\:"),
 }
@@ -121,6 +123,15 @@ def shown(x: Any) -> str:
     return "" if x is None else x if isinstance(x, str) else str(x)
 
 
+def counted(x: Any) -> int:
+    """Items or characters; nothing has none."""
+    if x is None:
+        return 0
+    if not isinstance(x, str | list | dict):
+        raise TemplateError(f"length of {type(x).__name__}")
+    return len(x)
+
+
 class Parser:
     """Recursive descent over the template's tokens. Nothing of Python is reachable: names are looked up in the context,
     keys in dicts and lists alone, filters in a fixed table."""
@@ -283,6 +294,8 @@ def operate(op: str, x: list) -> Any:
         a, b = x
         if type(a) is not type(b) or not isinstance(a, int | str) or isinstance(a, str) and op in "-%":
             raise TemplateError(f"{op} between {type(a).__name__} and {type(b).__name__}")
+        if op == "%" and not b:
+            raise TemplateError("% 0")
         return {"+": lambda: a + b, "-": lambda: a - b, "%": lambda: a % b, "<": lambda: a < b, ">": lambda: a > b, "<=": lambda: a <= b, ">=": lambda: a >= b}[op]()
     raise TemplateError(op)
 
@@ -482,7 +495,7 @@ def formatted(rows: DataFrame, template: str = TEMPLATE) -> DataFrame:
             spans = [[{"start": a, "end": b} for a, b in d[1]] for d in done]
             yield pd.DataFrame({"conv_id": pdf["conv_id"], "n_turns": [len(ms) for ms in pdf["messages"]], "text": [d[0] for d in done], "loss_spans": spans})
 
-    return conversations(rows).mapInPandas(run, "conv_id long, n_turns long, text string, loss_spans array<struct<start:long,end:long>>")
+    return map_with_ids(conversations(rows), run, "conv_id long, n_turns long, text string, loss_spans array<struct<start:long,end:long>>", "conv_id")
 
 
 def digests(texts: DataFrame) -> DataFrame:
@@ -498,4 +511,4 @@ def digests(texts: DataFrame) -> DataFrame:
                 rows.append((conv_id, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
             yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return texts.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_with_ids(texts, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long", "conv_id")

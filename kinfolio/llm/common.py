@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import new_path, shared_dir, written  # noqa: F401
+
 #: A word is a maximal run of code points outside space and U+0009..U+000D. ``bytes.split()`` splits alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,35 +21,27 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; unset (tests), a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="kinfolio-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/kinfolio/{name}-{uuid.uuid4().hex}"
-
+def map_with_ids(rows: DataFrame, run: Callable, schema: str, *ids: str) -> DataFrame:
+    """``rows.mapInPandas(run, schema)`` in which the long columns ``ids``, of the input and of the output, travel as strings.
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: lineage ends there, a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`written` that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/kinfolio/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    pandas holds a long column with a null as doubles, which changes ids from 2^53 on.
+    """
+    sent = rows.withColumns({c: F.col(c).cast("string") for c in ids if c in rows.columns})
+    for c in ids:
+        schema = schema.replace(f"{c} long", f"{c} string")
+    out = sent.mapInPandas(run, schema)
+    return out.withColumns({c: F.col(c).cast("long") for c in ids if c in out.columns})
+
+
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as no column of that name (in any case) needs."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

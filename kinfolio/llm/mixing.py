@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, free_names, written
 
 #: Slices of a source's hash order. Only the slice that holds the cut is ordered row by row.
 SLICES = 4096
@@ -104,15 +104,19 @@ def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """``docs`` with each row as often as the mix takes it, the fractional repetition as a shortened text.
 
     A document of no words has nothing to repeat and stays once. Null doc_id rows stay once too, as they can't be told apart.
+    Columns of ``docs`` may have any names.
     """
-    plan = mixed.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("size").alias("mix_size"), F.max("taken").alias("mix_taken"))
-    rows = docs.alias("d").join(written(plan, "plan").alias("p"), F.col("d.doc_id") == F.col("p.doc_id"), "left").select("d.*", "mix_size", "mix_taken")
-    whole = F.when(F.coalesce(F.col("mix_size"), F.lit(0)) == 0, F.lit(1)).otherwise(F.floor(F.col("mix_taken") / F.col("mix_size"))).cast("int")
-    rest = F.when(F.coalesce(F.col("mix_size"), F.lit(0)) == 0, F.lit(0)).otherwise(F.col("mix_taken") % F.col("mix_size")).cast("int")
+    size, taken, part, key = free_names(docs.columns, "size", "taken", "part", "key")
+    plan = mixed.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(key)).agg(F.max("size").alias(size), F.max("taken").alias(taken))
+    plan = written(plan, "plan")
+    rows = docs.join(plan, docs.doc_id == plan[key], "left")
+    empty = F.coalesce(F.col(size), F.lit(0)) == 0
+    whole = F.when(empty, F.lit(1)).otherwise(F.floor(F.col(taken) / F.col(size))).cast("int")
+    rest = F.when(empty, F.lit(0)).otherwise(F.col(taken) % F.col(size)).cast("int")
     parts = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    rows = rows.withColumn("mix_part", F.explode(parts))
-    short = F.col("mix_part") >= 0
-    text = F.when(short, first_words(F.col("text"), F.greatest(F.col("mix_part"), F.lit(1)))).otherwise(F.col("text"))
+    rows = rows.withColumn(part, F.explode(parts))
+    short = F.col(part) >= 0
+    text = F.when(short, first_words(F.col("text"), F.greatest(F.col(part), F.lit(1)))).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(short, F.length("text").cast("long")).otherwise(F.col("n_chars")))

@@ -11,18 +11,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .components import components
+from ..operators.components import components
+from .common import map_with_ids, written
 
 #: Rows of a band; a pair at the threshold goes unseen by all bands with at most this probability.
 ROWS, MISS = 5, 1e-8
+#: Bands in which large groups are joined before all bands are looked at.
+FIRST_BANDS = 8
 #: 64-bit words of an odd sketch.
 SKETCH_WORDS = 8
 #: Words whose hashes a Python worker remembers.
 CACHE = 1 << 20
-#: Rounds of pairs with hubs at most, and pairs across components a bucket member may leave to the last round.
-ROUNDS, PAIRS_A_MEMBER = 2, 2
-#: Ids that are sent to every task, 8 bytes each.
+#: Ids or buckets that are sent to every task, at most 40 bytes each.
 BROADCAST_IDS = 500_000
 #: Elements of a block of hash values.
 BLOCK = 1 << 22
@@ -126,7 +126,7 @@ def signatures(docs: DataFrame, width: int, similarity: float) -> DataFrame:
             yield out
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
+    return map_with_ids(rows, run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>", "doc_id")
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -135,8 +135,8 @@ def differing(a: Column, b: Column) -> Column:
 
 def sketched(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     """``pairs(a, b)`` with ``bits``: those whose sketches and set sizes allow the similarity."""
-    left = reps.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
-    right = reps.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
+    left = reps.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("size").alias("na"))
+    right = reps.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("size").alias("nb"))
     pairs = pairs.join(left, "a").join(right, "b").withColumn("bits", differing(F.col("sa"), F.col("sb")))
     near = F.col("bits") <= most_bits(similarity, bands_for(similarity) * ROWS)
     percent = round(100 * similarity)
@@ -144,19 +144,22 @@ def sketched(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     return pairs.where(near & sizes).drop("sa", "sb", "na", "nb")
 
 
-def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, text (binary) of the given documents. At most BROADCAST_IDS ids are sent to every task, more are joined."""
-    ids = written(ids, "ids")
-    few = ids.count() <= BROADCAST_IDS
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+def small(rows: DataFrame) -> DataFrame:
+    """A written table as the small side of a join: sent to every task if it has at most BROADCAST_IDS rows."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+def texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id, text (binary) of the given documents."""
+    return texts.join(small(written(ids, "ids")), "doc_id", "left_semi")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """``pairs(a, b)`` of which 100 * intersection >= 100 * similarity * union holds on the whole sets, written."""
     percent = round(100 * similarity)
     # a class representative is the smallest id of its set; of repeated rows with that id any text has a set of its own,
     # so the pair holds if it holds for one of them
-    texts = texts_of(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), docs)
+    texts = texts_of(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), texts)
     rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,175 +178,206 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, similarity: float)
     return written(rows.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long").distinct(), "links")
 
 
+def ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
 def link(docs: DataFrame, *, width: int = 3, similarity: float = 0.85) -> DataFrame:
     """Components of documents linked by the Jaccard similarity of their ``width``-word shingle sets.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
 
     1. Rows with the same set are one class; its smallest doc_id represents it from here on.
-    2. A class meets others in band buckets. Each bucket has a hub, by hash; each class goes with the hub whose odd sketch
-       is nearest among its buckets', so a group of any size yields one pair a class. Confirmed pairs are joined.
-    3. In buckets that still hold several components, members go that have too few shingles in common with other components
-       for any link to them (see :func:`peeled`); while many pairs are left, steps 2 and 3 follow again with other hubs.
-    4. Every pair across components that is left and whose sketches allow the similarity is confirmed, so no link between
-       different components is lost to the shortcuts of steps 2 and 3.
+    2. Large groups are joined in a few bands: each bucket has a hub, the class that meets most others, and each class goes
+       with the hub whose odd sketch is nearest, so a group of any size yields one pair a class (:func:`first_pairs`).
+    3. In the buckets of all bands only classes outside the bucket's largest component go on. Each is compared with a hub of
+       that component and with two hubs among the others (:func:`fringe_of`). Sketches reject, whole sets confirm.
+    4. What a bucket still leaves unseen between components is found by bounds on the shingles in which classes differ from
+       the middle of their group (:func:`across`), so no link is lost to the shortcuts of steps 2 and 3.
 
     Null and empty texts have 0 shingles and no links. A null doc_id links with nothing: its component_id is null and it
-    is kept. Repeated doc_ids are one document with the sets of all its rows.
+    is kept. Repeated doc_ids are one document with the sets of all its rows; equal rows count once. Very long texts are
+    hashed in blocks. An empty table gives an empty result.
     """
-    percent = round(100 * similarity)
     sig = written(signatures(docs, width, similarity), "signatures")
     filled = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
-    reps = filled.alias("s").join(classes.alias("c"), (F.col("s.digest") == F.col("c.digest")) & (F.col("s.doc_id") == F.col("c.rep"))).select("rep", "s.digest", "n_shingles", "bands", "sketch")
-    # equal rows once; several sets of one doc_id all stay
-    reps = reps.dropDuplicates(["rep", "digest"]).drop("digest")
-    rows = reps.select("rep", F.explode("bands").alias("key"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    members = written(rows.join(written(buckets, "buckets").select("key"), "key").distinct(), "members")
-    near = written(reps.drop("bands").join(members.select("rep").distinct(), "rep", "left_semi"), "near")
-    placed, tested, comp, sets = members.select("key", "rep", F.col("rep").alias("comp"), F.lit(0).cast("long").alias("cross"), F.lit(1).cast("long").alias("size")), None, None, None
-    for turn in range(ROUNDS):
-        # pairs across components of each bucket, counted without pairing; its hub is of its largest component, and there
-        # the member that has the most in common with others
-        counts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max_by("rep", F.struct(F.col("cross") / F.col("size"), F.xxhash64("rep", "key"))).alias("hub"))
-        counts = counts.groupBy("key").agg(F.max_by("hub", F.struct("n", F.xxhash64("hub", "key"))).alias("hub"), F.count("*").alias("comps"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), F.sum("n").alias("n"))
-        hubs = written(counts.where("comps > 1"), "hubs")
-        left = hubs.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-        if not left.pairs or turn and left.pairs <= PAIRS_A_MEMBER * left.rows:
-            break
-        met = placed.join(hubs.select("key", "hub"), "key").where("rep <> hub").select("rep", "comp", "hub").distinct()
-        if comp is not None:
-            met = met.join(comp.select(F.col("node").alias("hub"), F.col("component").alias("hub_comp")), "hub", "left").where(F.coalesce("hub_comp", "hub") != F.col("comp"))
-        met = met.select("rep", F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-        if tested is not None:
-            met = met.join(tested, ["a", "b"], "left_anti")
-        best = sketched(met, near, similarity).groupBy("rep").agg(F.min_by(F.struct("a", "b"), F.struct("bits", "a", "b")).alias("p"))
-        chosen = written(best.select("p.a", "p.b").distinct(), "chosen")
-        tested = chosen if tested is None else tested.unionByName(chosen)
-        comp = merged(comp, confirmed(chosen, docs, width, similarity))
-        placed = written(still_open(with_component(placed.select("key", "rep"), comp)), "placed")
-        if sets is None:
-            sets = shingle_rows(placed.select("rep").distinct(), docs, width)
-        placed = written(still_open(peeled(placed, near, sets, similarity)), "placed")
-    if left.pairs and sets is not None:
-        sided, held, pivots, own, pivot = around_pivots(placed, sets, percent)
-        beside = held.join(pivots.select("giant", F.col("rep").alias("pivot"), F.col("size").alias("pivot_size")), "giant")
-        beside = beside.where(100 * F.col("base") >= percent * (F.col("size") + F.col("pivot_size") - F.col("base")))
-        found = confirmed(written(beside.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), "rep", "giant").distinct(), "beside"), docs, width, similarity)
-        comp = merged(comp, found)
-        joined = beside.select("rep", "giant", F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct().join(found, ["a", "b"]).select("rep", "giant")
-        across = across_pairs(sided, held, written(held.join(joined, ["rep", "giant"], "left_anti"), "apart"), sets, own, pivot, percent)
-        across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        comp = merged(comp, confirmed(written(sketched(across, near, similarity).select("a", "b"), "across"), docs, width, similarity))
-    if comp is None:
-        comp = reps.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
-    # repeated doc_ids with different sets hang together through their doc_id
-    out = sig.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
-    out = out.withColumn("node", F.coalesce("rep", "doc_id")).join(comp.withColumnRenamed("component", "linked"), "node", "left")
-    out = out.withColumn("component_id", F.coalesce("linked", "node"))
-    repeated = written(filled.groupBy("doc_id").agg(F.count_distinct("digest").alias("sets")).where("sets > 1").select("doc_id"), "repeated")
-    if not repeated.isEmpty():
-        ties = out.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-        comp = merged(comp, ties)
-        out = out.drop("linked", "component_id").join(comp.withColumnRenamed("component", "linked"), "node", "left").withColumn("component_id", F.coalesce("linked", "node"))
+    again = written(filled.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    repeated = not again.isEmpty()
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text"))
+    if repeated:
+        texts = texts.join(again, "doc_id", "left_anti").unionByName(texts.join(again, "doc_id", "left_semi").distinct())
+    # the digest stands for the set, so the other columns are equal within a class
+    reps = written(filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+
+    placed, chosen = first_pairs(reps, similarity)
+    comp = components(confirmed(chosen, texts, width, similarity), "a", "b")
+    classes = with_component(reps.select("rep", "bands").join(placed.select("rep", "score"), "rep", "left"), comp)
+    sizes = comp.groupBy(F.col("component").alias("comp")).agg(F.count("*").alias("n"))
+    classes = written(classes.join(sizes, "comp", "left").select("rep", "comp", "bands", standing().alias("standing")), "placed")
+
+    fringe = fringe_of(classes)
+    hubs = F.explode(F.array(F.struct(F.col("hub"), F.col("giant").alias("of")), F.struct(F.col("hub2").alias("hub"), F.col("comp2").alias("of")), F.struct(F.col("hub3").alias("hub"), F.col("comp3").alias("of"))))
+    met = fringe.select("rep", "comp", hubs.alias("h")).where("h.hub IS NOT NULL AND h.of <> comp").select(*ordered("rep", "h.hub")).distinct()
+    met = written(sketched(met.join(chosen, ["a", "b"], "left_anti"), reps, similarity).select("a", "b").distinct(), "met")
+    tested = chosen.unionByName(met)
+    if not met.isEmpty():
+        comp = merged(comp, confirmed(met, texts, width, similarity))
+
+    left = written(unseen(fringe, comp), "unseen")
+    if not left.isEmpty():
+        comp = across(left, classes.select("rep", "standing"), comp, reps, tested, texts, width, similarity)
+
+    out = sig.select("doc_id", "n_shingles", "digest").join(reps.select("digest", "rep"), "digest", "left")
+    out = out.withColumn("node", F.coalesce("rep", "doc_id"))
+    if repeated:
+        # different sets of one doc_id hang together through it
+        comp = merged(comp, out.where("node <> doc_id").join(again, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct())
+    out = out.join(comp.withColumnRenamed("component", "linked"), "node", "left").withColumn("component_id", F.coalesce("linked", "node"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def still_open(placed: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold several components."""
-    several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    return placed.join(several, "key", "left_semi")
-
+def first_pairs(reps: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Classes that meet others in the first bands with their ``score`` (how many they meet), and one pair (a, b) of each with
+    the nearest hub by sketch.
 
-def shingle_rows(reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """rep, shingle of the given classes, written."""
+    In a group of near copies the class in the middle shares the most bands and so meets the most: it is the hub of nearly
+    all the group's buckets.
+    """
+    rows = reps.select("rep", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("key"))
+    shared = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    placed = written(rows.join(shared, "key").groupBy("rep").agg(F.sum("n").alias("score"), F.collect_set("key").alias("keys")), "first")
+    rows = placed.select("rep", "score", F.explode("keys").alias("key"))
+    hubs = written(rows.groupBy("key").agg(F.max_by("rep", F.least("score", F.lit((1 << 40) - 1)) * F.lit(1 << 22) + F.xxhash64("rep").bitwiseAND(F.lit((1 << 22) - 1))).alias("hub")), "hubs")
+    met = rows.join(hubs, "key").where("rep <> hub").select("rep", *ordered("rep", "hub")).distinct()
+    best = sketched(met, reps, similarity).groupBy("rep").agg(F.min_by(F.struct("a", "b"), F.struct("bits", "a", "b")).alias("p"))
+    return placed, written(best.select("p.a", "p.b").distinct(), "chosen")
+
+
+def standing() -> Column:
+    """Order of the classes of a bucket in one number: size of the component ``n``, the component, ``score``, the class."""
+    n, score = (F.least(F.coalesce(F.col(c), F.lit(d)), F.lit((1 << 20) - 1)).cast("long") for c, d in (("n", 1), ("score", 0)))
+    tie = lambda c, bits: F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))
+    return F.shiftleft(n, 43) + F.shiftleft(tie("comp", 12), 31) + F.shiftleft(score, 11) + tie("rep", 11)
+
+
+def fringe_of(classes: DataFrame) -> DataFrame:
+    """The rows (key, rep, comp) of buckets of several components that are outside the bucket's ``giant``, its component of the
+    largest size, written. ``hub`` is the giant's member in the middle, ``hub2`` and ``hub3`` are members of two other
+    components, ``inside`` counts the giant's rows in the bucket and ``others`` the rest.
+    """
+    rows = classes.select("rep", "comp", "standing", F.explode("bands").alias("key"))
+    top = lambda c: F.max_by(c, "standing")
+    several = rows.groupBy("key").agg(top("rep").alias("hub"), top("comp").alias("giant"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low <> high")
+    several = written(several.select("key", "hub", "giant", "n"), "buckets")
+    outside = rows.join(small(several), "key").where("comp <> giant")
+    outside = written(outside.select("key", "rep", "comp", "standing", "hub", "giant", "n"), "outside")
+    second = written(outside.groupBy("key").agg(F.count("*").alias("others"), top("rep").alias("hub2"), top("comp").alias("comp2")), "second")
+    outside = outside.join(second, "key").withColumn("inside", F.col("n") - F.col("others"))
+    third = written(outside.where("comp <> comp2").groupBy("key").agg(top("rep").alias("hub3"), top("comp").alias("comp3")), "third")
+    return written(outside.join(third, "key", "left").drop("standing", "n"), "fringe")
+
+
+def unseen(fringe: DataFrame, comp: DataFrame) -> DataFrame:
+    """rep, comp, giant, wide: the fringe's rows that may have links which no hub has shown, with components as they are now.
+
+    The giant's hub has met all others, and the two other hubs have met each other's components: where the giant has no more
+    members in the bucket (else ``wide``), the hubs are done and so is a bucket in which one component is left.
+    """
+    now = comp.select("node", "component")
+    rows = fringe.join(now.select(F.col("node").alias("rep"), F.col("component").alias("_r")), "rep", "left").join(now.select(F.col("node").alias("hub"), F.col("component").alias("_h")), "hub", "left")
+    # a component that has grown is the one of its members: the hub is the giant's
+    rows = rows.withColumn("comp", F.coalesce("_r", "comp")).withColumn("giant", F.coalesce("_h", "giant")).where("comp <> giant")
+    wide = F.col("inside") > 1
+    rows = rows.where(wide | ~(F.col("rep").eqNullSafe(F.col("hub2")) | F.col("rep").eqNullSafe(F.col("hub3")))).withColumn("wide", wide)
+    open_ = written(rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("wide").alias("wide")).where("wide OR low <> high").select("key"), "open")
+    return rows.join(open_, "key", "left_semi").groupBy("giant", "rep", "comp").agg(F.max("wide").alias("wide"))
+
+
+def across(left: DataFrame, standings: DataFrame, comp: DataFrame, reps: DataFrame, tested: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``comp`` with the links between components that :func:`unseen` leaves.
+
+    Every pair of a bucket is in the group of the bucket's giant: its rows ``left``, and the giant's members where they count.
+    The giant's member in the middle is the group's pivot P; all are compared with it. For X and Y without a link to P,
+    |X & Y| <= min(|X & P|, |Y & P|) + |(X - P) & (Y - P)|. So Y either shares shingles with X that P lacks, which are few
+    and rare, or X and Y lie within P almost wholly and are smaller than P. The first kind is found by a join on the rarest
+    of those shingles, as many of each as no pair can do without (prefix filter); the second by sizes. Sketches and whole
+    sets decide. The bound holds for any pivot, so no link is lost.
+    """
+    percent = round(100 * similarity)
+    whole = 100 + percent
+    groups = written(left.groupBy(F.col("giant").alias("g")).agg(F.max("wide").alias("wide")), "groups")
+    now = written(with_component(standings, comp), "now")
+    members = now.join(groups, now.comp == groups.g).select("g", "rep", "comp", "wide", "standing")
+    pivots = written(members.groupBy("g").agg(F.max_by("rep", "standing").alias("pivot")), "pivots")
+    items = left.select(F.col("giant").alias("g"), "rep", "comp").unionByName(members.where("wide").select("g", "rep", "comp")).distinct()
+    items = written(items.join(pivots, "g").where("rep <> pivot"), "items")
+    found = texts_of(items.select(F.col("rep").alias("doc_id")).unionByName(pivots.select(F.col("pivot").alias("doc_id"))).distinct(), texts)
+    middle = written(pivots.join(found, pivots.pivot == found.doc_id).groupBy("g").agg(F.max("text").alias("middle")), "middle")
+    rows = items.join(found.withColumnRenamed("doc_id", "rep"), "rep").join(middle, "g")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[bytes, int] = {}
+        last: tuple[bytes | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for pdf in batches:
-            yield pd.DataFrame({"rep": pdf["doc_id"], "shingles": [shingles(t, width, cache).view(np.int64) for t in pdf["text"]]})
-
-    found = texts_of(reps.select(F.col("rep").alias("doc_id")), docs).mapInPandas(run, "rep long, shingles array<long>")
-    return written(found.select("rep", F.explode("shingles").alias("shingle")), "shingles")
-
-
-def peeled(placed: DataFrame, near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``placed(key, rep, comp)`` without the members that can have no link to another component of their bucket, with
-    ``cross``, the shingles in common with other components, and ``size``.
-
-    A link needs an intersection of t / (1 + t) times both sizes together, and the other size is at least the smallest of
-    the bucket. Only shingles that stand in two components can be in it, so a member with fewer of those goes. An edited
-    copy has shingles of its own and goes by this count, without being compared with its group; no link is lost.
-    """
-    own = sets.join(placed.select("rep", "comp").distinct(), "rep")
-    shared = own.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("shingle")
-    cross = own.join(written(shared, "shared"), "shingle", "left_semi").groupBy("rep").agg(F.count_distinct("shingle").alias("cross"))
-    size = near.groupBy("rep").agg(F.min("n_shingles").alias("size"))
-    rows = placed.select("key", "rep", "comp").join(cross, "rep").join(size.withColumn("size", F.col("size").cast("long")), "rep")
-    least = written(rows.groupBy("key").agg(F.min("size").alias("least")), "smallest")
-    t = round(100 * similarity)
-    other = F.greatest(F.col("least").cast("double"), F.col("size") * t / 100)
-    return rows.join(least, "key").where(F.col("cross") * (100 + t) >= t * (F.col("size") + other) - 1e-6).select("key", "rep", "comp", "cross", "size")
-
-
-def pairs_of(left: DataFrame, right: DataFrame, common: Column) -> DataFrame:
-    """a, b of different components that share a bucket and for which ``common`` (of x and y) holds."""
-    x, y = left.alias("x"), right.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & common)
-    return met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-
-
-def around_pivots(placed: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, ...]:
-    """The rows of ``placed`` with their bucket's largest component, ``giant``, and what is known of the rows outside it.
-
-    One member of a giant is its pivot. Returns the rows, the rows outside with ``base`` (shingles in common with the pivot),
-    the pivots, the shingles of the members outside with whether the pivot holds them, and the pivots' shingles.
-    """
-    n = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    largest = written(n.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("giant")), "largest")
-    sided = written(placed.join(largest, "key"), "sided")
-    inside, outside = sided.where("comp = giant"), sided.where("comp <> giant")
-    central = F.struct(F.col("cross") / F.col("size"), "size", "rep")
-    pivots = written(inside.groupBy("giant").agg(F.max_by(F.struct("rep", "size"), central).alias("p")).select("giant", "p.rep", "p.size"), "pivots")
-    pivot = written(sets.join(pivots, "rep").select("giant", "shingle", F.lit(True).alias("held")), "pivot-sets")
-    own = written(sets.join(outside.select("rep", "giant").distinct(), "rep").join(pivot, ["giant", "shingle"], "left"), "own")
-    base = own.groupBy("rep", "giant").agg(F.count_if(F.col("held")).alias("base"))
-    return sided, written(outside.join(base, ["rep", "giant"]), "held"), pivots, own, pivot
-
-
-def across_pairs(sided: DataFrame, held: DataFrame, apart: DataFrame, sets: DataFrame, own: DataFrame, pivot: DataFrame, percent: int) -> DataFrame:
-    """a, b of different components whose shingles allow a link. ``held`` are the rows outside their bucket's largest
-    component, ``apart`` those of them that have no link to its pivot.
-
-    A bucket's largest component may be very large, and what is outside must not meet all of it. For B outside and C
-    inside, |B & C| <= |B & pivot| + |(B - pivot) & C|. So B meets those C small enough for the first term, and those that
-    share enough of what B has besides: they are found by a join on those shingles, which are few and rare. Two members
-    outside meet by the same rule. The bound holds for any pivot, so no link is lost.
-    """
-    inside = sided.where("comp = giant")
-    sizes = F.col("x.size") + F.col("y.size")
-    enough = (100 + percent) * F.least("x.cross", "y.cross") >= percent * sizes
-    first = pairs_of(apart, inside.join(apart.select("key").distinct(), "key", "left_semi"), enough & ((100 + percent) * F.col("x.base") >= percent * sizes))
-    members = inside.select("rep", "giant", "size").distinct()
-    besides = sets.join(members, "rep").join(pivot, ["giant", "shingle"], "left_anti").select(F.col("rep").alias("b"), "giant", "shingle", F.col("size").alias("b_size"))
-    mine = own.where("held IS NULL").join(apart.select("rep", "giant", "size", "base").distinct(), ["rep", "giant"])
-    common = mine.join(besides, ["giant", "shingle"]).groupBy("rep", "b", "size", "b_size", "base").agg(F.count("*").alias("m"))
-    second = common.where((100 + percent) * (F.col("base") + F.col("m")) >= percent * (F.col("size") + F.col("b_size"))).select(F.col("rep").alias("a"), "b")
-    third = pairs_of(held, held, enough & (F.col("x.rep") < F.col("y.rep")) & ((100 + percent) * F.least("x.base", "y.base") >= percent * sizes))
-    theirs = own.where("held IS NULL").join(held.select("rep", "giant", "comp", "size", "base").distinct(), ["rep", "giant"])
-    x, y = theirs.alias("x"), theirs.alias("y")
-    both = x.join(y, (F.col("x.giant") == F.col("y.giant")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")))
-    both = both.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), sizes.alias("sizes"), F.least("x.base", "y.base").alias("base")).agg(F.count("*").alias("m"))
-    fourth = both.where((100 + percent) * (F.col("base") + F.col("m")) >= percent * F.col("sizes")).select("a", "b")
-    return first.unionByName(second).unionByName(third).unionByName(fourth)
-
-
-def merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+            out = []
+            for text, p in zip(pdf["text"], pdf["middle"], strict=True):
+                if p != last[0]:
+                    last = (p, shingles(p, width, cache))
+                x = shingles(text, width, cache)
+                rest = np.setdiff1d(x, last[1], assume_unique=True)
+                base = len(x) - len(rest)
+                linked = base > 0 and 100 * base >= percent * (len(x) + len(last[1]) - base)
+                out.append((xxhash.xxh3_64_intdigest(x.tobytes(), 1) >> 1, len(x), base, linked, rest.view(np.int64)))
+            yield pd.concat([pdf[["g", "rep", "comp", "pivot"]].reset_index(drop=True), pd.DataFrame(out, columns=["which", "size", "base", "linked", "rest"])], axis=1)
+
+    schema = "g long, rep long, comp long, pivot long, which long, size long, base long, linked boolean, rest array<long>"
+    items = written(rows.select("g", "rep", "comp", "pivot", "text", "middle").mapInPandas(run, schema), "differences")
+    comp = merged(comp, items.where("linked AND comp <> g").select(*ordered("rep", "pivot")).distinct())
+    named = comp.select(F.col("node").alias("_node"), F.col("component").alias("_c"))
+    items = items.join(named, F.col("rep") == F.col("_node"), "left").withColumn("comp", F.coalesce("_c", "comp")).drop("_node", "_c")
+    items = items.join(named, F.col("pivot") == F.col("_node"), "left").withColumn("outside", F.col("comp") != F.coalesce("_c", "g")).drop("_node", "_c", "linked", "pivot")
+    items = written(items, "sided")
+
+    id_ = ["g", "rep", "which"]
+    each = items.select(*id_, "comp", "outside", F.explode("rest").alias("shingle"))
+    common = each.groupBy("g", "shingle").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("outside").alias("outside")).where("low <> high AND outside").select("g", "shingle", "n")
+    held = each.join(written(common, "common"), ["g", "shingle"]).groupBy(*id_).agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("held"))
+    least = written(items.groupBy("g").agg(F.min("size").alias("least")), "least")
+    able = items.drop("rest").join(held, id_, "left").withColumn("held", F.coalesce(F.transform("held", lambda s: s["shingle"]), F.array().cast("array<long>"))).join(least, "g")
+    # what a link needs: the other set has at least t times this one's size, and the group's least size
+    needs = percent * (F.col("size") + F.greatest(F.col("least").cast("double"), F.col("size") * percent / 100)) / whole
+    able = able.withColumn("more", F.ceil(needs - 1e-6) - F.col("base")).where(F.size("held") >= F.col("more"))
+    able = written(able.select(*id_, "comp", "outside", "size", "base", "more", "held"), "able")
+
+    def pairs(x: DataFrame, y: DataFrame, on: list[str], bound: Column | None = None) -> DataFrame:
+        """Pairs of different components, the first outside, whose sizes fit; a pair of two outside comes once."""
+        x, y = x.alias("x"), y.alias("y")
+        same = F.lit(True)
+        for c in on:
+            same &= F.col(f"x.{c}") == F.col(f"y.{c}")
+        fit = (100 * F.col("x.size") >= percent * F.col("y.size")) & (100 * F.col("y.size") >= percent * F.col("x.size")) & (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.outside") | (F.col("x.rep") < F.col("y.rep")))
+        met = x.join(y, same & fit if bound is None else same & fit & bound)
+        return met.select("x.g", F.col("x.rep").alias("xr"), F.col("x.which").alias("xw"), F.col("y.rep").alias("yr"), F.col("y.which").alias("yw")).distinct()
+
+    prefix = able.withColumn("shingle", F.explode(F.slice("held", F.lit(1), F.least(F.size("held"), F.size("held") - F.col("more") + 1).cast("int")))).drop("held")
+    met = pairs(prefix.where("outside"), prefix, ["g", "shingle"])
+    x = able.select("g", F.col("rep").alias("xr"), F.col("which").alias("xw"), F.col("size").alias("xs"), F.col("base").alias("xb"), F.col("held").alias("xh"))
+    y = able.select("g", F.col("rep").alias("yr"), F.col("which").alias("yw"), F.col("size").alias("ys"), F.col("base").alias("yb"), F.col("held").alias("yh"))
+    met = met.join(x, ["g", "xr", "xw"]).join(y, ["g", "yr", "yw"])
+    met = met.where(whole * (F.least("xb", "yb") + F.size(F.array_intersect("xh", "yh"))) >= percent * (F.col("xs") + F.col("ys"))).select("xr", "yr")
+    # within the pivot almost wholly: neighbouring sizes meet
+    steps = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent)).cast("int")
+    within = able.where("more <= 0").select(*id_, "comp", "outside", "size", "base", steps.alias("step"))
+    around = within.where("outside").withColumn("step", F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)))
+    alone = pairs(around, within, ["g", "step"], whole * F.least("x.base", "y.base") >= percent * (F.col("x.size") + F.col("y.size"))).select("xr", "yr")
+    found = met.unionByName(alone).select(*ordered("xr", "yr")).distinct().join(tested, ["a", "b"], "left_anti")
+    found = written(sketched(found, reps, similarity).select("a", "b").distinct(), "across")
+    return comp if found.isEmpty() else merged(comp, confirmed(found, texts, width, similarity))
+
+
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component) of what ``comp`` joins already and ``links(a, b)`` join besides: only components are linked anew."""
-    if comp is None:
-        return components(links, "a", "b")
     a, b = (comp.select(F.col("node").alias(x), F.col("component").alias(f"{x}_comp")) for x in ("a", "b"))
     ends = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
     above = components(ends, "a", "b")
@@ -355,8 +389,6 @@ def merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(moved.unionByName(new), "components")
 
 
-def with_component(members: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """``members(key, rep)`` with ``comp``: the component of a class, or itself."""
-    if comp is None:
-        return members.withColumn("comp", F.col("rep"))
-    return members.join(comp, members.rep == comp.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+def with_component(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """``rows(rep)`` with ``comp``: the component of a class, or itself."""
+    return rows.join(comp, rows.rep == comp.node, "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")

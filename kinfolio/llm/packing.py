@@ -15,6 +15,8 @@ from .mixing import word_count
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: What a sequence costs besides its length (its own start, a kernel launch), and pieces that one task packs.
 OVERHEAD, PIECES_A_SHARD = 16, 50_000
+#: Copies of a row that one task lists.
+LOT = 10_000
 
 
 def cost(capacity: int) -> float:
@@ -111,6 +113,10 @@ def pieces(docs: DataFrame, most: int) -> DataFrame:
     counted = sized.groupBy("doc_id", "words").agg(F.count("*").alias("rows"))
     order = Window.partitionBy("doc_id").orderBy("words").rowsBetween(Window.unboundedPreceding, -1)
     counted = counted.withColumn("before", F.coalesce(F.sum("rows").over(order), F.lit(0)))
+    # a row repeated very often, as under a null doc_id, is dealt out in lots before it becomes rows again
+    lots = counted.where(F.col("rows") > LOT).withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / LOT)))).repartition("doc_id", "words", "lot")
+    lots = lots.withColumn("before", F.col("before") + F.col("lot") * LOT).withColumn("rows", F.least(F.lit(LOT).cast("long"), F.col("rows") - F.col("lot") * LOT)).drop("lot")
+    counted = counted.where(F.col("rows") <= LOT).unionByName(lots)
     copies = counted.withColumn("copy", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("rows") - 1)))
     cut = copies.withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("words") / most).cast("int") - 1)))
     start = F.col("piece").cast("long") * most
@@ -127,9 +133,11 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, pieces_a_sha
     capacities = tuple(sorted(set(capacities)))
     cut = written(pieces(docs, capacities[-1]), "pieces")
     shards = max(1, math.ceil(cut.count() / pieces_a_shard))
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy", "piece"), F.lit(shards)).cast("int"))
+    # ids as strings: beside a null pandas would make them doubles
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy", "piece"), F.lit(shards)).cast("int")).withColumn("doc_id", F.col("doc_id").cast("string"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf["doc_id"] = pd.array([None if x is None else int(x) for x in pdf["doc_id"]], "Int64")
         pdf = pdf.sort_values(["length", "doc_id", "copy", "piece"], ascending=[False, True, True, True], kind="stable", na_position="last").reset_index(drop=True)
         bins, places, sizes = best_fit([int(x) for x in pdf["length"]], capacities)
         pdf["bin"], pdf["place"] = bins, places

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_with_ids
+
 #: Base kinds in the order of the digest, then the kinds that the method adds.
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("url", "account")
@@ -151,7 +153,7 @@ def find(docs: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", pdf["doc_id"].values)
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_url long, n_account long")
+    return map_with_ids(docs.select("doc_id", "text"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_url long, n_account long", "doc_id")
 
 
 def redact(docs: DataFrame, mask: str = "[{}]") -> DataFrame:

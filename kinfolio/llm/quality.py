@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_ids
+from .common import bounded_ids, free_names, map_with_ids
 
 FEATURES = (
     "log_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "bang_share", "pipe_share",
@@ -81,6 +80,7 @@ class Trees:
     value: np.ndarray
     depth: int
     base: float
+    cut: float = 0.5
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probabilities; every row walks every tree at once, a level a step."""
@@ -158,8 +158,18 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: np.ndarray, *, trees: int = 60,
     return Trees(np.array(roots, int), a[:, 0].astype(int), a[:, 1], a[:, 2].astype(int), a[:, 3].astype(int), a[:, 4], depth, base)
 
 
+def sparing_cut(p: np.ndarray, y: np.ndarray, loss: float = 0.01, most: float = 0.3) -> float:
+    """The largest cut, up to ``most``, that rejects at most a share ``loss`` of the good texts (1)."""
+    good = np.sort(p[y == 1])
+    return float(min(most, good[int(loss * len(good))])) if len(good) else most
+
+
 def train(docs: DataFrame, labels: DataFrame, *, limit: int = 20_000, seed: int = 5, **options) -> Trees:
-    """Fits on at most ``limit`` labelled rows in seeded order; only their statistics reach the driver."""
+    """Fits on at most ``limit`` labelled rows in seeded order; only their statistics reach the driver.
+
+    Every fifth row places the cut between kept and rejected texts and fits nothing else. Without labels all score alike and
+    the base rule alone rejects. Null labels and doc_ids are left out; of a repeated doc_id the worst label counts.
+    """
     chosen = bounded_ids(labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id", limit, seed)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``limit`` ids
 
@@ -169,53 +179,47 @@ def train(docs: DataFrame, labels: DataFrame, *, limit: int = 20_000, seed: int
 
     found = rows.select("doc_id", F.col("text").cast("binary").alias("text"), "quality").mapInPandas(run, "doc_id long, quality int, x array<double>").limit(2 * limit).toPandas().sort_values(["doc_id"], kind="stable")
     x = np.array(found["x"].tolist(), float).reshape(-1, len(FEATURES))
-    return fit(x, found["quality"].to_numpy(float), np.array([MONOTONE.get(f, 0) for f in FEATURES]), **options)
+    y, probe = found["quality"].to_numpy(float), np.arange(len(x)) % 5 == 4
+    model = fit(x[~probe], y[~probe], np.array([MONOTONE.get(f, 0) for f in FEATURES]), **options)
+    model.cut = sparing_cut(model.score(x[probe]), y[probe]) if len(model.roots) else 0.0
+    return model
 
 
-def assess(docs: DataFrame, model: Trees, *, threshold: float = 0.3, keep_columns: bool = False) -> DataFrame:
-    """Base statistics, the base rule and the verdict for every whole text.
+def scored(texts: pd.Series, model: Trees) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The five base statistics, the trees' score, whether the base rule fails, and whether the text is kept."""
+    found = [statistics(t) for t in texts]
+    base = np.array([f[0] for f in found], np.int64).reshape(-1, 5)
+    p = model.score(np.array([f[1] for f in found], float).reshape(-1, len(FEATURES)))
+    failed = (base[:, 0] < 10) | (100 * base[:, 4] > 20 * base[:, 0])
+    return base, p, failed, ~failed & (p >= model.cut)
 
-    Base rule: fails under 10 words, or if over a fifth of the words lie in repeated windows. ``kept`` is false then, else
-    whether the trees' probability of good quality reaches ``threshold``. Null and empty texts have 0 words and fail.
-    With ``keep_columns``, all columns of ``docs`` come along and the rest is named ``_kept`` alone.
-    """
+
+def accepted(docs: DataFrame, model: Trees) -> DataFrame:
+    """The rows of ``docs`` that :func:`assess` keeps, with their columns; a column of any name may be among them."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    (name,) = free_names(docs.columns, "kept")
+
+    @F.pandas_udf("boolean")
+    def verdict(texts: pd.Series) -> pd.Series:
+        return pd.Series(scored(texts, sent.value)[3])
 
-    def scored(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        found = [statistics(t) for t in texts]
-        base = np.array([f[0] for f in found], np.int64).reshape(-1, 5)
-        p = sent.value.score(np.array([f[1] for f in found], float).reshape(-1, len(FEATURES)))
-        failed = (base[:, 0] < 10) | (100 * base[:, 4] > 20 * base[:, 0])
-        return base, p, failed, ~failed & (p >= threshold)
+    return docs.withColumn(name, verdict(F.col("text").cast("binary"))).where(F.col(name)).select(*docs.columns)
 
-    if keep_columns:
 
-        @F.pandas_udf("boolean")
-        def verdict(texts: pd.Series) -> pd.Series:
-            return pd.Series(scored(texts)[3])
+def assess(docs: DataFrame, model: Trees) -> DataFrame:
+    """Base statistics, the base rule and the verdict for every whole text.
 
-        return docs.withColumn("_kept", verdict(F.col("text").cast("binary")))
+    Base rule: fails under 10 words, or if over a fifth of the words lie in repeated windows. ``kept`` is false then, else
+    whether the trees' probability of good quality reaches the model's ``cut``. Null and empty texts have 0 words and fail.
+    Repeated rows and null doc_ids give a row each.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            base, p, failed, kept = scored(pdf["text"])
+            base, p, failed, kept = scored(pdf["text"], sent.value)
             out = pd.DataFrame(base, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
             yield out.assign(doc_id=pdf["doc_id"].values, base_failed=failed, kept=kept, score=p)
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double")
-
-
-def brute_statistics(text: str | None) -> tuple[int, int, int, int, int]:
-    """The five base statistics, written plainly for the tests."""
-    import re
-
-    text = text or ""
-    words = re.findall(r"[^\x20\x09-\x0D]+", text)
-    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    windows = [tuple(words[i : i + WINDOW]) for i in range(len(words) - WINDOW + 1)]
-    counts, cover = Counter(windows), set()
-    for i, w in enumerate(windows):
-        if counts[w] > 1:
-            cover.update(range(i, i + WINDOW))
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(cover)
+    return map_with_ids(rows, run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double", "doc_id")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_ids, written
+from .common import bounded_ids, map_with_ids, written
 
 #: Words beside a candidate that name a secret, or a harmless value.
 SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "auth", "bearer", "credential", "private")
@@ -200,10 +200,10 @@ def candidates(docs: DataFrame) -> DataFrame:
                 for m in CANDIDATE.finditer(text or ""):
                     a, b = m.span()
                     rows.append((doc_id, path, a, b, m.group(), text[max(0, a - AROUND) : a], text[b : b + AROUND]))
-            out = pd.DataFrame(rows, columns=["doc_id", "path", "start", "end", "value", "before", "after"])
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "path", "start", "end", "value", "before", "after"])
 
-    return docs.select("doc_id", "text", F.coalesce("path", F.lit("")).alias("path")).mapInPandas(run, "doc_id long, path string, start long, end long, value string, before string, after string")
+    rows = docs.select("doc_id", "text", F.coalesce("path", F.lit("")).alias("path"))
+    return map_with_ids(rows, run, "doc_id long, path string, start long, end long, value string, before string, after string", "doc_id")
 
 
 def labelled(seed: int = 1, n: int = 3000) -> pd.DataFrame:
@@ -282,5 +282,5 @@ def scan(docs: DataFrame, forest: Forest, lang: Language, *, threshold: float =
             p = forest.score(x)
             yield pdf[["doc_id", "start", "end", "value"]].assign(score=p, reported=p >= threshold)
 
-    found = candidates(docs).mapInPandas(run, "doc_id long, start long, end long, value string, score double, reported boolean")
+    found = map_with_ids(candidates(docs), run, "doc_id long, start long, end long, value string, score double, reported boolean", "doc_id")
     return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "score", "reported")

@@ -12,13 +12,17 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import map_with_ids, new_path, written
 
 INDEX = "path string, offset long, length long, url string, digest string, record_type string, page_id long, payload_bytes long"
 RECORD = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
+#: Columns that come and go as strings, see ``map_with_ids``.
+IDS = ("page_id", "refers_to")
+#: Copies of a row that one task lists.
+LOT = 10_000
 #: Level of compression of the records; the size of an archive file past which a task begins the next one.
 LEVEL, FILE_BYTES = 4, 512 << 20
 
@@ -28,7 +32,7 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def identified(page_id: object) -> str:
-    return f"<urn:page:{'none' if page_id is None or pd.isna(page_id) else int(page_id)}>"
+    return f"<urn:page:{'none' if page_id is None or pd.isna(page_id) else page_id}>"
 
 
 def one_line(value: object) -> str:
@@ -36,13 +40,13 @@ def one_line(value: object) -> str:
     return "" if value is None else str(value).replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if isinstance(value, str) and ("\r" in value or "\n" in value) else str(value)
 
 
-def record(page_id: object, url: str | None, payload: bytes, digest: str, refers: tuple[object, str | None] | None) -> bytes:
-    """One record, as a gzip member of its own. A revisit carries the HTTP head alone."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page_id: object, url: str | None, payload: bytes | None, size: int, digest: str, refers: tuple[object, str | None] | None) -> bytes:
+    """One record, as a gzip member of its own. A revisit carries the HTTP head alone; ``size`` is the full payload's."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (payload if refers is None else b"")
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: {identified(page_id)}", "WARC-Date: 2000-01-01T00:00:00Z",
-        f"WARC-Payload-Digest: sha1:{digest}", f"WARC-X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
+        f"WARC-Payload-Digest: sha1:{digest}", f"WARC-X-Payload-Length: {size}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if url is not None:
         head.append(f"WARC-Target-URI: {one_line(url)}")
@@ -67,9 +71,9 @@ def parse(data: bytes) -> dict:
     return fields
 
 
-def page_of(identifier: str | None) -> int | None:
+def page_of(identifier: str | None) -> str | None:
     number = (identifier or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number.lstrip("-").isdigit() else None
+    return number if number.lstrip("-").isdigit() else None
 
 
 def url_of(fields: dict) -> str | None:
@@ -78,26 +82,35 @@ def url_of(fields: dict) -> str | None:
 
 
 def resolved(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``pages(page_id, url, html)`` with digest, is_response, refers_to, refers_url.
+    """``pages(page_id, url, html)`` as records: page_id, url, payload, bytes, digest (SHA-1, hex), refers_to, refers_url, is_response.
 
-    Of equal payloads of at least ``min_bytes`` the smallest page_id (null last, then url) responds; among equal rows, one.
-    Only ids and digests are grouped; each payload is shuffled once, by its row's key.
+    Of equal payloads of at least ``min_bytes`` the row with the smallest page_id (null last, then url) responds; among equal
+    rows, one. A payload is shuffled with its digest, once a task however often it repeats, and revisits travel without:
+    of them only ids and digests are grouped, so neither a hot payload nor a hot row meets in one task.
     """
     pages = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    pages = pages.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload"))
-    # one key for a row, so that nulls need no care and the join below leaves equal rows together
-    pages = pages.withColumn("key", F.sha1(F.concat(F.to_json(F.struct("page_id", "url")), F.col("digest")).cast("binary")))
-    ids = pages.groupBy("key", "page_id", "url", "digest", "bytes").agg(F.count("*").alias("rows"))
-    lead = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("page_id"), F.col("url").alias("url"), F.col("key").alias("key"))
-    # written, so that both sides of the next join are plain and a hot digest is split at run time
-    groups = written(ids.groupBy("digest").agg(F.min(lead).alias("lead")), "payloads")
-    small = F.col("bytes") < min_bytes
-    ids = ids.join(groups, "digest").select("key", (F.col("key") == F.col("lead.key")).alias("first"), small.alias("small"), F.col("lead.page_id").alias("lead_id"), F.col("lead.url").alias("lead_url"))
-    # payloads are shuffled once, by key; equal rows stand together then and one of them responds
-    rows = pages.drop("digest", "bytes").join(ids, "key")
-    again = Window.partitionBy("key").orderBy("first")
-    rows = rows.withColumn("is_response", F.col("small") | (F.col("first") & (F.row_number().over(again) == 1)))
-    return rows.select("page_id", "url", "payload", "is_response", F.when(~F.col("is_response"), F.col("lead_id")).alias("refers_to"), F.when(~F.col("is_response"), F.col("lead_url")).alias("refers_url"))
+    pages = pages.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("long"))
+    least = F.col("bytes") < min_bytes
+    lead = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("page_id"), F.col("url").isNotNull().alias("named"), F.col("url").alias("url"))
+    # equal digests are equal payloads
+    groups = written(pages.where(~least).groupBy("digest", "bytes").agg(F.min(lead).alias("lead"), F.first("payload").alias("payload")), "payloads")
+    first = groups.select("lead.page_id", "lead.url", "payload", "bytes", "digest")
+    ids = pages.where(~least).groupBy("page_id", "url", "digest", "bytes").agg(F.count("*").alias("rows"))
+    ids = ids.join(groups.select("digest", "lead"), "digest")
+    leads = F.col("page_id").eqNullSafe(F.col("lead.page_id")) & F.col("url").eqNullSafe(F.col("lead.url"))
+    again = ids.withColumn("rows", F.col("rows") - leads.cast("int")).where("rows > 0")
+    # a row repeated very often is dealt out in lots before it becomes rows again
+    again = written(again.select("page_id", "url", "bytes", "digest", "lead", "rows"), "revisits")
+    lots = again.where(F.col("rows") > LOT).withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / LOT)))).repartition("page_id", "digest", "lot")
+    lots = lots.withColumn("rows", F.least(F.lit(LOT).cast("long"), F.col("rows") - F.col("lot") * LOT)).drop("lot")
+    again = again.where(F.col("rows") <= LOT).unionByName(lots).withColumn("one", F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int"))))
+    no_id, no_url = F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_url")
+    columns = ("page_id", "url", "payload", "bytes", "digest")
+    out = first.select(*columns, no_id, no_url, F.lit(True).alias("is_response"))
+    out = out.unionByName(again.select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "bytes", "digest", F.col("lead.page_id").alias("refers_to"), F.col("lead.url").alias("refers_url"), F.lit(False).alias("is_response")))
+    if min_bytes > 0:
+        out = out.unionByName(pages.where(least).select(*columns, no_id, no_url, F.lit(True).alias("is_response")))
+    return out
 
 
 def write(rows: DataFrame, folder: str) -> DataFrame:
@@ -115,30 +128,29 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
         try:
             for pdf in batches:
                 index = []
-                for page_id, url, payload, is_response, refers_to, refers_url in pdf.itertuples(index=False):
+                for page_id, url, payload, size, digest, is_response, refers_to, refers_url in pdf.itertuples(index=False):
                     if out is None or at >= FILE_BYTES:
                         if out is not None:
                             out.close()
                         path, at, k = f"{top}/{part:05d}-{attempt}-{k}.warc.gz", 0, k + 1
                         out = fs.open_output_stream(path, compression=None)
-                    page_id, payload = None if pd.isna(page_id) else int(page_id), bytes(payload)
-                    digest = base32_sha1(payload)
-                    data = record(page_id, url, payload, digest, None if is_response else (refers_to, refers_url))
+                    digest = base64.b32encode(bytes.fromhex(digest)).decode()
+                    data = record(page_id, url, bytes(payload) if is_response else None, size, digest, None if is_response else (refers_to, refers_url))
                     out.write(data)
-                    index.append((path, at, len(data), url, digest, "response" if is_response else "revisit", page_id, len(payload)))
+                    index.append((path, at, len(data), url, digest, "response" if is_response else "revisit", page_id, size))
                     at += len(data)
                 yield frame(index, INDEX)
         finally:
             if out is not None:
                 out.close()
 
-    rows = rows.select("page_id", "url", "payload", "is_response", "refers_to", "refers_url")
-    return written(rows.mapInPandas(run, INDEX), "warc-index")
+    rows = rows.select("page_id", "url", "payload", "bytes", "digest", "is_response", "refers_to", "refers_url")
+    return written(map_with_ids(rows, run, INDEX, "page_id", "refers_to"), "warc-index")
 
 
 def frame(rows: list[tuple], schema: str) -> pd.DataFrame:
     fields = [x.strip().split(" ") for x in schema.split(",")]
-    return pd.DataFrame({name: pd.Series([r[k] for r in rows], dtype="Int64" if kind == "long" else "object") for k, (name, kind) in enumerate(fields)})
+    return pd.DataFrame({name: pd.Series([r[k] for r in rows], dtype="Int64" if kind == "long" and name not in IDS else "object") for k, (name, kind) in enumerate(fields)})
 
 
 def members(stream, chunk: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
@@ -181,7 +193,7 @@ def index(spark: SparkSession, paths: Iterable[str], folder: str) -> DataFrame:
                     yield frame(rows, INDEX)
 
     paths = list(paths)
-    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)), "path").mapInPandas(run, INDEX)
+    return map_with_ids(spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)), "path"), run, INDEX, *IDS)
 
 
 def read(selected: DataFrame, folder: str, *, gap: int = 64 << 10, most: int = 8 << 20, payloads: bool = True) -> DataFrame:
@@ -220,7 +232,7 @@ def read(selected: DataFrame, folder: str, *, gap: int = 64 << 10, most: int = 8
     spark = selected.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranges = selected.select("path", "offset", "length").repartitionByRange(tasks, "path", "offset").sortWithinPartitions("path", "offset")
-    return ranges.mapInPandas(run, RECORD)
+    return map_with_ids(ranges, run, RECORD, *IDS)
 
 
 def round_trip(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:

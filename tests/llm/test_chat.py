@@ -35,16 +35,20 @@ def test_language():
 
 
 def test_constants_fold():
-    tree = chat.fold(chat.Parser("a{{ 'b' + 'c' | upper }}{% if 1 == 2 %}x{% elif true %}d{% else %}y{% endif %}{{ 'e' if false else '' }}" if False else "a{{ 'b' + 'c' | upper }}{% if 1 == 2 %}x{% elif true %}d{% else %}y{% endif %}").block(())[0])
+    tree = chat.fold(chat.Parser("a{{ 'b' + 'c' | upper }}{% if 1 == 2 %}x{% elif true %}d{% else %}y{% endif %}").block(())[0])
     assert tree == [chat.Text("abCd")]
     assert chat.fold(chat.Parser("{% if x and false %}a{% endif %}").block(())[0]) != []
     assert chat.fold(chat.Parser("{% if false and x %}a{% endif %}").block(())[0]) == []
 
 
-@pytest.mark.parametrize("bad", ["{% for x in %}", "{{ 1 + }}", "{{ x | nope }}", "{% if a %}", "{% while 1 %}", "{{ x( ) }}", "{{ 1 + 'a' }}", "{% if a %}b{% else %}c{% else %}d{% endif %}", "{{ __import__('os') }}"])
+@pytest.mark.parametrize("bad", ["{% for x in %}", "{{ 1 + }}", "{{ x | nope }}", "{% if a %}", "{% while 1 %}", "{{ x( ) }}", "{{ 1 + 'a' }}", "{% if a %}b{% else %}c{% else %}d{% endif %}", "{{ __import__('os') }}", "{{ 1 | length }}", "{{ 5 % 0 }}", "{{ 5 % x }}"])
 def test_errors(bad):
     with pytest.raises(chat.TemplateError):
-        chat.compiled(bad)([])
+        chat.compiled(bad)([], x=0)
+
+
+def test_what_is_missing_has_no_length():
+    assert render("{{ missing | length }}{{ messages | length }}") == "00"
 
 
 def test_sandbox():

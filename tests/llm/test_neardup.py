@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from kinfolio.llm import neardup
-from kinfolio.llm.components import components
+from kinfolio.operators.components import components
 
 DOCS = "doc_id long, text string, component_id string"
 

@@ -5,36 +5,58 @@ from kinfolio.llm import packing
 SCHEMA = "doc_id long, text string, place string"
 
 
+def plain_opening(length, waiting, capacities):
+    """What each capacity would cost per word if the rest of a bin were filled with the largest waiting piece that fits, again and again."""
+    best = None
+    for c in capacities:
+        if c < length:
+            continue
+        used, left = length, sorted(waiting, reverse=True)
+        while True:
+            fits = [x for x in left if x <= c - used]
+            if not fits:
+                break
+            left.remove(fits[0])
+            used += fits[0]
+        price = (min(k for k in capacities if k >= used) + packing.OVERHEAD) / used
+        if best is None or price <= best[0]:
+            best = (price, c)
+    return best[1]
+
+
 def plain(lengths, capacities):
-    """The same rule without the structures: every open bin is looked at for every piece."""
+    """The same rule without the structures: every open bin is looked at for every piece, every capacity is filled by search."""
     bins, where, places = [], [], []
     for k, x in enumerate(lengths):
-        fits = [(b["room"], n) for n, b in enumerate(bins) if b["room"] >= x]
+        fits = [b for b in bins if b["room"] >= x]
         if fits:
-            room = min(fits)[0]
-            n = next(n for n in reversed(order) if bins[n]["room"] == room) if False else max((bins[n]["stamp"], n) for r, n in fits if r == room)[1]
+            room = min(b["room"] for b in fits)
+            # of equal rooms, the bin that came to it last
+            chosen = max((b for b in fits if b["room"] == room), key=lambda b: b["stamp"])
         else:
-            waiting = packing.Counts()
-            for y in lengths[k + 1 :]:
-                waiting.add(y)
-            n = len(bins)
-            bins.append({"room": packing.opening(x, waiting, capacities), "used": 0, "stamp": 0})
-        where.append(n)
-        places.append(bins[n]["used"])
-        bins[n]["used"] += x
-        bins[n]["room"] -= x
-        bins[n]["stamp"] = k + 1
-    return where, places, [next(c for c in capacities if c >= b["used"]) for b in bins]
+            chosen = {"n": len(bins), "room": plain_opening(x, lengths[k + 1 :], capacities), "used": 0}
+            bins.append(chosen)
+        where.append(chosen["n"])
+        places.append(chosen["used"])
+        chosen["used"], chosen["room"], chosen["stamp"] = chosen["used"] + x, chosen["room"] - x, k + 1
+    return where, places, [min(c for c in capacities if c >= b["used"]) for b in bins]
 
 
 def test_best_fit_equals_plain_version():
     rng = random.Random(3)
-    for trial in range(40):
+    for trial in range(60):
         capacities = tuple(sorted(rng.sample(range(5, 60), 3)))
         lengths = sorted((rng.randint(1, capacities[-1]) for _ in range(rng.randint(0, 60))), reverse=True)
         assert packing.best_fit(lengths, capacities) == plain(lengths, capacities), trial
 
 
+def test_rows_repeated_often(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LOT", 7)
+    out = packing.pack(spark.createDataFrame([(None, "a b c", "")] * 40 + [(1, "a b", "")] * 9, SCHEMA)).collect()
+    assert sorted((r.doc_id is None, r.copy) for r in out) == [(False, k) for k in range(9)] + [(True, k) for k in range(40)]
+    assert sum(r.length for r in out) == 138
+
+
 def test_opening_prefers_the_cheaper_bin():
     waiting = packing.Counts()
     assert packing.opening(500, waiting, (512, 1024)) in (512, 1024)

@@ -6,10 +6,11 @@ import re
 import pytest
 
 import corpus_pipeline
-from kinfolio.llm import packing, pii, quality
+from kinfolio.llm import packing, pii
 
 from .test_mixing import brute_targets
 from .test_neardup import brute as brute_components
+from .test_quality import brute_statistics
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string"
 
@@ -64,7 +65,7 @@ def test_quality(results):
     before, after = results["quality_rules"]
 
     def fails(t):
-        n, _, _, _, repeat = quality.brute_statistics(t)
+        n, _, _, _, repeat = brute_statistics(t)
         return n < 10 or 100 * repeat > 20 * n
 
     kept = {key(r) for r in after}
@@ -133,3 +134,28 @@ def test_packing(results):
 
 def test_run_equals_the_stages(results):
     assert sorted(map(str, results["run"][1])) == sorted(map(str, results["best_fit_packing"][1]))
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None, None)] * 3, [(7, None, "en", "s", None, "x"), (7, "", "en", "s", 0, "x")]])
+def test_stages_of_empty_tables_and_of_nulls(spark, tmp_path, rows):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, DOCS)
+    want = {"quality_rules": 0, "near_duplicates": 1 if rows and rows[0][0] else len(rows), "personal_data": len(rows), "mix_sources": len(rows), "best_fit_packing": 0}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == want[name], name
+
+
+def test_columns_of_any_name_come_along(spark, tmp_path):
+    spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = ["kept", "size", "taken", "part", "key", "rep", "Count", "u", "slice"]
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(20)), "en", "s", 9, *range(len(names))) for k in range(40)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+
+
+def test_rows_of_one_id_leave_the_same_one(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, b, "en", "s", 1, "x"), (1, a, "en", "s", 1, "y"), (1, a, "en", "s", 1, "x"), (2, b, "en", "s", 1, "x")]
+    for order in (rows, rows[::-1]):
+        out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(order, DOCS).repartition(3), "").collect()
+        assert [(r.doc_id, r.text, r.kept) for r in out] == [(1, a, "x")]

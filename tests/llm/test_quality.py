@@ -1,17 +1,32 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from kinfolio.llm import quality
 
 DOCS = "doc_id long, text string, quality string"
 
 
+def brute_statistics(text, window=5):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + window]) for i in range(len(words) - window + 1)]
+    counts, cover = Counter(windows), set()
+    for i, w in enumerate(windows):
+        if counts[w] > 1:
+            cover.update(range(i, i + window))
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(cover)
+
+
 def test_statistics_equal_brute_force():
     rng = random.Random(2)
     for _ in range(8000):
         t = "".join(rng.choice(["a", "b", " ", "\n", "\t", "#", " ", "é", "\x1c", "a b c d e "]) for _ in range(rng.randint(0, 60)))
-        assert tuple(quality.statistics(t.encode())[0]) == quality.brute_statistics(t), repr(t)
+        assert tuple(quality.statistics(t.encode())[0]) == brute_statistics(t), repr(t)
     assert quality.statistics(None)[0] == [0, 0, 0, 0, 0]
 
 
@@ -54,8 +69,17 @@ def test_verdicts(spark):
     assert all(by[k].kept for k in range(1, 150, 2)) and not any(by[k].kept for k in range(151, 300, 2))
     assert by[900].base_failed and by[901].n_words == 0 and by[902].base_failed
     assert by[903].base_failed and not by[903].kept and by[903].n_repeat_words == 45
-    kept = quality.assess(docs, model, keep_columns=True)
-    assert kept.columns == [*docs.columns, "_kept"]
-    assert sorted(r.text or "" for r in kept.where("_kept").collect()) == sorted(t or "" for r, (_, t, _) in zip(quality.assess(docs.coalesce(1), model).collect(), rows, strict=True) if r.kept)
+    kept = quality.accepted(docs, model)
+    assert kept.columns == docs.columns
+    assert sorted(r.text or "" for r in kept.collect()) == sorted(t or "" for r, (_, t, _) in zip(quality.assess(docs.coalesce(1), model).collect(), rows, strict=True) if r.kept)
+    assert quality.accepted(docs.withColumn("kept", F.lit(3)), model).columns == [*docs.columns, "kept"]
     none = quality.train(docs.limit(0), labels)
     assert quality.assess(docs.limit(0), none).count() == 0
+
+
+def test_cut_spares_good_texts():
+    rng = np.random.default_rng(2)
+    p, y = np.concatenate([rng.uniform(0.2, 1, 1000), rng.uniform(0, 0.5, 300)]), np.concatenate([np.ones(1000), np.zeros(300)])
+    cut = quality.sparing_cut(p, y)
+    assert (p[:1000] < cut).mean() <= 0.01 and (p[1000:] < cut).mean() > 0.3
+    assert quality.sparing_cut(np.full(5, 0.9), np.ones(5)) == 0.3 == quality.sparing_cut(np.zeros(0), np.zeros(0))

@@ -46,7 +46,14 @@ def test_select_and_payload(spark):
 
 
 def test_members_across_chunks():
-    data = [warc.record(k, "u", bytes([65 + k]) * 500 * k, "D", None) for k in range(6)]
+    data = [warc.record(k, "u", bytes([65 + k]) * 500 * k, 500 * k, "D", None) for k in range(6)]
     found = list(warc.members(io.BytesIO(b"".join(data)), chunk=37))
     assert [n for _, n, _ in found] == [len(d) for d in data]
     assert warc.parse(found[3][2])["payload"] == b"D" * 1500
+
+
+def test_a_row_repeated_often_has_one_response(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LOT", 7)
+    rows = [(5, "u", "same")] * 40 + [(5, None, "same"), (9, "u", "same"), (5, "u", "other")]
+    got = warc.round_trip(spark.createDataFrame([(*r, "") for r in rows], SCHEMA)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(str(tuple(r)) for r in got) == brute(rows)
