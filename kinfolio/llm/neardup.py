@@ -301,8 +301,8 @@ def across(left: DataFrame, standings: DataFrame, comp: DataFrame, reps: DataFra
     The giant's member in the middle is the group's pivot P; all are compared with it. For X and Y without a link to P,
     |X & Y| <= min(|X & P|, |Y & P|) + |(X - P) & (Y - P)|. So Y either shares shingles with X that P lacks, which are few
     and rare, or X and Y lie within P almost wholly and are smaller than P. The first kind is found by a join on the rarest
-    of those shingles, as many of each as no pair can do without (prefix filter); the second by sizes. Sketches and whole
-    sets decide. The bound holds for any pivot, so no link is lost.
+    of those shingles, as many of each as no pair can do without (prefix and positional filter); the second by sizes.
+    Sketches and whole sets decide. The bound holds for any pivot, so no link is lost.
     """
     percent = round(100 * similarity)
     whole = 100 + percent
@@ -350,18 +350,21 @@ def across(left: DataFrame, standings: DataFrame, comp: DataFrame, reps: DataFra
     able = able.withColumn("more", F.ceil(needs - 1e-6) - F.col("base")).where(F.size("held") >= F.col("more"))
     able = written(able.select(*id_, "comp", "outside", "size", "base", "more", "held"), "able")
 
-    def pairs(x: DataFrame, y: DataFrame, on: list[str], bound: Column | None = None) -> DataFrame:
-        """Pairs of different components, the first outside, whose sizes fit; a pair of two outside comes once."""
+    def pairs(x: DataFrame, y: DataFrame, on: list[str], common: Column) -> DataFrame:
+        """Pairs of different components, the first outside, whose sizes fit with ``common`` shingles at most; a pair of two
+        outside comes once."""
         x, y = x.alias("x"), y.alias("y")
         same = F.lit(True)
         for c in on:
             same &= F.col(f"x.{c}") == F.col(f"y.{c}")
         fit = (100 * F.col("x.size") >= percent * F.col("y.size")) & (100 * F.col("y.size") >= percent * F.col("x.size")) & (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.outside") | (F.col("x.rep") < F.col("y.rep")))
-        met = x.join(y, same & fit if bound is None else same & fit & bound)
+        met = x.join(y, same & fit & (whole * common >= percent * (F.col("x.size") + F.col("y.size"))))
         return met.select("x.g", F.col("x.rep").alias("xr"), F.col("x.which").alias("xw"), F.col("y.rep").alias("yr"), F.col("y.which").alias("yw")).distinct()
 
-    prefix = able.withColumn("shingle", F.explode(F.slice("held", F.lit(1), F.least(F.size("held"), F.size("held") - F.col("more") + 1).cast("int")))).drop("held")
-    met = pairs(prefix.where("outside"), prefix, ["g", "shingle"])
+    # where a pair meets first in the order of rarity, only what comes behind in both can be common too
+    prefix = able.select("*", F.posexplode(F.slice("held", F.lit(1), F.least(F.size("held"), F.size("held") - F.col("more") + 1).cast("int"))).alias("at", "shingle"))
+    prefix = prefix.withColumn("upto", F.size("held") - F.col("at")).drop("held", "at")
+    met = pairs(prefix.where("outside"), prefix, ["g", "shingle"], F.least("x.base", "y.base") + F.least("x.upto", "y.upto"))
     x = able.select("g", F.col("rep").alias("xr"), F.col("which").alias("xw"), F.col("size").alias("xs"), F.col("base").alias("xb"), F.col("held").alias("xh"))
     y = able.select("g", F.col("rep").alias("yr"), F.col("which").alias("yw"), F.col("size").alias("ys"), F.col("base").alias("yb"), F.col("held").alias("yh"))
     met = met.join(x, ["g", "xr", "xw"]).join(y, ["g", "yr", "yw"])
@@ -370,7 +373,7 @@ def across(left: DataFrame, standings: DataFrame, comp: DataFrame, reps: DataFra
     steps = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent)).cast("int")
     within = able.where("more <= 0").select(*id_, "comp", "outside", "size", "base", steps.alias("step"))
     around = within.where("outside").withColumn("step", F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)))
-    alone = pairs(around, within, ["g", "step"], whole * F.least("x.base", "y.base") >= percent * (F.col("x.size") + F.col("y.size"))).select("xr", "yr")
+    alone = pairs(around, within, ["g", "step"], F.least("x.base", "y.base")).select("xr", "yr")
     found = met.unionByName(alone).select(*ordered("xr", "yr")).distinct().join(tested, ["a", "b"], "left_anti")
     found = written(sketched(found, reps, similarity).select("a", "b").distinct(), "across")
     return comp if found.isEmpty() else merged(comp, confirmed(found, texts, width, similarity))
