@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import math
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import assign, datestamps, gallery, hdbscan, naming, photos, reports, similarity
+from .operators import assign, clustering, datestamps, gallery, naming, photos, reports, similarity
 from .session import session
-from .sources import exif, sqlite
+from .sources import exif, images, sqlite
 from .storage import written
 
 
@@ -30,7 +32,8 @@ def inspect_db(spark: SparkSession, args: argparse.Namespace) -> None:
     from .operators.ordinal import with_ordinal
 
     rows, faces = library(spark, args.db, args.photo_root)
-    reports.database_summary(rows, faces, identities(spark, args.recognition_db)).show(truncate=False)
+    counted = photos.vector_counts(sqlite.read_table(spark, args.recognition_db, "IdentityAttributes"), sqlite.read_table(spark, args.recognition_db, "FaceMatrices"))
+    reports.database_summary(rows, faces, counted).show(truncate=False)
     placed = faces.join(with_ordinal(rows.select("id", "album_path", "filename"), photos.listing_order(), "photo_ord").select(F.col("id").alias("photo_id"), "photo_ord"), "photo_id")
     reports.top_people(placed).show(truncate=False)
 
@@ -45,45 +48,61 @@ def detect_datestamps(spark: SparkSession, args: argparse.Namespace) -> None:
     datestamps.report(rows, show_clean=args.show_clean).show(100, truncate=30)
 
 
-def clustered(rows: DataFrame, faces: DataFrame, embeddings: DataFrame, known: DataFrame, args: argparse.Namespace) -> DataFrame:
-    """The result of ``cluster``: by nearest centroid, or by density with optional centroids as seeds."""
-    named = faces.select("photo_id", "face_idx", "person_name").join(rows.select(F.col("id").alias("photo_id")), "photo_id", "left_semi")
-    centroids = None
-    if args.semi_supervised or args.nearest_centroid:
-        tagged = faces.join(embeddings, ["photo_id", "face_idx"], "left").join(known.select("id", "name"), F.col("person_name") == F.col("name"))
-        centroids = similarity.identity_centroids(tagged, "id", ["photo_id", "face_idx"], args.max_seeds).withColumnRenamed("id", "identity_id")
-    if args.nearest_centroid:
-        return assign.nearest_centroid(embeddings, known, centroids, named, args.min_similarity)
-    dated = similarity.with_days(embeddings, rows)
-    points = similarity.feature_matrix(dated, temporal_sigma=args.temporal_sigma).select("photo_id", "face_idx", F.lit(None).cast("long").alias("identity_id"), "features")
-    if centroids is not None:
-        days = faces.join(similarity.with_days(faces.select("photo_id", "face_idx"), rows), ["photo_id", "face_idx"]).join(rows.select(F.col("id").alias("photo_id")), "photo_id", "left_semi").select("person_name", "days")
-        seeds = similarity.seed_rows(centroids, known, days, dated, temporal_sigma=args.temporal_sigma)
-        points = points.unionByName(seeds.select(F.lit(None).cast("long").alias("photo_id"), F.lit(None).cast("int").alias("face_idx"), "identity_id", "features"))
-    from .operators.ordinal import with_ordinal
-
-    points = similarity.pca(points, args.pca_dims, F.col("identity_id").isNull())
-    points = written(with_ordinal(points, [F.col("photo_id").asc_nulls_last(), F.col("face_idx"), F.col("identity_id")], "point"), "points")
-    labels = hdbscan.cluster(points, cut=args.cut_distance, min_cluster_size=args.min_cluster, epsilon=args.cluster_epsilon)
-    found = written(points.drop("features").join(labels, "point"), "clusters")
-    real = found.where("identity_id IS NULL").select("photo_id", "face_idx", "cluster_id").join(named, ["photo_id", "face_idx"])
-    seeded = naming.seed_names(found.where("identity_id IS NOT NULL"), known) if centroids is not None else None
-    return naming.named(real, naming.majority_names(real), seeded)
+def loaded(name: str) -> Any:
+    """``module:attribute``, imported: codecs and models are the caller's."""
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
 
 
 def cluster(spark: SparkSession, args: argparse.Namespace) -> None:
     rows, faces = library(spark, args.db, args.photo_root)
     rows = written(datestamps.annotated(photos.first_photos(rows, args.limit)), "annotated")
-    embeddings = spark.read.parquet(args.load_embeddings)
+    known = identities(spark, args.recognition_db)
+    compute = None
+    if args.codec and args.embedder:
+        codec, load = loaded(args.codec), loaded(args.embedder)
+        files = images.image_files(spark, args.photo_root) if args.photo_root else spark.createDataFrame([], "full_path string, content binary")
+        t = lambda name: sqlite.read_table(spark, args.thumbnails_db, name)
+        thumbnails = photos.thumbnails(t("UniqueHashes"), t("Thumbnails")) if args.thumbnails_db else None
+        compute = (files, thumbnails, codec, load)
+    if args.load_embeddings:
+        embeddings = spark.read.parquet(args.load_embeddings)
+    elif compute:
+        embeddings = written(assign.embed_faces(rows, faces, *compute), "embeddings")
+    else:
+        raise SystemExit("cluster needs --load-embeddings, or --codec and --embedder")
     if args.save_embeddings:
         embeddings.write.mode("overwrite").parquet(args.save_embeddings)
-    found = written(clustered(rows, faces, embeddings, identities(spark, args.recognition_db), args), "results")
-    naming.summary(found).orderBy("cluster_id").show(1000, truncate=False)
+    centroids = None
+    if args.semi_supervised:
+        if compute:
+            every, _ = library(spark, args.db, args.photo_root)
+            centroids = assign.crop_centroids(faces, known, every, *compute, max_per_identity=args.max_seeds)
+        else:
+            tagged = assign.tagged_faces(faces.join(embeddings, ["photo_id", "face_idx"], "left"), known)
+            centroids = similarity.identity_centroids(tagged, "identity_id", ["photo_id", "face_idx"], args.max_seeds)
+        centroids = written(centroids, "centroids")
+        naming.seeded_names(centroids, known).show(truncate=False)
+    if args.nearest_centroid:
+        if centroids is None:
+            raise SystemExit("--nearest-centroid requires --semi-supervised")
+        named = faces.select("photo_id", "face_idx", "person_name").join(rows.select(F.col("id").alias("photo_id")), "photo_id", "left_semi")
+        found = assign.nearest_centroid(embeddings, known, centroids, named, args.min_similarity)
+    else:
+        found = clustering.clustered(rows, faces, embeddings, known, centroids, temporal_sigma=args.temporal_sigma, min_cluster_size=args.min_cluster, pca_dims=args.pca_dims, epsilon=args.cluster_epsilon, cut=args.cut_distance)
+    found = written(found, "results")
+    # a line a cluster, as many as there are; fetched a partition at a time
+    print("cluster_id\tfaces\tassigned_name")
+    for r in naming.summary(found).orderBy("cluster_id").toLocalIterator():
+        print(r.cluster_id, r.faces, r.assigned_name, sep="\t")
     naming.breakdown(found, list(args.baby_names)).show(truncate=False)
     if args.export_html:
         shown = gallery.captions(found, rows)
-        images = spark.read.parquet(args.crops) if args.crops else shown.select("photo_id", "face_idx", F.lit(None).cast("binary").alias("jpeg")).limit(0)
-        gallery.write_pages(shown.join(images, ["photo_id", "face_idx"], "left"), args.export_html).agg(F.sum("rendered").alias("rendered")).show()
+        crops = spark.read.parquet(args.crops) if args.crops else shown.select("photo_id", "face_idx", F.lit(None).cast("binary").alias("jpeg")).limit(0)
+        if compute and not args.crops:
+            cut = images.crops(faces, images.photo_images(rows, compute[0], compute[1]), codec.decode, codec.cut, codec.size)
+            crops = cut.select("photo_id", "face_idx", F.col("crop").alias("jpeg"))
+        gallery.write_pages(written(shown.join(crops, ["photo_id", "face_idx"], "left"), "shown"), args.export_html).agg(F.sum("rendered").alias("rendered")).show()
 
 
 def parser() -> argparse.ArgumentParser:
@@ -97,7 +116,10 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--recognition-db", required=True)
     detect.add_argument("--limit", type=int, default=0)
     detect.add_argument("--show-clean", action="store_true")
-    clu.add_argument("--load-embeddings", required=True, help="Parquet of photo_id, face_idx, embedding")
+    clu.add_argument("--load-embeddings", help="Parquet of photo_id, face_idx, embedding; without it they are computed")
+    clu.add_argument("--codec", help="module:name of an assign.Codec that opens and cuts images")
+    clu.add_argument("--embedder", help="module:name of a function that loads a model: list of crops -> array of vectors")
+    clu.add_argument("--thumbnails-db", help="SQLite of thumbnails for photos that are not under --photo-root")
     clu.add_argument("--save-embeddings")
     clu.add_argument("--limit", type=int, default=500)
     clu.add_argument("--min-cluster", type=int, default=3)

@@ -30,20 +30,31 @@ def _with(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def _timestamp(text: Column, pattern: str, time: bool) -> Column:
-    """The first match as a timestamp without zone; NULL unless every part is in range (a second of 60 is not)."""
-    parts = F.array(*(_group(text, pattern, k).try_cast("int") for k in range(1, 7 if time else 4)))
+    """The first match as a timestamp without zone; NULL unless every part is in range (a second of 60 is not).
 
-    def made(p: Column) -> Column:
-        h, mi, s = (F.coalesce(p[k], F.lit(0)) for k in (3, 4, 5)) if time else (F.lit(0),) * 3
-        return F.when((p[0] >= 1) & (s < 60), F.try_make_timestamp_ntz(p[0], p[1], p[2], h, mi, s.cast("decimal(16,6)")))
+    The pattern is matched once; its parts are the runs of digits in the match.
+    """
+    parts = F.transform(F.split(F.nullif(F.regexp_extract(text, pattern, 0), F.lit("")), "[^0-9]+"), lambda p: p.try_cast("int"))
+    return _with(parts, _made if time else lambda p: _made(F.slice(p, 1, 3)))
 
-    return _with(parts, made)
+
+def _made(p: Column) -> Column:
+    h, mi, s = (F.coalesce(F.get(p, F.lit(k)), F.lit(0)) for k in (3, 4, 5))
+    return F.when((F.get(p, F.lit(0)) >= 1) & (s < 60), F.try_make_timestamp_ntz(F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.get(p, F.lit(2)), h, mi, s.cast("decimal(16,6)")))
+
+
+def _run_of_digits(text: Column, pattern: str) -> Column:
+    """The same for a pattern whose match is eight digits, a mark and six digits."""
+    found = F.nullif(F.regexp_extract(text, pattern, 0), F.lit(""))
+    parts = lambda m: F.array(*(F.substring(m, a, n).try_cast("int") for a, n in ((1, 4), (5, 2), (7, 2), (10, 2), (12, 2), (14, 2))))
+    return _with(found, lambda m: F.when(m.isNotNull(), _with(parts(m), _made)))
 
 
 def rect(xml: Column) -> Column:
     """struct(x, y, width, height) of a face rectangle, NULL unless the whole string is one."""
-    parts = F.struct(*(_group(xml, RECT, k).try_cast("long").alias(n) for k, n in enumerate(("x", "y", "width", "height"), 1)))
-    return F.when(xml.rlike(RECT), parts)
+    numbers = F.split(F.regexp_replace(xml, RECT, "$1,$2,$3,$4"), ",")
+    parts = lambda p: F.struct(*(F.get(p, F.lit(k)).try_cast("long").alias(n) for k, n in enumerate(("x", "y", "width", "height"))))
+    return F.when(xml.rlike(RECT), _with(numbers, parts))
 
 
 def folder_date(album_path: Column) -> Column:
@@ -54,7 +65,7 @@ def folder_date(album_path: Column) -> Column:
 
 def filename_date(name: Column) -> Column:
     """The first pattern whose leftmost match is a valid date decides."""
-    return F.coalesce(*(_timestamp(name, p, k < 2) for k, p in enumerate(FILENAME_DATES)))
+    return F.coalesce(_timestamp(name, FILENAME_DATES[0], True), _run_of_digits(name, FILENAME_DATES[1]), _timestamp(name, FILENAME_DATES[2], False))
 
 
 def library_date(raw: Column) -> Column:

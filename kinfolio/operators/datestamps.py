@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, parse
+from ..storage import written
 
 # fixed values: the names of the sources in the flags, in their order
 SOURCES = ("exif", "digikam", "filename", "folder")
@@ -63,12 +64,22 @@ def upper_median(values: Column) -> Column:
     return F.when(F.size(values) > 0, F.get(ordered, F.floor(F.size(values) / 2).cast("int")))
 
 
+def same_group(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``other`` for equal ``keys``; nulls are equal."""
+    named = other.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(named, same).drop(*(f"_{k}" for k in keys))
+
+
 def neighbour_medians(rows: DataFrame) -> DataFrame:
     """album_path, model, median: for each album and camera model the upper median of its clean exif dates.
 
     A flagged photo of a known model looks at clean photos of its album with that model or none; one of no known model at
-    all of the album's. So each (album, model) group takes part in up to three groups; ranks come from running counts of
-    equal dates, no group is collected, and no photo meets another.
+    all of the album's. So each (album, model) group takes part in up to three groups. The middle is looked for by months,
+    then by the days of its month, then by the times of its day, so a task orders the months of an album or the times of a
+    day, however many photos an album has.
     """
     clean = rows.where((F.size("datestamp_flags") == 0) & F.col("exif_date").isNotNull())
     clean = clean.select("album_path", F.coalesce("camera_model", F.lit("")).alias("model"), "exif_date")
@@ -80,11 +91,19 @@ def neighbour_medians(rows: DataFrame) -> DataFrame:
     unknown = counted.where("model = ''").join(models.where("for_model <> ''"), counted.album_path.eqNullSafe(models.album_path)).select(counted.album_path, "for_model", "exif_date", "n")
     every = counted.select("album_path", F.lit("").alias("for_model"), "exif_date", "n")
     merged = own.unionByName(unknown).unionByName(every).groupBy("album_path", "for_model", "exif_date").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy("album_path", "for_model")
-    ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("exif_date"))).withColumn("total", F.sum("n").over(group))
-    # the first date at which more than n // 2 dates have been seen
-    found = ranked.where(F.col("upto") > F.floor(F.col("total") / 2)).groupBy("album_path", "for_model").agg(F.min("exif_date").alias("median"))
-    return found.select("album_path", F.col("for_model").alias("model"), "median")
+    merged = written(merged, "dates")
+    group = ["album_path", "for_model"]
+    at = merged.groupBy(*group).agg(F.floor(F.sum("n") / 2).alias("before"))
+    rows = merged
+    for unit in (F.trunc("exif_date", "month"), F.to_date("exif_date"), F.col("exif_date")):
+        rows = rows.withColumn("unit", unit)
+        held = same_group(rows.groupBy(*group, "unit").agg(F.sum("n").alias("n")), at.select(*group, "before"), group)
+        # the unit in which more than ``before`` dates have been seen first
+        held = held.withColumn("upto", F.sum("n").over(Window.partitionBy(*group).orderBy("unit").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        held = held.where((F.col("upto") > F.col("before")) & (F.col("upto") - F.col("n") <= F.col("before")))
+        at = written(held.select(*group, "unit", (F.col("before") - F.col("upto") + F.col("n")).alias("before")), "middle")
+        rows = same_group(rows, at.drop("before"), [*group, "unit"]).drop("unit")
+    return at.select("album_path", F.col("for_model").alias("model"), F.col("unit").cast("timestamp_ntz").alias("median"))
 
 
 def corrected(rows: DataFrame) -> DataFrame:

@@ -33,20 +33,37 @@ def thumbs(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("jpeg").isNotNull()).withColumn("thumb", F.concat(F.lit('<div class="thumb" title="'), F.col("tooltip"), F.lit('"><img src="'), url, F.lit('" loading="lazy">'), name, F.lit("</div>")))
 
 
+# fixed values: the classes that labels, badges and faces are shown with
+STYLE = (
+    "body{margin:0;padding:1rem 1.5rem;background:#111;color:#eee;font-family:sans-serif}.cluster{margin:.8rem 0;border:1px solid #333}"
+    ".cluster summary{padding:.6rem 1rem;cursor:pointer}.badge{margin-left:.8rem;padding:.1rem .6rem;border-radius:1rem;font-size:.8rem}"
+    ".badge-named{background:#246}.badge-unknown{background:#443}.badge-noise{background:#422}.grid{display:flex;flex-wrap:wrap;gap:6px;padding:10px}"
+    ".thumb{position:relative}.thumb img{width:140px;height:140px;object-fit:cover;display:block}.thumb .label{position:absolute;bottom:0;width:100%;font-size:.7rem;background:#000a}"
+)
+
+
 def write_pages(rows: DataFrame, folder: str) -> DataFrame:
-    """Writes the gallery as text under ``folder``, a line per cluster heading or face, ordered; returns the shown counts.
+    """Writes the gallery as an HTML document under ``folder`` and returns the shown counts; images are inside as data URLs.
 
-    Lines are range-partitioned in gallery order and written by many tasks, so no task or driver holds the gallery; the
-    part files in name order are the page. A cluster without shown faces is left out, though its faces count in badges.
+    A line opens the document with its style and totals, a line heads each cluster, a line shows each face. Lines are
+    range-partitioned in gallery order and written by many tasks, so no task or driver holds the gallery; the part files in
+    name order are the document. A cluster without shown faces is left out, though its faces count in badges and totals.
     """
     shown = thumbs(rows)
     order = sizes(rows).join(shown.select("cluster_id").distinct(), "cluster_id", "left_semi")
     heads = cluster_order(rows).drop("first").join(order.select("cluster_id", F.col("first").alias("head")), "cluster_id")
     noise = F.col("cluster_id") == NOISE
-    head = F.concat(F.lit("<details"), F.when(noise, F.lit("")).otherwise(F.lit(" open")), F.lit(' class="cluster"><summary>'), parse.html_escape(F.col("label")), F.lit(' <span class="badge '), F.col("badge"), F.lit('">'), F.col("faces").cast("string"), F.lit(" faces</span></summary>"))
-    key = [noise.alias("last"), (-F.col("faces")).alias("size"), F.col("head").alias("first")]
-    lines = heads.select(*key, F.lit(0).alias("kind"), F.lit(None).cast("long").alias("photo_id"), F.lit(None).cast("int").alias("face_idx"), head.alias("value"))
+    head = F.concat(F.lit("<details"), F.when(noise, F.lit("")).otherwise(F.lit(" open")), F.lit(' class="cluster"><summary>'), parse.html_escape(F.col("label")), F.lit(' <span class="badge '), F.col("badge"), F.lit('">'), F.col("faces").cast("string"), F.lit(' faces</span></summary><div class="grid">'))
+    body, no_photo, no_face = F.lit(1).alias("part"), F.lit(None).cast("long").alias("photo_id"), F.lit(None).cast("int").alias("face_idx")
+    key = [body, noise.alias("last"), (-F.col("faces")).alias("size"), F.col("head").alias("first")]
+    lines = heads.select(*key, F.lit(0).alias("kind"), no_photo, no_face, head.alias("value"))
     lines = lines.unionByName(shown.join(heads.select("cluster_id", "faces", "head"), "cluster_id").select(*key, F.lit(1).alias("kind"), "photo_id", "face_idx", F.col("thumb").alias("value")))
-    lines = lines.unionByName(heads.select(*key, F.lit(2).alias("kind"), F.lit(None).cast("long").alias("photo_id"), F.lit(None).cast("int").alias("face_idx"), F.lit("</details>").alias("value")))
-    lines.orderBy("last", "size", "first", "kind", "photo_id", "face_idx").select("value").write.mode("overwrite").text(folder)
+    lines = lines.unionByName(heads.select(*key, F.lit(2).alias("kind"), no_photo, no_face, F.lit("</div></details>").alias("value")))
+    # one row each
+    totals = rows.agg(F.count_distinct(F.when(~noise, F.col("cluster_id"))).alias("clusters"), F.count("*").alias("faces")).crossJoin(F.broadcast(shown.agg(F.count("*").alias("rendered"))))
+    told = F.concat_ws(" · ", *(F.concat(parse.thousands(F.col(c)), F.lit(f" {t}")) for c, t in (("clusters", "clusters"), ("faces", "faces"), ("rendered", "thumbnails rendered"))))
+    opening = F.concat(F.lit(f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>Cluster gallery</title><style>{STYLE}</style></head><body><h1>Cluster gallery</h1><p class="stats">'), told, F.lit("</p>"))
+    for part, value in ((0, opening), (2, F.lit("</body></html>"))):
+        lines = lines.unionByName(totals.select(F.lit(part).alias("part"), value.alias("value")), allowMissingColumns=True)
+    lines.orderBy("part", "last", "size", "first", "kind", "photo_id", "face_idx").select("value").write.mode("overwrite").text(folder)
     return shown.groupBy("cluster_id").agg(F.count("*").alias("rendered"))

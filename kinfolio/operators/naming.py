@@ -24,6 +24,12 @@ def seed_names(seeds: DataFrame, identities: DataFrame) -> DataFrame:
     return alone.join(identities.select(F.col("id").alias("identity_id"), "name"), "identity_id").where(present(F.col("name"))).select("cluster_id", "name")
 
 
+def seeded_names(centroids: DataFrame, identities: DataFrame, n: int = 20) -> DataFrame:
+    """identity_id, name of the first ``n`` identities with a centroid, by id; an identity without a name shows its id."""
+    names = identities.select(F.col("id").alias("identity_id"), "name")
+    return centroids.select("identity_id").join(names, "identity_id", "left").orderBy("identity_id").limit(n).select("identity_id", F.coalesce("name", F.col("identity_id").cast("string")).alias("name"))
+
+
 def named(rows: DataFrame, majority: DataFrame, seeded: DataFrame | None = None) -> DataFrame:
     """Adds ``predicted_name`` (majority, else seed) and ``confidence`` (1 in a cluster, 0 in noise)."""
     out = rows.join(majority.withColumnRenamed("name", "_vote"), "cluster_id", "left")

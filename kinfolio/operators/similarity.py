@@ -5,6 +5,7 @@ Faces are rows of (photo_id, face_idx, embedding); centroids of (identity_id, ce
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,9 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, vectors
+from ..storage import written
 
 #: Centroids that are sent to every task, one row each of a vector: beyond, they are dealt to tasks in blocks.
 BROADCAST_CENTROIDS = 10_000
+#: Faces and centroids that meet in a task beyond that.
+BLOCK = 4096
 
 
 def mean_vector(rows: DataFrame, key: str, vector: str = "embedding", *, unit: bool = False) -> DataFrame:
@@ -39,10 +43,15 @@ def identity_centroids(rows: DataFrame, key: str, order: list[str], max_per_iden
 def pairwise(a: DataFrame, b: DataFrame, value: Column) -> DataFrame:
     """``value`` for each row of ``a`` with each of ``b``: the operator's result is that table.
 
-    ``b`` is the small side and its rows are counted: up to BROADCAST_CENTROIDS they are sent to every task.
+    ``b`` is the small side and its rows are counted: up to BROADCAST_CENTROIDS they are sent to every task, more are dealt
+    to blocks of that size which the rows of ``a`` meet one by one.
     """
     n = b.count()
-    return a.crossJoin(F.broadcast(b) if n <= BROADCAST_CENTROIDS else b).withColumn("similarity", value)
+    if n <= BROADCAST_CENTROIDS:
+        return a.crossJoin(F.broadcast(b)).withColumn("similarity", value)
+    blocks = math.ceil(n / max(1, BROADCAST_CENTROIDS))
+    met = a.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(b.withColumn("_block", F.pmod(F.xxhash64("j"), F.lit(blocks)).cast("int")), "_block")
+    return met.drop("_block").withColumn("similarity", value)
 
 
 def pairwise_cosine(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -117,9 +126,10 @@ def pca(rows: DataFrame, dims: int, fit_on: Column | None = None) -> DataFrame:
 def nearest(faces: DataFrame, centroids: DataFrame) -> DataFrame:
     """Adds ``identity_id`` and ``similarity`` of the nearest centroid, ties to the smaller id.
 
-    Few centroids (the count is checked) go to every task as a matrix; more are met through blocks of centroids, of which
+    Few centroids (the count is checked) go to every task as a matrix; of more, blocks of BLOCK meet lots of as many faces and
     each face keeps its best.
     """
+    centroids = written(centroids, "centroids")
     n = centroids.count()
     kept = [c for c in faces.columns if c not in ("identity_id", "similarity")]
     unit = faces.select(*kept, vectors.l2_normalize(F.col("embedding")).alias("_u"))
@@ -139,7 +149,18 @@ def nearest(faces: DataFrame, centroids: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"identity_id": ids[k], "similarity": sims[np.arange(len(k)), k]})
 
         return unit.withColumn("_b", best("_u")).select(*kept, "_b.identity_id", "_b.similarity")
-    met = unit.crossJoin(centroids.select("identity_id", vectors.l2_normalize(F.col("centroid")).alias("_c")))
-    sim = vectors.dot(F.col("_u"), F.col("_c"))
-    top = met.groupBy("photo_id", "face_idx").agg(F.max_by(F.struct("identity_id", sim.alias("similarity")), F.struct(sim, -F.col("identity_id"))).alias("_b"))
-    return faces.join(top, ["photo_id", "face_idx"]).select(*kept, "_b.identity_id", "_b.similarity")
+    blocks, lots = max(1, math.ceil(n / BLOCK)), max(1, math.ceil(faces.count() / BLOCK))
+    mine = unit.select("photo_id", "face_idx", "_u").withColumn("_lot", F.pmod(F.xxhash64("photo_id", "face_idx"), F.lit(lots)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    theirs = centroids.select("identity_id", vectors.l2_normalize(F.col("centroid")).alias("_c")).withColumn("_block", F.pmod(F.xxhash64("identity_id"), F.lit(blocks)).cast("int")).withColumn("_lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+
+    def meet(x: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(c):
+            return pd.DataFrame({"photo_id": [], "face_idx": [], "identity_id": [], "similarity": []})
+        c = c.sort_values("identity_id")
+        sims = np.stack([np.asarray(v, float) for v in x["_u"]]) @ np.stack([np.asarray(v, float) for v in c["_c"]]).T
+        k = sims.argmax(axis=1)
+        return pd.DataFrame({"photo_id": x["photo_id"].to_numpy(), "face_idx": x["face_idx"].to_numpy(), "identity_id": c["identity_id"].to_numpy()[k], "similarity": sims[np.arange(len(k)), k]})
+
+    met = mine.groupBy("_lot", "_block").cogroup(theirs.groupBy("_lot", "_block")).applyInPandas(meet, "photo_id long, face_idx int, identity_id long, similarity double")
+    top = met.groupBy("photo_id", "face_idx").agg(F.max(F.struct("similarity", (-F.col("identity_id")).alias("_i"))).alias("_b"))
+    return faces.join(top, ["photo_id", "face_idx"]).select(*kept, (-F.col("_b._i")).alias("identity_id"), "_b.similarity")

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, parse, vectors
-from ..operators import assign, datestamps, gallery, hdbscan, naming, photos, reports, similarity
-from ..storage import shared_dir, written
+from ..operators import assign, clustering, datestamps, gallery, hdbscan, naming, photos, reports, similarity
+from ..storage import new_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -294,7 +294,7 @@ UNION ALL SELECT 'known_identities', count(DISTINCT label) FROM embeddings UNION
 )
 def db_summary(spark: SparkSession, sf: str) -> DataFrame:
     (embeddings,) = tables(spark, sf, "embeddings")
-    identities = embeddings.groupBy(F.col("label").alias("id")).agg(F.collect_list("vec_id").alias("embeddings"))
+    identities = embeddings.groupBy(F.col("label").alias("id")).agg(F.count("vec_id").alias("vectors"))
     return reports.database_summary(photo_rows(spark, sf), face_rows(spark, sf), identities)
 
 
@@ -476,13 +476,13 @@ ASSIGNED = (
 used AS (SELECT best, dense_rank() OVER (ORDER BY best) - 1 AS cid FROM (SELECT DISTINCT best FROM b WHERE sim >= 0.25)),
 r AS (SELECT photo_id, face_idx, CAST(CASE WHEN sim >= 0.25 THEN cid ELSE -1 END AS BIGINT) AS cluster_id, CASE WHEN b.label % 3 <> 0 THEN 'tag ' || b.label END AS person_name,
   CASE WHEN sim >= 0.25 THEN CASE WHEN b.best <> 9 THEN 'person ' || b.best ELSE '' END END AS predicted_name, CASE WHEN sim >= 0.25 THEN sim ELSE 0.0 END AS confidence
-  FROM b LEFT JOIN used ON used.best = b.best WHERE vec_id % 11 <> 5)"""
+  FROM b LEFT JOIN used ON used.best = b.best)"""
 )
 
 
 def assigned(spark: SparkSession, sf: str) -> DataFrame:
     faces = vec_faces(spark, sf)
-    known = faces.where(F.col("vec_id") % 11 != 5).select("photo_id", "face_idx", F.when(F.col("label") % 3 != 0, F.concat(F.lit("tag "), F.col("label").cast("string"))).alias("person_name"))
+    known = faces.select("photo_id", "face_idx", F.when(F.col("label") % 3 != 0, F.concat(F.lit("tag "), F.col("label").cast("string"))).alias("person_name"))
     return assign.nearest_centroid(faces, labels(spark, sf), centroids(spark, sf), known, 0.25)
 
 
@@ -573,9 +573,123 @@ def embedding_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("photo_id", "face_idx", (F.round(F.aggregate(vectors.doubles(F.col("embedding")), F.lit(0.0), lambda s, x: s + x), 6) + F.lit(0.0)).alias("total"))
 
 
-@query()
+@query(f"WITH {ASSIGNED} SELECT cluster_id, count(*) AS rendered FROM r JOIN orders ON o_orderkey = photo_id GROUP BY cluster_id")
 def gallery_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Writes the gallery's pages, with a line of bytes for an image, and returns the counts shown."""
     photo = photo_rows(spark, sf).select("id", "digikam_date", "folder_date")
     rows = gallery.captions(assigned(spark, sf), photo).withColumn("jpeg", F.col("photo_id").cast("string").cast("binary"))
-    return gallery.write_pages(written(rows, "gallery"), f"{shared_dir(spark)}/kinfolio/gallery")
+    return gallery.write_pages(written(rows, "gallery"), new_path(spark, "gallery"))
+
+
+# identities with their vectors, gaps filled from files, tags and days
+
+#: Little-endian floats 1, 2 and -3, by customer.
+_FLOATS = ("0000803F", "00000040", "000040C0")
+
+
+@query(
+    """SELECT n_nationkey AS id, n_name AS name, count(c_custkey) AS vectors, coalesce(string_agg([1, 2, -3][c_custkey % 3 + 1], ',' ORDER BY c_custkey), '') AS firsts
+FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name"""
+)
+def identity_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    nation, customer = tables(spark, sf, "nation", "customer")
+    attributes = nation.select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").alias("rowid"), F.lit("name").alias("attribute"), F.col("n_name").alias("value"))
+    first = F.element_at(F.array(*map(F.lit, _FLOATS)), (F.col("c_custkey") % 3 + 1).cast("int"))
+    matrices = customer.select(F.col("c_nationkey").alias("identity"), F.col("c_custkey").alias("rowid"), F.unhex(F.concat(first, F.lit("0000003F"))).alias("embedding"))
+    rows = photos.identities(attributes, matrices).join(photos.vector_counts(attributes, matrices).select("id", "vectors"), "id")
+    return rows.select("id", "name", "vectors", F.array_join(F.transform("embeddings", lambda v: v[0].cast("int").cast("string")), ",").alias("firsts"))
+
+
+@query(
+    f"""WITH {PHOTOS} SELECT id, CASE WHEN id % 2 = 0 AND exif_date IS NOT NULL THEN exif_date WHEN id % 5 <> 0 THEN filename_date END AS exif_date,
+  CASE WHEN id % 3 = 0 AND id % 5 <> 0 THEN 'maker' WHEN id % 3 = 0 THEN '' ELSE 'own' END AS camera_make, CASE WHEN camera_model IS NOT NULL THEN camera_model WHEN id % 5 <> 0 THEN 'model' END AS camera_model FROM photos"""
+)
+def exif_fill(spark: SparkSession, sf: str) -> DataFrame:
+    rows, k = photo_rows(spark, sf), F.col("id")
+    path = F.concat(F.lit("/p/"), k.cast("string"))
+    tags = rows.where(k % 5 != 0).select(path.alias("full_path"), F.col("filename_date").alias("date"), F.lit("maker").alias("make"), F.lit("model").alias("model"))
+    bare = rows.select("id", path.alias("full_path"), F.when(k % 2 == 0, F.col("exif_date")).alias("exif_date"), F.when(k % 3 == 0, "").otherwise("own").alias("camera_make"), "camera_model")
+    return photos.fill_exif(bare, tags).drop("full_path")
+
+
+@query(f"WITH {FACES} SELECT photo_id, CAST(face_idx AS INT) AS face_idx, p_partkey AS identity_id FROM faces JOIN part ON p_name = person_name AND p_partkey % 3 = 0")
+def tagged_faces(spark: SparkSession, sf: str) -> DataFrame:
+    (part,) = tables(spark, sf, "part")
+    ids = part.where(F.col("p_partkey") % 3 == 0).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return assign.tagged_faces(face_rows(spark, sf), ids).select("photo_id", "face_idx", "identity_id")
+
+
+@query(f"WITH {CORRECTED} SELECT vec_id, round(CASE WHEN corrected_date IS NULL THEN 0.0 ELSE date_diff('microsecond', TIMESTAMP '2000-01-01', corrected_date) / 86400000000.0 END, 6) AS days FROM embeddings LEFT JOIN fixed ON id = vec_id // 3")
+def face_days(spark: SparkSession, sf: str) -> DataFrame:
+    faces = vec_faces(spark, sf).drop("days")
+    return similarity.with_days(faces, datestamps.annotated(photo_rows(spark, sf), LIMITS)).select("vec_id", F.round("days", 6).alias("days"))
+
+
+# an image says its size, a crop its box, and the model gives the box as a vector
+
+
+def _decoded(data: bytes) -> tuple[int, int]:
+    width, height = data.decode().split("x")
+    return int(width), int(height)
+
+
+def _cut(image: tuple[int, int], box: tuple[int, int, int, int]) -> bytes:
+    return ",".join(map(str, box)).encode()
+
+
+def _load() -> Callable:
+    return lambda crops: [[float(x) for x in bytes(c).decode().split(",")] for c in crops]
+
+
+CODEC = assign.Codec(_decoded, lambda image: image, _cut)
+
+
+def pictures(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Photos, files of most of them, and thumbnails of others; one file in seven cannot be read."""
+    (orders,) = tables(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    rows = orders.select(k.alias("id"), F.concat(F.lit("/p/"), k.cast("string")).alias("full_path"), F.concat(F.lit("h"), k.cast("string")).alias("unique_hash"), F.lit(9).cast("long").alias("file_size"))
+    files = rows.where("id % 3 <> 0").select("full_path", F.when(F.col("id") % 7 == 1, F.lit("broken")).otherwise(F.lit("40x60")).cast("binary").alias("content"))
+    return rows, files, rows.where("id % 3 = 0").select("unique_hash", "file_size", F.lit("30x45").cast("binary").alias("data"))
+
+
+BOXES = (
+    FACES
+    + """,
+sized AS (SELECT *, CASE WHEN photo_id % 3 = 0 THEN 30 ELSE 40 END AS iw, CASE WHEN photo_id % 3 = 0 THEN 45 ELSE 60 END AS ih, CAST(trunc(width * 0.3) AS BIGINT) AS px, CAST(trunc(height * 0.3) AS BIGINT) AS py FROM faces WHERE photo_id % 3 = 0 OR photo_id % 7 <> 1),
+boxes AS (SELECT *, greatest(0, x - px) AS x0, greatest(0, y - py) AS y0, least(iw, x + width + px) AS x1, least(ih, y + height + py) AS y1 FROM sized),
+crops AS (SELECT * FROM boxes WHERE x1 - x0 >= 4 AND y1 - y0 >= 4)"""
+)
+
+
+@query(f"WITH {BOXES} SELECT photo_id, CAST(face_idx AS INT) AS face_idx, x0 || ',' || y0 || ',' || x1 || ',' || y1 AS box FROM crops")
+def embed_all_faces(spark: SparkSession, sf: str) -> DataFrame:
+    rows, files, thumbs = pictures(spark, sf)
+    found = assign.embed_faces(rows, face_rows(spark, sf), files, thumbs, CODEC, _load)
+    return found.select("photo_id", "face_idx", F.array_join(F.transform("embedding", lambda v: v.cast("int").cast("string")), ",").alias("box"))
+
+
+@query(
+    f"""WITH {BOXES}, t AS (SELECT p_partkey AS id, f.photo_id, f.face_idx, row_number() OVER (PARTITION BY p_partkey ORDER BY f.photo_id, f.face_idx) AS k FROM faces f JOIN part ON p_name = person_name AND p_partkey % 3 = 0),
+m AS (SELECT id, avg(x0) AS a, avg(y0) AS b, avg(x1) AS c, avg(y1) AS d FROM t JOIN crops ON crops.photo_id = t.photo_id AND crops.face_idx = t.face_idx WHERE k <= 5 GROUP BY id)
+SELECT id AS identity_id, {joined("[a / n, b / n, c / n, d / n]", 5)} AS centroid FROM (SELECT *, sqrt(a * a + b * b + c * c + d * d) AS n FROM m)"""
+)
+def crop_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    rows, files, thumbs = pictures(spark, sf)
+    (part,) = tables(spark, sf, "part")
+    ids = part.where(F.col("p_partkey") % 3 == 0).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return assign.crop_centroids(face_rows(spark, sf), ids, rows, files, thumbs, CODEC, _load, 5).select("identity_id", shown(F.col("centroid"), 5).alias("centroid"))
+
+
+@query(f"WITH {UNIT} SELECT DISTINCT CAST(label AS BIGINT) AS identity_id, CASE WHEN label <> 9 THEN 'person ' || label ELSE '' END AS name FROM u ORDER BY identity_id LIMIT 20")
+def seeded_names(spark: SparkSession, sf: str) -> DataFrame:
+    return naming.seeded_names(centroids(spark, sf), labels(spark, sf))
+
+
+@query()
+def clustering_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Faces clustered with the labels' centroids as seeds; the tests hold the parts against plain versions."""
+    rows = datestamps.annotated(photo_rows(spark, sf), LIMITS).select("id", "corrected_date")
+    faces = vec_faces(spark, sf).select("photo_id", "face_idx", "embedding", F.when(F.col("label") % 3 != 0, F.concat(F.lit("tag "), F.col("label").cast("string"))).alias("person_name"))
+    found = clustering.clustered(rows, faces, faces, labels(spark, sf), centroids(spark, sf), temporal_weight=0.0, cut=1.0)
+    return found.select("photo_id", "face_idx", "cluster_id", "person_name", "predicted_name", "confidence")

@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 #: Columns of a library's tables that the operators read, with their types.
 LIBRARY = {
-    "AlbumRoots": "specificPath string",
+    "AlbumRoots": "rowid long, specificPath string",
     "Albums": "id long, relativePath string",
     "Images": "id long, name string, fileSize long, uniqueHash string, album long, status int",
     "ImageInformation": "imageid long, creationDate string, width long, height long",

@@ -1,10 +1,20 @@
 import random
 
+import pytest
+
 from kinfolio import cli
+from kinfolio.operators.assign import Codec
 
 from .test_library import library  # noqa: F401
 
 
+CODEC = Codec(lambda data: data, lambda image: (100, 80), lambda image, box: repr(box).encode())
+
+
+def load():
+    return lambda crops: [[float(len(c)), 1.0] for c in crops]
+
+
 def test_commands(spark, library, tmp_path, capsys):  # noqa: F811
     cli.main(["inspect-db", "--db", library, "--recognition-db", library], spark)
     out = capsys.readouterr().out
@@ -18,5 +28,20 @@ def test_commands(spark, library, tmp_path, capsys):  # noqa: F811
     cli.main([*base, "--export-html", str(tmp_path / "g")], spark)
     assert "cluster_id" in capsys.readouterr().out and (tmp_path / "g").is_dir()
     cli.main([*base, "--semi-supervised", "--min-cluster", "2", "--cut-distance", "5"], spark)
-    cli.main([*base, "--nearest-centroid"], spark)
+    capsys.readouterr()
+    cli.main([*base, "--nearest-centroid", "--semi-supervised"], spark)
     assert "assigned_name" in capsys.readouterr().out
+    with pytest.raises(SystemExit, match="requires --semi-supervised"):
+        cli.main([*base, "--nearest-centroid"], spark)
+    page = "".join(p.read_text() for p in sorted((tmp_path / "g").glob("part-*")))
+    assert page.startswith("<!DOCTYPE html>") and page.rstrip().endswith("</html>") and "thumbnails rendered" in page
+
+
+def test_embeddings_are_computed_from_thumbnails(spark, library, tmp_path, capsys):  # noqa: F811
+    with pytest.raises(SystemExit, match="--codec"):
+        cli.main(["cluster", "--db", library, "--recognition-db", library, "--baby-names", "Ann"], spark)
+    base = ["cluster", "--db", library, "--recognition-db", library, "--thumbnails-db", library, "--codec", "tests.test_cli:CODEC", "--embedder", "tests.test_cli:load", "--baby-names", "Ann"]
+    cli.main([*base, "--save-embeddings", str(tmp_path / "e"), "--export-html", str(tmp_path / "g")], spark)
+    assert {(r.photo_id, r.face_idx) for r in spark.read.parquet(str(tmp_path / "e")).collect()} == {(1, 0), (1, 1)}
+    page = "".join(p.read_text() for p in sorted((tmp_path / "g").glob("part-*")))
+    assert page.count("<img") == 2 and "2 thumbnails rendered" in page

@@ -30,7 +30,7 @@ def library(tmp_path_factory):
         """
     )
     many = lambda t, rows: c.executemany(f"INSERT INTO {t} VALUES ({','.join('?' * len(rows[0]))})", rows)
-    many("AlbumRoots", [("/photos",)])
+    many("AlbumRoots", [("/photos",), ("/a-second-root",)])
     many("Albums", [(1, "/2010-10-25 trip"), (2, "/misc")])
     many("Images", [(1, "a.jpg", 10, "h1", 1, 1), (2, "20110219_165529.jpg", 20, "h2", 2, 1), (3, "gone.jpg", 30, "h3", 1, 3), (4, "no-album.jpg", 40, "h4", 9, 1), (5, "b.jpg", 0, "h5", 1, 1)])
     many("ImageInformation", [(1, "2010-10-25T02:03:04.567", 100, 80), (2, "bad", 50, 50)])
@@ -90,7 +90,7 @@ def test_images(spark, table, photo_table, tmp_path):
 
 def test_summary(table, photo_table):
     faces = photos.faces(table("ImageTagProperties"), table("Tags"))
-    got = {r.metric: r.value for r in reports.database_summary(photo_table, faces, photos.identities(table("IdentityAttributes"), table("FaceMatrices"))).collect()}
+    got = {r.metric: r.value for r in reports.database_summary(photo_table, faces, photos.vector_counts(table("IdentityAttributes"), table("FaceMatrices"))).collect()}
     assert got == {"total_photos": 3, "albums": 2, "photos_with_faces": 2, "face_regions": 3, "tagged_regions": 2, "known_identities": 2, "identity_vectors": 2}
     people = reports.top_people(faces.withColumn("photo_ord", F.col("photo_id"))).collect()
     assert [(r.person_name, r.faces) for r in people] == [("Ann", 1), ("Bob", 1)]
