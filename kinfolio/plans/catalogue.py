@@ -558,8 +558,9 @@ def core_distance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def hdbscan_labels(spark: SparkSession, sf: str) -> DataFrame:
-    rows = similarity.feature_matrix(vec_faces(spark, sf)).select(F.col("vec_id").alias("point"), "features")
-    return hdbscan.cluster(written(rows, "features"), cut=1.2)
+    """Without the time feature: by it all points of these tables hang together."""
+    rows = similarity.feature_matrix(vec_faces(spark, sf), temporal_sigma=0.0).select(F.col("vec_id").alias("point"), "features")
+    return hdbscan.cluster(written(rows, "features"), cut=1.17)
 
 
 @query()
@@ -691,5 +692,5 @@ def clustering_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """Faces clustered with the labels' centroids as seeds; the tests hold the parts against plain versions."""
     rows = datestamps.annotated(photo_rows(spark, sf), LIMITS).select("id", "corrected_date")
     faces = vec_faces(spark, sf).select("photo_id", "face_idx", "embedding", F.when(F.col("label") % 3 != 0, F.concat(F.lit("tag "), F.col("label").cast("string"))).alias("person_name"))
-    found = clustering.clustered(rows, faces, faces, labels(spark, sf), centroids(spark, sf), temporal_weight=0.0, cut=1.0)
+    found = clustering.clustered(rows, faces, faces, labels(spark, sf), centroids(spark, sf), temporal_sigma=0.0, cut=1.17)
     return found.select("photo_id", "face_idx", "cluster_id", "person_name", "predicted_name", "confidence")

@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 
 import numpy as np
@@ -201,3 +202,39 @@ def test_pages(spark, tmp_path):
 def test_ordinals(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("v"))
     assert [r.ordinal for r in with_ordinal(rows, [F.col("v")]).orderBy("v").collect()] == list(range(1000))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_query_equals_naive(spark):
+    from kinfolio.plans import catalogue
+
+    got = {r.point: r.cluster_id for r in catalogue.QUERIES["hdbscan_labels"](spark, "/root/testdata/sf0.001").collect()}
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], float)
+    core, edges = naive_tree(x / np.linalg.norm(x, axis=1, keepdims=True))
+    assert len(set(got.values())) > 10 and sorted(got) == [r.vec_id for r in rows]
+    # faces of one cluster hang together within the cut, through core distances
+    group = list(range(len(rows)))
+    for w, a, b in edges:
+        if w <= 1.17:
+            group = [group[a] if g == group[b] else g for g in group]
+    for c in set(got.values()) - {-1}:
+        assert len({group[k] for k, r in enumerate(rows) if got[r.vec_id] == c}) == 1
+
+
+def naive_tree(x):
+    """Core distances and the edges of a spanning tree of mutual reachability, by Kruskal."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    core = np.sort(d, axis=1)[:, 1]
+    m = np.maximum(np.maximum(core[:, None], core[None]), d)
+    up, edges = list(range(len(x))), []
+    for i, j in sorted(itertools.combinations(range(len(x)), 2), key=lambda p: m[p]):
+        a, b = i, j
+        while up[a] != a:
+            a = up[a]
+        while up[b] != b:
+            b = up[b]
+        if a != b:
+            up[b] = a
+            edges.append((m[i, j], i, j))
+    return core, edges
