@@ -1,10 +1,12 @@
 """Density-based hierarchical clustering (Campello, Moulavi, Sander 2013; McInnes, Healy 2017; Malzer, Baum 2020).
 
 Points farther apart than ``cut`` never share a cluster, so the hierarchy splits into the connected components of the
-graph of pairs within ``cut``. Spark finds core distances and components from blocks of points; each component's tree is
-then built in a task of its own. The part of the hierarchy above ``cut`` is not built: where there are several components
-each counts as a cluster born at distance ``cut``. With an infinite ``cut`` there is one component and one tree, as in a
-single-machine library.
+graph of pairs within ``cut``. Spark finds core distances, components and spanning trees from pairs of blocks of points:
+an edge of a component's tree is in the tree of every pair of blocks that holds both its ends, so the trees of the pairs
+hold the whole one and are thinned to it lot by lot. Vectors of a component never meet in one task; its n - 1 edges do,
+where its clusters are read off them. The part of the hierarchy above ``cut`` is not built: where there are several
+components each counts as a cluster born at distance ``cut``. With an infinite ``cut`` there is one component and one tree,
+as in a single-machine library.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ from .ordinal import with_ordinal
 
 #: Points of a block; two blocks meet in a task.
 BLOCK = 2048
+#: Lots of edges that are thinned to one.
+FAN = 8
+EDGE = "component long, lot long, a long, b long, weight double"
 
 
 def block_pairs(rows: DataFrame, n: int) -> DataFrame:
@@ -93,29 +98,34 @@ def within(rows: DataFrame, cut: float) -> DataFrame:
     return rows.join(found, rows.point == found.node, "left").select("point", F.coalesce("component", "point").alias("component"))
 
 
-def spanning_tree(x: np.ndarray, core: np.ndarray) -> np.ndarray:
-    """Edges (weight, low, high) of a minimum spanning tree of mutual reachability, by Prim with a row at a time."""
+def spanning_tree(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(low, high, weight): the minimum spanning tree of mutual reachability, by Prim with a row at a time.
+
+    Edges of equal weight are ordered by their lower, then their higher row: one tree is least, and of the rows of a subset
+    the tree holds all its edges among them.
+    """
     n = len(x)
-    best, of, left, at = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool), 0
-    left[0], edges = False, []
+    rows, left = np.arange(n), np.ones(n, bool)
+    best, low, high = np.full(n, np.inf), np.full(n, n), np.full(n, n)
+    at, edges = 0, []
+    left[0] = False
     for _ in range(n - 1):
         d = np.maximum(np.maximum(np.sqrt(((x - x[at]) ** 2).sum(axis=1)), core), core[at])
-        closer = left & (d < best)
-        best[closer], of[closer] = d[closer], at
-        nxt = int(np.where(left, best, np.inf).argmin())
-        edges.append((best[nxt], min(of[nxt], nxt), max(of[nxt], nxt)))
-        left[nxt], at = False, nxt
-    return np.array(sorted(edges), float).reshape(-1, 3)
-
-
-def labels(x: np.ndarray, core: np.ndarray, min_cluster_size: int, epsilon: float, birth: float | None) -> np.ndarray:
-    """Cluster of each point, -1 for noise, by excess of mass. ``birth``: lambda of the root if it may be a cluster."""
-    n = len(x)
-    if n < max(2, min_cluster_size):
-        return np.full(n, -1)
-    edges = spanning_tree(x, core)
-    # the dendrogram: node n + k joins the two trees of edge k
-    parent, top = np.arange(2 * n - 1), list(range(n))
+        lo, hi = np.minimum(rows, at), np.maximum(rows, at)
+        closer = left & ((d < best) | ((d == best) & ((lo < low) | ((lo == low) & (hi < high)))))
+        best[closer], low[closer], high[closer] = d[closer], lo[closer], hi[closer]
+        tied = np.flatnonzero(left & (best == best[left].min()))
+        at = int(tied[np.lexsort((high[tied], low[tied]))[0]])
+        edges.append((low[at], high[at], best[at]))
+        left[at] = False
+    low, high, weight = zip(*edges, strict=True) if edges else ((), (), ())
+    return np.array(low, np.int64), np.array(high, np.int64), np.array(weight, float)
+
+
+def merges(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """(edge, one tree, the other) of each edge, taken in order, that joins two trees. Rows are trees 0 to n - 1, and the k-th
+    edge that joins makes tree n + k."""
+    parent, out = list(range(2 * n)), []
 
     def root(v: int) -> int:
         while parent[v] != v:
@@ -123,12 +133,60 @@ def labels(x: np.ndarray, core: np.ndarray, min_cluster_size: int, epsilon: floa
             v = parent[v]
         return v
 
+    for k, (p, q) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        ra, rb = root(p), root(q)
+        if ra != rb:
+            parent[ra] = parent[rb] = n + len(out)
+            out.append((k, ra, rb))
+    return out
+
+
+def ordered(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """The edges by weight, lower and higher point; the points; both ends as places among the points."""
+    pdf = pdf.sort_values(["weight", "a", "b"])
+    ends = pdf[["a", "b"]].to_numpy()
+    points, places = np.unique(ends, return_inverse=True)
+    places = places.reshape(ends.shape)
+    return pdf, points, places[:, 0], places[:, 1]
+
+
+def tree_edges(rows: DataFrame, n: int) -> DataFrame:
+    """Edges that hold the spanning tree of each component of ``rows(point, features, core, component)``, in at most ``FAN``
+    lots of a tree each."""
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for component, part in pdf.groupby("component"):
+            part = part.drop_duplicates("point").sort_values("point")
+            ids = part["point"].to_numpy(np.int64)
+            a, b, weight = spanning_tree(stacked(part["features"]), part["core"].to_numpy(float))
+            found.append(pd.DataFrame({"component": component, "lot": pdf["pair"].iloc[0], "a": ids[a], "b": ids[b], "weight": weight}))
+        return pd.concat(found)
+
+    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, points, a, b = ordered(pdf)
+        return pdf.iloc[[k for k, _, _ in merges(a, b, len(points))]]
+
+    edges = written(block_pairs(rows, n).groupBy("pair").applyInPandas(grow, EDGE), "edges")
+    lots = max(1, math.ceil(n / BLOCK)) ** 2
+    while lots > FAN:
+        lots = math.ceil(lots / FAN)
+        edges = edges.withColumn("lot", F.pmod("lot", F.lit(lots)))
+        edges = written(edges.groupBy("component", "lot").applyInPandas(thin, EDGE), "edges")
+    return edges
+
+
+def labels(a: np.ndarray, b: np.ndarray, weights: np.ndarray, n: int, min_cluster_size: int, epsilon: float, birth: float | None) -> np.ndarray:
+    """Cluster of each of ``n`` points, -1 for noise, by excess of mass over the tree that is in the edges, given in order.
+
+    ``birth``: lambda of the root if it may be a cluster.
+    """
+    if n < max(2, min_cluster_size):
+        return np.full(n, -1)
+    # the dendrogram: node n + k joins the two trees of the k-th edge that joins any
     kids, size, weight = {}, np.ones(2 * n - 1, int), np.zeros(2 * n - 1)
-    for k, (w, a, b) in enumerate(edges):
-        ra, rb = root(int(a)), root(int(b))
-        kids[n + k], size[n + k], weight[n + k] = (ra, rb), size[ra] + size[rb], w
-        parent[ra] = parent[rb] = n + k
-    del top
+    for v, (k, ra, rb) in enumerate(merges(a, b, n), n):
+        kids[v], size[v], weight[v] = (ra, rb), size[ra] + size[rb], weights[k]
     inverse = lambda w: 1 / w if w > 0 else np.inf
 
     def points(v: int) -> list[int]:
@@ -224,15 +282,17 @@ def cluster(rows: DataFrame, *, cut: float, min_cluster_size: int = 3, min_sampl
     birth = 1 / cut if several else None
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("point")
-        found = labels(stacked(pdf["features"]), pdf["core"].to_numpy(float), min_cluster_size, epsilon, birth)
-        return pd.DataFrame({"component": pdf["component"], "point": pdf["point"], "local": found})
+        pdf, points, a, b = ordered(pdf)
+        found = labels(a, b, pdf["weight"].to_numpy(), len(points), min_cluster_size, epsilon, birth)
+        return pd.DataFrame({"component": pdf["component"].iloc[0], "point": points, "local": found})
 
-    local = rows.join(core, "point").join(parts, "point").groupBy("component").applyInPandas(tree, "component long, point long, local long")
-    local = written(local, "labels")
-    firsts = local.where("local >= 0").groupBy("component", "local").agg(F.min("point").alias("first"))
+    edges = tree_edges(rows.select("point", "features").join(core, "point").join(parts, "point"), n)
+    local = written(edges.groupBy("component").applyInPandas(tree, "component long, point long, local long").where("local >= 0"), "labels")
+    firsts = local.groupBy("component", "local").agg(F.min("point").alias("first"))
     numbered = with_ordinal(firsts, [F.col("first")], "cluster_id").drop("first")
-    return local.join(numbered, ["component", "local"], "left").select("point", F.coalesce("cluster_id", F.lit(NOISE)).cast("long").alias("cluster_id"))
+    # a point without an edge is in no cluster
+    found = local.join(numbered, ["component", "local"]).select("point", "cluster_id")
+    return rows.select("point").join(found, "point", "left").select("point", F.coalesce("cluster_id", F.lit(NOISE)).cast("long").alias("cluster_id"))
 
 
 NOISE = -1

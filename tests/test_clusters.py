@@ -95,8 +95,25 @@ def test_cut_finds_the_same_separate_groups(spark, monkeypatch):
     x = blobs()
     whole = labels(frame(spark, x), cut=float("inf"))
     assert labels(frame(spark, x), cut=1.5) == whole
+    y = np.random.default_rng(5).normal(size=(60, 2)).round(1)
+    y[7] = y[3]
+    tied = labels(frame(spark, y), cut=float("inf"))
     monkeypatch.setattr(hdbscan, "BLOCK", 7)
     assert labels(frame(spark, x), cut=1.5) == whole
+    assert labels(frame(spark, y), cut=float("inf")) == tied
+
+
+@pytest.mark.parametrize("block", [5, 1000])
+def test_thinned_trees_are_the_tree(spark, monkeypatch, block):
+    monkeypatch.setattr(hdbscan, "BLOCK", block)
+    x = np.random.default_rng(8).normal(size=(70, 2)).round(1)
+    core, edges = naive_tree(x)
+    rows = frame(spark, x).withColumn("component", F.col("point") * 0).join(spark.createDataFrame(list(enumerate(map(float, core))), "point long, core double"), "point")
+    found = hdbscan.tree_edges(rows, len(x)).toPandas()
+    assert found.groupby(["component", "lot"]).size().max() < len(x) and found["lot"].nunique() <= hdbscan.FAN
+    pdf, points, a, b = hdbscan.ordered(found)
+    kept = pdf.iloc[[k for k, _, _ in hdbscan.merges(a, b, len(points))]]
+    assert np.allclose(kept["weight"], [w for w, _, _ in edges]) and list(zip(kept["a"], kept["b"], strict=True)) == [(i, j) for _, i, j in edges]
 
 
 def test_epsilon_merges_and_small_inputs(spark):
