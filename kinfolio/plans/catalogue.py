@@ -466,7 +466,8 @@ SELECT CAST(c.label AS BIGINT) AS identity_id, {joined('list_append(c, (coalesce
 )
 def seed_rows(spark: SparkSession, sf: str) -> DataFrame:
     faces, ids = vec_faces(spark, sf), labels(spark, sf)
-    named = faces.where(F.col("vec_id") % 2 == 0).join(ids, faces.label == ids.id).select(F.col("name").alias("person_name"), "days")
+    tag = F.when(F.col("vec_id") % 2 == 0, F.col("name"))
+    named = faces.join(ids, faces.label == ids.id).select(tag.alias("person_name"), "days")
     return similarity.seed_rows(centroids(spark, sf), ids, named, faces).select("identity_id", shown(F.col("features"), 5).alias("features"))
 
 
