@@ -65,13 +65,20 @@ class Candidates:
 
 
 CANDIDATE = Candidates()
-SYLLABLES = re.compile(r"[bcdfghjklmnpqrstvwxz]{0,3}[aeiouy]+[bcdfghjklmnpqrstvwxz]{0,2}")
 
 
 def kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
 
 
+#: Words of letters alone, three or more, between characters that are neither letters, digits nor underscores.
+LETTERS = r"(?<![\p{L}\p{N}_])\p{L}{3,}+(?![\p{N}_])"
+#: Letter pairs counted are of these letters, so the alphabet bounds their number.
+PAIR = r"^[a-z\u00df-\u017f]{2}$"
+#: The longest word of a dictionary; a longer one is covered by its parts.
+LONGEST = 32
+
+
 @dataclass
 class Language:
     """Letter pairs and words of ordinary text: what keys lack."""
@@ -80,15 +87,18 @@ class Language:
     words: frozenset[str]
     floor: float
 
+    def __post_init__(self) -> None:
+        self.longest = max(map(len, self.words), default=0)
+
     def likelihood(self, s: str) -> float:
         s = s.lower()
         return sum(self.pairs.get(s[k : k + 2], self.floor) for k in range(len(s) - 1)) / max(1, len(s) - 1)
 
     def coverage(self, s: str) -> float:
-        """Share of the letters in words of the dictionary, longest first from the left, or in pronounceable pieces."""
+        """Share of the letters in words of the dictionary, longest first from the left."""
         low, at, hit = s.lower(), 0, 0
         while at < len(low):
-            for n in range(min(14, len(low) - at), 2, -1):
+            for n in range(min(self.longest, len(low) - at), 2, -1):
                 if low[at : at + n] in self.words:
                     hit, at = hit + n, at + n
                     break
@@ -97,19 +107,22 @@ class Language:
         return hit / max(1, len(s))
 
 
-def language(docs: DataFrame, *, words: int = 20_000, pairs: int = 5_000) -> Language:
-    """Counts over all texts: the commonest words of letters alone (at most ``words``) and letter pairs (at most ``pairs``)."""
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b\p{L}{3,14}\b"), F.lit(0)))
-    counted = docs.select(word.alias("word")).groupBy("word").count()
-    # written, or every partition would send its own first words to the driver
-    top = written(counted.orderBy(F.desc("count"), "word").limit(words), "words").toPandas().sort_values(["count", "word"], ascending=[False, True])
-    spread: Counter[str] = Counter()
-    for w, n in zip(top["word"], top["count"], strict=True):
-        for k in range(len(w) - 1):
-            spread[w[k : k + 2]] += int(n)
-    kept = dict(sorted(spread.items(), key=lambda x: (-x[1], x[0]))[:pairs])
-    total = sum(kept.values()) or 1
-    return Language({p: math.log(n / total) for p, n in kept.items()}, frozenset(top["word"].head(5000)), math.log(0.1 / total))
+def language(docs: DataFrame, *, share: float = 1e-5) -> Language:
+    """Counts over all words of letters in all texts.
+
+    The dictionary has each word of up to LONGEST letters that makes at least ``share`` of all words, which bounds it to
+    1 / ``share`` words at any size of the table. Letter pairs are counted in all words, weighted by their counts.
+    Null and empty texts have no words; without words the dictionary is empty.
+    """
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0)))
+    counted = written(docs.select(word.alias("word")).groupBy("word").count(), "words")
+    least = share * (counted.agg(F.sum("count")).first()[0] or 0)
+    words = counted.where((F.col("count") >= least) & (F.length("word") <= LONGEST)).select("word").toPandas()["word"]
+    pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.col("word").substr(k, F.lit(2))))
+    spread = counted.select(pair.alias("pair"), "count").where(F.col("pair").rlike(PAIR)).groupBy("pair").agg(F.sum("count").alias("n"))
+    pairs = {r.pair: r.n for r in spread.orderBy("pair").collect()}
+    total = sum(pairs.values()) or 1
+    return Language({p: math.log(n / total) for p, n in pairs.items()}, frozenset(words), math.log(0.1 / total))
 
 
 def features(s: str, before: str, after: str, path: str, lang: Language) -> list[float]:

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 
 from kinfolio.llm import secrets
@@ -30,6 +32,27 @@ def test_scan(spark):
     assert {(r.doc_id, r.start, r.end) for r in out} == want
 
 
+def test_language_counts_every_word(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzäéß"), int(rng.integers(3, 30)))) for _ in range(400)]
+    texts = [" ".join(rng.choice(vocabulary, int(rng.integers(0, 60)), p=np.arange(1, 401) / np.arange(1, 401).sum())) for _ in range(120)]
+    texts += [None, "", "a1bc dd_ee 12 xy", "ABC, Def-ghi!", "q" * 50_000]
+    lang = secrets.language(spark.createDataFrame([(t,) for t in texts], "text string"), share=0.002)
+    counts, pairs = {}, {}
+    for t in texts:
+        for w in re.findall(r"(?<!\w)[^\W\d_]{3,}(?!\w)", (t or "").lower()):
+            counts[w] = counts.get(w, 0) + 1
+    for w, n in counts.items():
+        for a, b in zip(w, w[1:], strict=False):
+            pairs[a + b] = pairs.get(a + b, 0) + n
+    total = sum(pairs.values())
+    assert lang.words == {w for w, n in counts.items() if n >= 0.002 * sum(counts.values()) and len(w) <= 32}
+    assert 0 < len(lang.words) <= 500 and len(lang.words) < len(counts)
+    assert lang.pairs.keys() == pairs.keys() and all(np.isclose(lang.pairs[p], np.log(n / total)) for p, n in pairs.items())
+    empty = secrets.language(spark.createDataFrame([], "text string"))
+    assert not empty.words and not empty.pairs and empty.coverage("abcdef") == 0 and empty.likelihood("") == 0
+
+
 def test_forest_walk_equals_plain():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 6))
