@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, mixing, neardup, packing, pii, quality, secrets, toxicity, warc
+from . import ann, chat, codes, exact, fim, mixing, neardup, packing, pii, quality, secrets, toxicity, warc
 from .common import small_batches, table
 
 
@@ -136,6 +136,80 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.low,
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS low FROM r GROUP BY a) m ON m.a = d.doc_id
 """
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return fim.digests(fim.transform(table(spark, sf_dir, "documents")))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+         sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex FROM documents),
+h AS (
+  SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(hex, CAST(k AS INT), 8) AS BIGINT)) AS h FROM d),
+f AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS low, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS high,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain'
+              WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (
+  SELECT *, coalesce(array_to_string(u[1:low], ''), '') AS prefix, coalesce(array_to_string(u[low + 1:high], ''), '') AS middle,
+         coalesce(array_to_string(u[high + 1:n], ''), '') AS suffix FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+         ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codes.with_label_error(codes.compress(table(spark, sf_dir, "embeddings")))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _op12_sql() -> str:
+    """Two rounds and the last assignment, each a pair of common table expressions."""
+    steps = []
+    for k in range(3):
+        steps.append(f"""
+far{k} AS (
+  SELECT v.rid, v.p, c.e, CAST(list_sum(list_transform(range(len(v.x)), lambda j: (v.x[j + 1] - c.x[j + 1]) * (v.x[j + 1] - c.x[j + 1]))) AS BIGINT) AS far
+  FROM v JOIN c{k} c ON c.p = v.p),
+near{k} AS MATERIALIZED (
+  SELECT rid, p, min(far) AS far, arg_min(e, far * 1000 + e) AS e FROM far{k} GROUP BY rid, p)""")
+        if k < 2:
+            steps.append(f"""
+mean{k} AS (
+  SELECT p, e, list(m ORDER BY j) AS x FROM (
+    SELECT p, e, j, CAST(sum(y) // count(*) - CASE WHEN sum(y) % count(*) < 0 THEN 1 ELSE 0 END AS BIGINT) AS m
+    FROM (SELECT n.p, n.e, unnest(range(len(v.x))) AS j, unnest(v.x) AS y FROM near{k} n JOIN v ON v.rid = n.rid AND v.p = n.p) GROUP BY p, e, j)
+  GROUP BY p, e),
+c{k + 1} AS MATERIALIZED (
+  SELECT c.p, c.e, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN mean{k} m ON m.p = c.p AND m.e = c.e)""")
+    return f"""
+WITH i AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS whole
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (
+  SELECT rid, p, whole[CAST(1 + p * (len(whole) // 16) AS BIGINT):CAST((p + 1) * (len(whole) // 16) AS BIGINT)] AS x FROM i, (SELECT unnest(range(16)) AS p)),
+c0 AS MATERIALIZED (SELECT p, rid - 1 AS e, x FROM v WHERE rid <= 64),{",".join(steps)},
+r AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM near2 GROUP BY rid)
+SELECT i.vec_id, r.code, r.error, CAST(sum(r.error) OVER (PARTITION BY i.label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM c2) AS codebooks_sha256
+FROM i JOIN r ON r.rid = i.rid
+"""
+
+
+def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.mark(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+g AS (SELECT *, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) AS k FROM d)
+SELECT doc_id, keep_id, group_size, k = 1 AS kept, sha256(t) AS text_sha256 FROM g
+"""
+
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
@@ -147,9 +221,12 @@ def queries() -> dict:
     return {
         "op1_warc": op1_warc, "op2_secrets": op2_secrets, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_ann": op5_ann,
         "op6_chat": op6_chat, "op7_packing": op7_packing, "op8_neardup": op8_neardup, "op9_pii": op9_pii, "op10_quality": op10_quality,
-        "pipeline": pipeline,
+        "op11_fim": op11_fim, "op12_codes": op12_codes, "op13_exact": op13_exact, "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op4_mixing": OP4_SQL, "op6_chat": OP6_SQL, "op8_neardup": OP8_SQL}
+    return {
+        "op1_warc": OP1_SQL, "op4_mixing": OP4_SQL, "op6_chat": OP6_SQL, "op8_neardup": OP8_SQL,
+        "op11_fim": OP11_SQL, "op12_codes": _op12_sql(), "op13_exact": OP13_SQL,
+    }
