@@ -1,12 +1,12 @@
 """Density-based hierarchical clustering (Campello, Moulavi, Sander 2013; McInnes, Healy 2017; Malzer, Baum 2020).
 
 Points farther apart than ``cut`` never share a cluster, so the hierarchy splits into the connected components of the
-graph of pairs within ``cut``. Spark finds core distances, components and spanning trees from pairs of blocks of points:
-an edge of a component's tree is in the tree of every pair of blocks that holds both its ends, so the trees of the pairs
-hold the whole one and are thinned to it lot by lot. Vectors of a component never meet in one task; its n - 1 edges do,
-where its clusters are read off them. The part of the hierarchy above ``cut`` is not built: where there are several
-components each counts as a cluster born at distance ``cut``. With an infinite ``cut`` there is one component and one tree,
-as in a single-machine library.
+graph of pairs within ``cut``. Points lie in blocks of a metric partition (:mod:`.metric`), and a point meets another block
+only if the triangle inequality leaves a point of it below the bound that is known by then: its k-th nearest so far for core
+distances, ``cut`` for components, and for spanning trees the least edge known to leave the point's tree, in rounds after
+Boruvka. All is exact. Vectors of a component never meet in one task; its n - 1 edges do, where its clusters are read off
+them. The part of the hierarchy above ``cut`` is not built: where there are several components each counts as a cluster
+born at distance ``cut``. With an infinite ``cut`` there is one component and one tree, as in a single-machine library.
 """
 
 from __future__ import annotations
@@ -19,65 +19,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
+from . import metric
 from .components import components
+from .metric import Blocks, distances, stacked
 from .ordinal import with_ordinal
 
-#: Points of a block; two blocks meet in a task.
-BLOCK = 2048
-#: Lots of edges that are thinned to one.
-FAN = 8
-EDGE = "component long, lot long, a long, b long, weight double"
-
-
-def block_pairs(rows: DataFrame, n: int) -> DataFrame:
-    """Each row once for every pair of blocks that its block is in: ``pair`` and ``side``."""
-    blocks = max(1, math.ceil(n / BLOCK))
-    mine = F.pmod(F.xxhash64("point"), F.lit(blocks)).cast("int")
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    dealt = rows.withColumn("side", mine).withColumn("other", F.explode(others))
-    return dealt.withColumn("pair", F.least("side", "other").cast("long") * blocks + F.greatest("side", "other")).drop("other")
-
-
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean, from differences: exact zeros for equal points."""
-    out = np.empty((len(a), len(b)))
-    for k in range(0, len(a), 64):
-        d = a[k : k + 64, None, :] - b[None, :, :]
-        out[k : k + 64] = np.sqrt(np.einsum("ijk,ijk->ij", d, d))
-    return out
-
-
-def stacked(s: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, float) for v in s])
+EDGE = "component long, a long, b long, weight double"
 
 
 def core_distances(rows: DataFrame, min_samples: int = 2) -> DataFrame:
     """point, core: the distance to the ``min_samples``-th nearest of ``rows(point, features)``, the point itself included."""
+    return cores(*metric.partition(rows, rows.count()), min_samples).select("point", "core")
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides, found = sorted(pdf["side"].unique()), []
-        parts = {s: pdf[pdf["side"] == s] for s in sides}
-        for s in sides:
-            other = [t for t in sides if t != s] or [s]
-            d = distances(stacked(parts[s]["features"]), stacked(parts[other[0]]["features"]))
-            k = min(min_samples, d.shape[1])
-            near = np.partition(d, k - 1, axis=1)[:, :k]
-            found.append(pd.DataFrame({"point": np.repeat(parts[s]["point"].to_numpy(), k), "d": near.ravel()}))
-        return pd.concat(found)
 
-    near = block_pairs(rows.select("point", "features"), rows.count()).groupBy("pair").applyInPandas(meet, "point long, d double")
-    # at most min_samples distances from each of a point's block pairs
-    best = near.groupBy("point").agg(F.slice(F.array_sort(F.collect_list("d")), 1, min_samples).alias("ds"))
-    return best.select("point", F.when(F.size("ds") >= min_samples, F.element_at("ds", -1)).otherwise(F.lit(float("inf"))).alias("core"))
+def cores(placed: DataFrame, blocks: Blocks, min_samples: int) -> DataFrame:
+    """``placed`` with ``core``, written.
 
+    The k nearest in a point's own block, and the k nearest pivots, bound what the blocks around it can add.
+    """
 
-def within(rows: DataFrame, cut: float) -> DataFrame:
-    """point, component of the graph of pairs at most ``cut`` apart. A pair of blocks yields a spanning forest, not its pairs."""
+    def nearest(x: np.ndarray, others: np.ndarray) -> np.ndarray:
+        k = min(min_samples, len(others))
+        return np.sort(np.partition(distances(x, others), k - 1, axis=1)[:, :k], axis=1)
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = stacked(pdf["features"])
+        own, pivots = nearest(x, x), nearest(x, blocks.pivots)
+        last = [a[:, -1] if a.shape[1] == min_samples else np.full(len(a), np.inf) for a in (own, pivots)]
+        return pdf.assign(ds=list(own), bound=np.minimum(*last))
+
+    def outside(there: pd.DataFrame, come: pd.DataFrame) -> pd.DataFrame:
+        if there.empty or come.empty:
+            return pd.DataFrame({"point": np.empty(0, np.int64), "ds": np.empty(0, object)})
+        ds = nearest(stacked(come["features"]), stacked(there["features"]))
+        closer = ds[:, 0] <= come["bound"].to_numpy(float)
+        return pd.DataFrame({"point": come["point"].to_numpy()[closer], "ds": pd.Series(list(ds[closer]), dtype=object)})
+
+    near = placed.groupBy("block").applyInPandas(inside, "point long, features array<double>, block long, ds array<double>, bound double")
+    near = written(near, "near")
+    found = near.select("point", "ds")
+    if len(blocks.ids) > 1:
+        found = found.unionByName(metric.meet(placed, metric.probes(near.drop("ds"), blocks), blocks, outside, "point long, ds array<double>"))
+    # at most min_samples distances from each block that a point has met
+    best = found.groupBy("point").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ds"))), 1, min_samples).alias("ds"))
+    core = best.select("point", F.when(F.size("ds") >= min_samples, F.element_at("ds", -1)).otherwise(F.lit(float("inf"))).alias("core"))
+    return written(placed.join(core, "point"), "core")
+
+
+def within(placed: DataFrame, blocks: Blocks, cut: float) -> tuple[DataFrame, DataFrame]:
+    """(point, component) of the graph of pairs at most ``cut`` apart, and edges (a, b, d) of it that hold it together.
+
+    A block, and a block with what comes to it, yield a spanning forest, not their pairs.
+    """
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("point")
         x, ids = stacked(pdf["features"]), pdf["point"].to_numpy()
-        near = distances(x, x) <= cut
+        d = distances(x, x)
+        near = d <= cut
         left, a, b = np.ones(len(ids), bool), [], []
         for start in range(len(ids)):
             if not left[start]:
@@ -87,15 +85,25 @@ def within(rows: DataFrame, cut: float) -> DataFrame:
             while len(front):
                 reach = near[front] & left[None, :]
                 new = np.flatnonzero(reach.any(axis=0))
-                a += list(ids[front[reach[:, new].argmax(axis=0)]])
-                b += list(ids[new])
+                a += list(front[reach[:, new].argmax(axis=0)])
+                b += list(new)
                 left[new] = False
                 front = new
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    edges = block_pairs(rows.select("point", "features"), rows.count()).groupBy("pair").applyInPandas(forest, "a long, b long")
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        return pd.DataFrame({"a": ids[a], "b": ids[b], "d": d[a, b]})
+
+    def both(there: pd.DataFrame, come: pd.DataFrame) -> pd.DataFrame:
+        return forest(pd.concat([there[["point", "features"]], come[["point", "features"]]])) if len(there) else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "d": np.empty(0)})
+
+    schema = "a long, b long, d double"
+    edges = placed.groupBy("block").applyInPandas(forest, schema)
+    if len(blocks.ids) > 1:
+        # of two blocks the points of one come to the other
+        come = metric.probes(placed.withColumn("bound", F.lit(float(cut))), blocks, lambda lot, row, block: blocks.ids[block] > lot["block"].to_numpy()[row])
+        edges = edges.unionByName(metric.meet(placed, come, blocks, both, schema))
+    edges = written(edges, "forest")
     found = components(edges, "a", "b")
-    return rows.join(found, rows.point == found.node, "left").select("point", F.coalesce("component", "point").alias("component"))
+    return placed.join(found, placed.point == found.node, "left").select("point", F.coalesce("component", "point").alias("component")), edges
 
 
 def spanning_tree(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,7 +118,7 @@ def spanning_tree(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarr
     at, edges = 0, []
     left[0] = False
     for _ in range(n - 1):
-        d = np.maximum(np.maximum(np.sqrt(((x - x[at]) ** 2).sum(axis=1)), core), core[at])
+        d = np.maximum(np.maximum(distances(x[at : at + 1], x)[0], core), core[at])
         lo, hi = np.minimum(rows, at), np.maximum(rows, at)
         closer = left & ((d < best) | ((d == best) & ((lo < low) | ((lo == low) & (hi < high)))))
         best[closer], low[closer], high[closer] = d[closer], lo[closer], hi[closer]
@@ -150,43 +158,159 @@ def ordered(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np
     return pdf, points, places[:, 0], places[:, 1]
 
 
-def tree_edges(rows: DataFrame, n: int) -> DataFrame:
-    """Edges that hold the spanning tree of each component of ``rows(point, features, core, component)``, in at most ``FAN``
-    lots of a tree each."""
+def sure_edges(a: np.ndarray, b: np.ndarray, weight: np.ndarray, escape: np.ndarray) -> np.ndarray:
+    """Which edges of a block's tree, by weight, are in the whole tree too: the least that leaves one of the two trees it joins,
+    and below all that can leave that tree for another block. ``escape`` bounds those of each point."""
+    parent, least, stuck = list(range(len(escape))), escape.tolist(), [False] * len(escape)
+    out = np.zeros(len(a), bool)
+
+    def root(v: int) -> int:
+        while parent[v] != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    for k, (p, q, w) in enumerate(zip(a.tolist(), b.tolist(), weight.tolist(), strict=True)):
+        p, q = root(p), root(q)
+        out[k] = (not stuck[p] and w < least[p]) or (not stuck[q] and w < least[q])
+        if out[k]:
+            parent[q], least[p], stuck[p] = p, min(least[p], least[q]), stuck[p] or stuck[q]
+        else:
+            stuck[p] = stuck[q] = True
+    return out
+
+
+def local_trees(points: DataFrame, blocks: Blocks) -> DataFrame:
+    """The edges of the spanning tree of each block's points of a component, with ``sure`` (:func:`sure_edges`), written."""
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
         for component, part in pdf.groupby("component"):
-            part = part.drop_duplicates("point").sort_values("point")
-            ids = part["point"].to_numpy(np.int64)
-            a, b, weight = spanning_tree(stacked(part["features"]), part["core"].to_numpy(float))
-            found.append(pd.DataFrame({"component": component, "lot": pdf["pair"].iloc[0], "a": ids[a], "b": ids[b], "weight": weight}))
+            part = part.sort_values("point")
+            ids, x, core = part["point"].to_numpy(np.int64), stacked(part["features"]), part["core"].to_numpy(float)
+            a, b, weight = spanning_tree(x, core)
+            order = np.lexsort((b, a, weight))
+            a, b, weight = a[order], b[order], weight[order]
+            sure = sure_edges(a, b, weight, np.maximum(core, blocks.nearest_other(x, int(part["block"].iloc[0]))))
+            found.append(pd.DataFrame({"component": component, "a": ids[a], "b": ids[b], "weight": weight, "sure": sure}))
         return pd.concat(found)
 
-    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, points, a, b = ordered(pdf)
-        return pdf.iloc[[k for k, _, _ in merges(a, b, len(points))]]
+    return written(points.groupBy("block").applyInPandas(grow, EDGE + ", sure boolean"), "local")
+
+
+def pivot_edges(points: DataFrame, blocks: Blocks) -> DataFrame:
+    """Edges that join all blocks of one component: a point of each with its pivot, and the pivots' own tree."""
+    spark = points.sparkSession
+    pivots = spark.createDataFrame([(int(p), k) for k, p in enumerate(blocks.pivot_points)], "point long, k int")
+    known = {r["k"]: r["core"] for r in points.join(F.broadcast(pivots), "point").select("k", "core").collect()}
+    core = np.array([known[k] for k in range(len(blocks.pivots))])
+    # the tree's ends in the order of the points' numbers
+    order = np.argsort(blocks.pivot_points)
+    a, b, weight = spanning_tree(blocks.pivots[order], core[order])
+    ids = blocks.pivot_points[order]
+    between = spark.createDataFrame([(0, int(ids[p]), int(ids[q]), float(w)) for p, q, w in zip(a, b, weight, strict=True)], EDGE)
+
+    def inward(pdf: pd.DataFrame) -> pd.DataFrame:
+        d = np.maximum(distances(stacked(pdf["features"]), blocks.pivots), np.maximum(pdf["core"].to_numpy(float)[:, None], core[None, :]))
+        d[pdf["point"].to_numpy()[:, None] == blocks.pivot_points[None, :]] = np.inf
+        k = d.argmin(axis=1)
+        point, pivot = pdf["point"].to_numpy(), blocks.pivot_points[k]
+        out = pd.DataFrame({"component": 0, "a": np.minimum(point, pivot), "b": np.maximum(point, pivot), "weight": d[np.arange(len(d)), k]})
+        return out[np.isfinite(out["weight"])]
 
-    edges = written(block_pairs(rows, n).groupBy("pair").applyInPandas(grow, EDGE), "edges")
-    lots = max(1, math.ceil(n / BLOCK)) ** 2
-    while lots > FAN:
-        lots = math.ceil(lots / FAN)
-        edges = edges.withColumn("lot", F.pmod("lot", F.lit(lots)))
-        edges = written(edges.groupBy("component", "lot").applyInPandas(thin, EDGE), "edges")
-    return edges
+    one = points.groupBy("block").agg(F.min(F.struct("point", "features", "core")).alias("p")).select("p.*")
+    return between.unionByName(one.mapInPandas(lambda batches: (inward(pdf) for pdf in batches), EDGE))
 
 
-def labels(a: np.ndarray, b: np.ndarray, weights: np.ndarray, n: int, min_cluster_size: int, epsilon: float, birth: float | None) -> np.ndarray:
+def spanning_trees(points: DataFrame, blocks: Blocks, links: DataFrame | None = None) -> DataFrame:
+    """component, a, b, weight: the edges of the spanning tree by mutual reachability of each component of
+    ``points(point, features, block, core, component)``. ``links(component, a, b, weight)`` hold each component together.
+
+    The sure edges of the blocks' trees come first. Then, in rounds, each tree gets the least edge that leaves it. What leaves
+    it inside a block is in the block's tree, and with ``links`` that bounds what another block must offer. Trees that are
+    their whole component are done and neither search nor are searched.
+    """
+    local = local_trees(points, blocks)
+    if len(blocks.ids) == 1:
+        return local.drop("sure")
+    tree = local.where("sure").drop("sure")
+    known = local.where("NOT sure").drop("sure").unionByName(links if links is not None else pivot_edges(points, blocks))
+    now, state = components(tree, "a", "b"), points.select("point", "component")
+    while True:
+        state = state.select("point", "component").join(now.select(F.col("node").alias("point"), F.col("component").alias("tree")), "point", "left")
+        state = written(state.withColumn("tree", F.coalesce("tree", "point")), "state")
+        todo = written(state.groupBy("component").agg(F.min("tree").alias("low"), F.max("tree").alias("high")).where("low <> high").select("component"), "todo")
+        if todo.isEmpty():
+            return tree
+        state = written(state.join(todo, "component", "left_semi"), "state")
+        end = lambda x: state.select(F.col("point").alias(x), F.col("tree").alias(f"t{x}"))  # noqa: B023, E731
+        known = written(known.drop("ta", "tb").join(end("a"), "a").join(end("b"), "b").where("ta <> tb").select("component", "a", "b", "weight", "ta", "tb"), "known")
+        least = F.min(F.struct("weight", "a", "b", "component")).alias("e")
+        bounds = written(known.select("*", F.explode(F.array("ta", "tb")).alias("tree")).groupBy("tree").agg(least).select("tree", "e.*"), "bounds")
+        open_ = written(points.drop("component").join(state, "point"), "open")
+        leaving = closest(open_, bounds, blocks)
+        best = bounds.unionByName(leaving).groupBy("tree").agg(least).select("e.*").distinct()
+        best = written(best, "best")
+        tree = tree.unionByName(best.select("component", "a", "b", "weight"))
+        joined = components(best.join(end("a"), "a").join(end("b"), "b").select("ta", "tb"), "ta", "tb")
+        now = state.select("point", "tree").join(joined, state.tree == joined.node, "left").select(F.col("point").alias("node"), F.coalesce("component", "tree").alias("component"))
+
+
+def closest(points: DataFrame, bounds: DataFrame, blocks: Blocks) -> DataFrame:
+    """tree, component, a, b, weight: from each block that comes into question the least edge to another tree of the component,
+    by ``bounds(tree, weight)``."""
+    # a row for each block
+    facts = {r["block"]: r for r in points.groupBy("block").agg(F.min("core").alias("core"), F.min("tree").alias("low"), F.max("tree").alias("high")).collect()}
+    core = np.array([facts[b]["core"] if b in facts else np.inf for b in blocks.ids.tolist()], float)
+    low = np.array([facts[b]["low"] if b in facts else 0 for b in blocks.ids.tolist()], np.int64)
+    one = np.array([b in facts and facts[b]["low"] == facts[b]["high"] for b in blocks.ids.tolist()], bool)
+
+    def keep(lot: pd.DataFrame, row: np.ndarray, block: np.ndarray) -> np.ndarray:
+        return (core[block] <= lot["bound"].to_numpy(float)[row]) & ~(one[block] & (low[block] == lot["tree"].to_numpy()[row]))
+
+    def least(there: pd.DataFrame, come: pd.DataFrame) -> pd.DataFrame:
+        if there.empty or come.empty:
+            return pd.DataFrame({"tree": [], "component": [], "a": [], "b": [], "weight": []}).astype({"tree": "int64", "component": "int64", "a": "int64", "b": "int64"})
+        # of a row's equal edges the one to the smallest point comes first in the order of edges
+        there = there.sort_values("point")
+        w = distances(stacked(come["features"]), stacked(there["features"]))
+        np.maximum(w, come["core"].to_numpy(float)[:, None], out=w)
+        np.maximum(w, there["core"].to_numpy(float)[None, :], out=w)
+        column = lambda pdf, c: pdf[c].to_numpy()
+        w[(column(come, "tree")[:, None] == column(there, "tree")[None, :]) | (column(come, "component")[:, None] != column(there, "component")[None, :])] = np.inf
+        k = w.argmin(axis=1)
+        p, q = column(come, "point"), column(there, "point")[k]
+        out = pd.DataFrame({"tree": column(come, "tree"), "component": column(come, "component"), "a": np.minimum(p, q), "b": np.maximum(p, q), "weight": w[np.arange(len(w)), k]})
+        out = out[out["weight"] <= column(come, "bound")]
+        return out.sort_values(["weight", "a", "b"]).drop_duplicates("tree")
+
+    rows = points.join(bounds.select("tree", F.col("weight").alias("bound")), "tree").where("core <= bound")
+    return metric.meet(points, metric.probes(rows, blocks, keep), blocks, least, "tree long, component long, a long, b long, weight double")
+
+
+#: What a tree holds of seeds' identities: none, or several; else the identity's number.
+NONE, SEVERAL = -1, -2
+
+
+def labels(a: np.ndarray, b: np.ndarray, weights: np.ndarray, n: int, min_cluster_size: int, epsilon: float, birth: float | None, identity: np.ndarray | None = None) -> np.ndarray:
     """Cluster of each of ``n`` points, -1 for noise, by excess of mass over the tree that is in the edges, given in order.
 
-    ``birth``: lambda of the root if it may be a cluster.
+    ``birth``: lambda of the root if it may be a cluster. ``identity`` numbers the seeds' identities, NONE for other points.
+    With it no cluster holds seeds of two identities: where a tree that does falls apart into two that hold seeds, both go
+    on, whatever their size, and of the selections that are left one with the most pairs of seeds of an identity together is
+    taken, then the most mass (Campello et al. 2013, with must-link and cannot-link constraints).
     """
     if n < max(2, min_cluster_size):
         return np.full(n, -1)
     # the dendrogram: node n + k joins the two trees of the k-th edge that joins any
     kids, size, weight = {}, np.ones(2 * n - 1, int), np.zeros(2 * n - 1)
+    whose, seeds = np.full(2 * n - 1, NONE), np.zeros(2 * n - 1, int)
+    if identity is not None:
+        whose[:n], seeds[:n] = identity, identity != NONE
     for v, (k, ra, rb) in enumerate(merges(a, b, n), n):
         kids[v], size[v], weight[v] = (ra, rb), size[ra] + size[rb], weights[k]
+        seeds[v] = seeds[ra] + seeds[rb]
+        whose[v] = whose[ra] if whose[rb] in (NONE, whose[ra]) else whose[rb] if whose[ra] == NONE else SEVERAL
     inverse = lambda w: 1 / w if w > 0 else np.inf
 
     def points(v: int) -> list[int]:
@@ -199,7 +323,7 @@ def labels(a: np.ndarray, b: np.ndarray, weights: np.ndarray, n: int, min_cluste
                 stack.extend(kids[u])
         return out
 
-    born, up, stability, members, below = [birth if birth is not None else 0.0], [-1], [0.0], [[]], [[]]
+    born, up, stability, members, below, tops = [birth if birth is not None else 0.0], [-1], [0.0], [[]], [[]], [2 * n - 2]
     stack = [(2 * n - 2, 0)]
     while stack:
         v, c = stack.pop()
@@ -207,12 +331,13 @@ def labels(a: np.ndarray, b: np.ndarray, weights: np.ndarray, n: int, min_cluste
             members[c].append(v)
             continue
         lam, (a, b) = inverse(weight[v]), kids[v]
-        big = [u for u in (a, b) if size[u] >= min_cluster_size]
+        apart = whose[v] == SEVERAL and seeds[a] and seeds[b]
+        big = [u for u in (a, b) if apart or size[u] >= min_cluster_size]
         gain = lambda m: 0.0 if np.isinf(lam) and np.isinf(born[c]) else m * (lam - born[c])  # noqa: B023, E731
         if len(big) == 2:
             stability[c] += gain(size[v])
             for u in big:
-                born.append(lam), up.append(c), stability.append(0.0), members.append([]), below.append([])
+                born.append(lam), up.append(c), stability.append(0.0), members.append([]), below.append([]), tops.append(u)
                 below[c].append(len(born) - 1)
                 stack.append((u, len(born) - 1))
         else:
@@ -222,13 +347,13 @@ def labels(a: np.ndarray, b: np.ndarray, weights: np.ndarray, n: int, min_cluste
                 else:
                     stability[c] += gain(size[u])
                     members[c] += points(u)
-    picked, worth = [False] * len(born), list(stability)
+    able = [(c or birth is not None) and whose[v] != SEVERAL and size[v] >= min_cluster_size for c, v in enumerate(tops)]
+    picked, worth = [False] * len(born), [(0, 0.0)] * len(born)
     for c in range(len(born) - 1, -1, -1):
-        inner = sum(worth[k] for k in below[c])
-        if (c or birth is not None) and (not below[c] or stability[c] >= inner):
-            picked[c] = True
-        else:
-            worth[c] = inner if below[c] else worth[c]
+        inner = (sum(worth[k][0] for k in below[c]), sum(worth[k][1] for k in below[c]))
+        own = (int(seeds[tops[c]]) * (int(seeds[tops[c]]) - 1) // 2, stability[c])
+        picked[c] = able[c] and (not below[c] or own >= inner)
+        worth[c] = own if picked[c] else inner
     out = np.full(n, -1)
 
     def everything(c: int) -> list[int]:
@@ -243,7 +368,7 @@ def labels(a: np.ndarray, b: np.ndarray, weights: np.ndarray, n: int, min_cluste
     todo = [0]
     while todo:
         c = todo.pop()
-        if picked[c] and (c or birth is not None):
+        if picked[c]:
             chosen.append(c)
         else:
             todo += below[c]
@@ -251,7 +376,7 @@ def labels(a: np.ndarray, b: np.ndarray, weights: np.ndarray, n: int, min_cluste
         # a cluster born within epsilon gives way to its nearest ancestor born beyond it
         risen = set()
         for c in chosen:
-            while c and born[c] > 1 / epsilon and up[c] >= 0 and (up[c] or birth is not None):
+            while c and born[c] > 1 / epsilon and up[c] >= 0 and able[up[c]]:
                 c = up[c]
             risen.add(c)
         chosen = [c for c in risen if not any(a in risen for a in ancestors(c, up))]
@@ -268,25 +393,46 @@ def ancestors(c: int, up: list[int]) -> list[int]:
     return found
 
 
-def cluster(rows: DataFrame, *, cut: float, min_cluster_size: int = 3, min_samples: int = 2, epsilon: float = 0.0) -> DataFrame:
+def cluster(rows: DataFrame, *, cut: float, min_cluster_size: int = 3, min_samples: int = 2, epsilon: float = 0.0, labelled: bool = False) -> DataFrame:
     """point, cluster_id for ``rows(point, features)``: clusters numbered by their smallest point, noise -1.
 
-    Fewer than two points give no rows. Equal distances are ordered by the points' numbers.
+    ``labelled``: rows have an ``identity`` (a number; null for points that are no seeds), and no cluster holds seeds of two
+    identities (:func:`labels`). Fewer than two points give no rows. Equal distances are ordered by the points' numbers.
     """
     n = rows.count()
     if n < 2:
         return rows.select("point", F.lit(NOISE).cast("long").alias("cluster_id")).limit(0)
-    core = written(core_distances(rows, min_samples), "core")
-    parts = written(within(rows, cut), "parts") if math.isfinite(cut) else rows.select("point", F.lit(0).cast("long").alias("component"))
-    several = parts.select("component").distinct().limit(2).count() > 1
+    placed, blocks = metric.partition(rows, n)
+    core = cores(placed, blocks, min_samples)
+    links, several = None, False
+    if math.isfinite(cut):
+        parts, edges = within(placed, blocks, cut)
+        parts = written(parts, "parts")
+        several = parts.select("component").distinct().limit(2).count() > 1
+        end = lambda x: core.select(F.col("point").alias(x), F.col("core").alias(f"c{x}"))
+        held = edges.join(end("a"), "a").join(end("b"), "b").join(parts.withColumnRenamed("point", "a"), "a")
+        links = held.select("component", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.greatest("d", "ca", "cb").alias("weight")).distinct()
+        core = core.join(parts, "point")
+    else:
+        core = core.withColumn("component", F.lit(0).cast("long"))
     birth = 1 / cut if several else None
+    edges = spanning_trees(written(core, "points"), blocks, links)
+    for x in ("a", "b"):
+        seeds = rows.where("identity IS NOT NULL").select(F.col("point").alias(x), F.col("identity").cast("string").alias(f"i{x}")) if labelled else None
+        edges = edges.join(seeds, x, "left") if labelled else edges
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, points, a, b = ordered(pdf)
-        found = labels(a, b, pdf["weight"].to_numpy(), len(points), min_cluster_size, epsilon, birth)
+        identity = None
+        if labelled:
+            identity, numbers = np.full(len(points), NONE), {}
+            for places, names in ((a, pdf["ia"]), (b, pdf["ib"])):
+                for place, name in zip(places.tolist(), names, strict=True):
+                    if isinstance(name, str):
+                        identity[place] = numbers.setdefault(name, len(numbers))
+        found = labels(a, b, pdf["weight"].to_numpy(), len(points), min_cluster_size, epsilon, birth, identity)
         return pd.DataFrame({"component": pdf["component"].iloc[0], "point": points, "local": found})
 
-    edges = tree_edges(rows.select("point", "features").join(core, "point").join(parts, "point"), n)
     local = written(edges.groupBy("component").applyInPandas(tree, "component long, point long, local long").where("local >= 0"), "labels")
     firsts = local.groupBy("component", "local").agg(F.min("point").alias("first"))
     numbered = with_ordinal(firsts, [F.col("first")], "cluster_id").drop("first")

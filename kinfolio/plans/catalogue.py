@@ -695,3 +695,12 @@ def clustering_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     faces = vec_faces(spark, sf).select("photo_id", "face_idx", "embedding", F.when(F.col("label") % 3 != 0, F.concat(F.lit("tag "), F.col("label").cast("string"))).alias("person_name"))
     found = clustering.clustered(rows, faces, faces, labels(spark, sf), centroids(spark, sf), temporal_sigma=0.0, cut=1.17)
     return found.select("photo_id", "face_idx", "cluster_id", "person_name", "predicted_name", "confidence")
+
+
+@query()
+def labelled_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """The centroids' labels keep identities apart; without tags, seeds alone name clusters. Held against a plain version."""
+    rows = datestamps.annotated(photo_rows(spark, sf), LIMITS).select("id", "corrected_date")
+    faces = vec_faces(spark, sf).select("photo_id", "face_idx", "embedding", F.lit(None).cast("string").alias("person_name"))
+    found = clustering.clustered(rows, faces, faces, labels(spark, sf), centroids(spark, sf), temporal_sigma=0.0, cut=1.17, labelled=True)
+    return found.select("photo_id", "face_idx", "cluster_id", "predicted_name", "confidence")

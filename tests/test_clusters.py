@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinfolio.operators import assign, gallery, hdbscan, naming, similarity
+from kinfolio.operators import assign, gallery, hdbscan, metric, naming, similarity
 from kinfolio.operators.ordinal import with_ordinal
 
 POINTS = "point long, features array<double>"
@@ -98,22 +98,120 @@ def test_cut_finds_the_same_separate_groups(spark, monkeypatch):
     y = np.random.default_rng(5).normal(size=(60, 2)).round(1)
     y[7] = y[3]
     tied = labels(frame(spark, y), cut=float("inf"))
-    monkeypatch.setattr(hdbscan, "BLOCK", 7)
+    monkeypatch.setattr(metric, "BLOCK", 7)
     assert labels(frame(spark, x), cut=1.5) == whole
     assert labels(frame(spark, y), cut=float("inf")) == tied
 
 
-@pytest.mark.parametrize("block", [5, 1000])
-def test_thinned_trees_are_the_tree(spark, monkeypatch, block):
-    monkeypatch.setattr(hdbscan, "BLOCK", block)
-    x = np.random.default_rng(8).normal(size=(70, 2)).round(1)
-    core, edges = naive_tree(x)
-    rows = frame(spark, x).withColumn("component", F.col("point") * 0).join(spark.createDataFrame(list(enumerate(map(float, core))), "point long, core double"), "point")
-    found = hdbscan.tree_edges(rows, len(x)).toPandas()
-    assert found.groupby(["component", "lot"]).size().max() < len(x) and found["lot"].nunique() <= hdbscan.FAN
-    pdf, points, a, b = hdbscan.ordered(found)
-    kept = pdf.iloc[[k for k, _, _ in hdbscan.merges(a, b, len(points))]]
-    assert np.allclose(kept["weight"], [w for w, _, _ in edges]) and list(zip(kept["a"], kept["b"], strict=True)) == [(i, j) for _, i, j in edges]
+@pytest.mark.parametrize("block", [12])
+def test_rounds_find_the_tree(spark, monkeypatch, block):
+    monkeypatch.setattr(metric, "BLOCK", block)
+    for x in (np.random.default_rng(8).normal(size=(70, 2)).round(1), blobs(4)):
+        core, edges = naive_tree(x)
+        placed, blocks = metric.partition(frame(spark, x), len(x))
+        points = hdbscan.cores(placed, blocks, 2).withColumn("component", F.col("point") * 0)
+        assert np.allclose([r.core for r in points.orderBy("point").collect()], core)
+        found = hdbscan.spanning_trees(points, blocks).toPandas()
+        assert len(found) == len(x) - 1
+        pdf, points, a, b = hdbscan.ordered(found)
+        kept = pdf.iloc[[k for k, _, _ in hdbscan.merges(a, b, len(points))]]
+        assert np.allclose(kept["weight"], [w for w, _, _ in edges]) and list(zip(kept["a"], kept["b"], strict=True)) == [(i, j) for _, i, j in edges]
+
+
+def test_fewer_pairs_of_blocks_than_all(spark, monkeypatch):
+    """Eight times the clusters: about as many times the pairs of blocks that meet."""
+    monkeypatch.setattr(metric, "BLOCK", 10)
+    rng, met, meet = np.random.default_rng(12), [], metric.meet
+    monkeypatch.setattr(metric, "meet", lambda a, found, *rest: (met.append(found.select("own", "block").distinct().count()), meet(a, found, *rest))[1])
+    sizes = []
+    for many in (5, 40):
+        x = np.concatenate([c + 0.01 * rng.normal(size=(20, 3)) for c in 100 * rng.normal(size=(many, 3))])
+        placed, blocks = metric.partition(frame(spark, x), len(x))
+        hdbscan.cores(placed, blocks, 2).count()
+        sizes.append(len(blocks.ids))
+    hdbscan.within(placed, blocks, 1.0)
+    k = sizes[1]
+    assert k > 6 * sizes[0] and met[1] < 1.5 * met[0] * k / sizes[0] and met[1] < 0.25 * k * k and met[2] < 0.25 * k * k
+
+
+def naive_labelled(x, identity, mcs=3):
+    """As :func:`naive` for two neighbours, where no cluster holds seeds of two identities; distances must differ."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    core = np.sort(d, axis=1)[:, 1]
+    m = np.maximum(np.maximum(core[:, None], core[None]), d)
+    who = lambda points: {identity[p] for p in points if identity[p] >= 0}
+
+    def parts(points, t):
+        left, found = set(points), []
+        while left:
+            part, todo = set(), [left.pop()]
+            while todo:
+                p = todo.pop()
+                part.add(p)
+                near = {q for q in left if m[p, q] < t}
+                left -= near
+                todo += near
+            found.append(part)
+        return found
+
+    def grow(points, birth):
+        mass, now, kids = 0.0, set(points), []
+        for t in sorted({m[a, b] for a, b in itertools.combinations(points, 2)}, reverse=True):
+            fallen = parts(now, t)
+            if len(fallen) == 1:
+                continue
+            with_seeds = [p for p in fallen if who(p)]
+            if len(who(now)) > 1 and len(with_seeds) > 1:
+                on = with_seeds
+            else:
+                on = [p for p in fallen if len(p) >= mcs]
+            if len(on) == 1:
+                mass += (len(now) - len(on[0])) / t - (len(now) - len(on[0])) * birth
+                now = on[0]
+                continue
+            mass += len(now) * (1 / t - birth)
+            kids = [grow(p, 1 / t) for p in on]
+            break
+        inner = (sum(k[0] for k in kids), sum(k[1] for k in kids), [c for k in kids for c in k[2]])
+        n = sum(identity[p] >= 0 for p in points)
+        if birth > 0 and len(points) >= mcs and len(who(points)) < 2 and (not kids or (n * (n - 1) // 2, mass) >= inner[:2]):
+            return n * (n - 1) // 2, mass, [set(points)]
+        return inner
+
+    return sorted((sorted(c) for c in grow(set(range(len(x))), 0.0)[2]))
+
+
+def test_labelled_seeds_are_kept_apart_and_together(spark):
+    # two bins of points each hold two seeds: of two identities, of one
+    rng = np.random.default_rng(21)
+    x = np.concatenate([c + 0.3 * rng.normal(size=(14, 2)) for c in ((0, 0), (9, 0), (0, 9))])
+    identity = np.full(len(x), -1)
+    identity[[2, 11]], identity[[16, 25]] = (0, 1), 2
+    rows = [(k, [float(v) for v in p], int(i) if i >= 0 else None) for k, (p, i) in enumerate(zip(x, identity, strict=True))]
+    found = hdbscan.cluster(spark.createDataFrame(rows, POINTS + ", identity long"), cut=float("inf"), labelled=True)
+    got = {r.point: r.cluster_id for r in found.collect()}
+    assert got[2] != got[11] or got[2] == -1
+    assert got[16] == got[25] >= 0
+    clusters = sorted(sorted(k for k in got if got[k] == c) for c in set(got.values()) - {-1})
+    assert clusters == naive_labelled(x, identity)
+    plain = labels(frame(spark, x), cut=float("inf"))
+    assert plain[2] == plain[11] >= 0
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_labelled_equals_naive(seed):
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([c + rng.normal(size=(rng.integers(4, 12), 2)) for c in 4 * rng.normal(size=(4, 2))])
+    identity = np.where(rng.random(len(x)) < 0.2, rng.integers(0, 3, len(x)), -1)
+    _, edges = naive_tree(x)
+    w, a, b = (np.array(c) for c in zip(*edges, strict=True))
+    out = hdbscan.labels(a, b, w, len(x), 3, 0.0, None, identity)
+    got = sorted(np.flatnonzero(out == c).tolist() for c in set(out.tolist()) - {-1})
+    # ties of the mutual distance make the tree's order count
+    if len(set(w.tolist())) == len(w):
+        assert got == naive_labelled(x, identity)
+    for c in got:
+        assert len({identity[p] for p in c if identity[p] >= 0}) < 2
 
 
 def test_epsilon_merges_and_small_inputs(spark):
@@ -128,7 +226,7 @@ def test_core_distances(spark, monkeypatch):
     x = blobs(3)
     d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), axis=1)
     for block in (2048, 5):
-        monkeypatch.setattr(hdbscan, "BLOCK", block)
+        monkeypatch.setattr(metric, "BLOCK", block)
         got = {r.point: r.core for r in hdbscan.core_distances(frame(spark, x), 3).collect()}
         assert np.allclose([got[k] for k in range(len(x))], d[:, 2])
 
