@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -232,17 +233,20 @@ def stacked(s: pd.Series) -> np.ndarray:
 def search(vectors: DataFrame, *, every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by ``every``, the ``k`` nearest other rows found.
 
-    Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those of another length
-    than the most common one; rows of one vec_id count once; a null vec_id takes no part.
+    Vectors that are null, empty, zero or hold null or non-finite components take no part, nor does a null vec_id; rows of one
+    vec_id count once. A query's candidates are the vectors of its length: each length has lists of its own. An empty table
+    gives an empty result. Other columns of any name are not read.
     """
-    spark = vectors.sparkSession
-    rows = usable(vectors)
-    rows = written(rows, "vectors")
-    lengths = rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    schema = "query_id long, vec_id long, score double"
-    if lengths is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("embedding") == lengths["dim"])
+    rows = written(usable(vectors), "vectors")
+    found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    lengths = sorted(r["dim"] for r in rows.select(F.size("embedding").alias("dim")).distinct().collect())
+    parts = [search_alike(rows.where(F.size("embedding") == dim) if len(lengths) > 1 else rows, every, k) for dim in lengths]
+    return functools.reduce(DataFrame.unionByName, parts) if parts else found
+
+
+def search_alike(rows: DataFrame, every: int, k: int) -> DataFrame:
+    """:func:`search` over the written ``rows(vec_id, embedding)`` of one length."""
+    spark, schema = rows.sparkSession, "query_id long, vec_id long, score double"
     # equal vectors are one, with the ids that can be results; every partition sends k + 1 rows of a vector at most
     order = Window.partitionBy("embedding").orderBy("vec_id")
     few = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)

@@ -484,7 +484,8 @@ def conversations(rows: DataFrame) -> DataFrame:
 def formatted(rows: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """conv_id, n_turns, text and loss_spans (array of start, end in code points) of each conversation.
 
-    A conversation is one training example and is rendered by one call; conversations are spread over tasks.
+    A conversation is one training example and is rendered by one call; conversations are spread over tasks. Empty and very
+    long texts are rendered whole; equal rows are turns each, in any order of theirs; an empty table gives an empty result.
     """
     compiled(template)  # an error shows here, not in a task
 
@@ -499,7 +500,10 @@ def formatted(rows: DataFrame, template: str = TEMPLATE) -> DataFrame:
 
 
 def digests(texts: DataFrame) -> DataFrame:
-    """What the formatted texts say, read back from them: turns and loss as digests, and their lengths."""
+    """What the formatted texts say, read back from them: turns and loss as digests, and their lengths.
+
+    A row each, repeated ones too; no loss spans are a loss of no characters; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

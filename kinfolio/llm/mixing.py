@@ -58,7 +58,8 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), total_share: f
     that a source's ``taken`` words add up to its target rounded down. Copies of a row are equal and either may come first.
 
     Returns doc_id, source, size, source_size, target, taken. Null text counts 0 words; a source of no words has target 0.
-    Reruns agree. Null doc_id hashes as an empty one.
+    Reruns agree. Null doc_id hashes as an empty one. A very long text counts all its words; an empty table gives an empty
+    result.
     """
     if max_epochs < total_share:
         raise ValueError("the sources cannot reach the total within max_epochs")

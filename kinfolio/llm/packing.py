@@ -129,6 +129,7 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, pieces_a_sha
     Pieces are dealt by hash to shards of about ``pieces_a_shard`` and each shard packs its own by best fit in falling
     order of length, ties by doc_id, copy and piece; only ids and lengths are shuffled. A shard leaves a few bins partly
     filled, whatever its size. Null and empty texts have no words and no place. A null doc_id is packed like any other.
+    Very long texts are cut at the largest capacity; an empty table packs to none.
     """
     capacities = tuple(sorted(set(capacities)))
     cut = written(pieces(docs, capacities[-1]), "pieces")

@@ -138,6 +138,7 @@ def find(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_url, n_account. Null and empty texts have no
     spans: counts 0, spans '' and the digest of ''. Repeated rows and null doc_ids give a row each.
+    Very long texts are read whole; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -171,7 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, *, limit: int = 20_000, seed: int
     """Fits on at most ``limit`` labelled rows in seeded order; only their statistics reach the driver.
 
     Every fifth row places the cut between kept and rejected texts and fits nothing else. Without labels all score alike and
-    the base rule alone rejects. Null labels and doc_ids are left out; of a repeated doc_id the worst label counts.
+    the base rule alone rejects. Null labels and doc_ids are left out; of a repeated doc_id the worst label and the text of the
+    smallest statistics count, so there is a row for each chosen id and reruns agree.
     """
     chosen = bounded_ids(labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id", limit, seed)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``limit`` ids
@@ -180,7 +181,8 @@ def train(docs: DataFrame, labels: DataFrame, *, limit: int = 20_000, seed: int
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "x": [statistics(t)[1] for t in pdf["text"]]})
 
-    found = rows.select("doc_id", F.col("text").cast("binary").alias("text"), "quality").mapInPandas(run, "doc_id long, quality int, x array<double>").limit(2 * limit).toPandas().sort_values(["doc_id"], kind="stable")
+    found = rows.select("doc_id", F.col("text").cast("binary").alias("text"), "quality").mapInPandas(run, "doc_id long, quality int, x array<double>")
+    found = found.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x")).toPandas().sort_values("doc_id")
     x = np.array(found["x"].tolist(), float).reshape(-1, len(FEATURES))
     y, probe = found["quality"].to_numpy(float), np.arange(len(x)) % 5 == 4
     model = fit(x[~probe], y[~probe], np.array([MONOTONE.get(f, 0) for f in FEATURES]), **options)
@@ -214,7 +216,7 @@ def assess(docs: DataFrame, model: Trees) -> DataFrame:
 
     Base rule: fails under 10 words, or if over a fifth of the words lie in repeated windows. ``kept`` is false then, else
     whether the trees' probability of good quality reaches the model's ``cut``. Null and empty texts have 0 words and fail.
-    Repeated rows and null doc_ids give a row each.
+    Repeated rows and null doc_ids give a row each. Very long texts are read whole; an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

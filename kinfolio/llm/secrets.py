@@ -283,8 +283,8 @@ def train(findings: DataFrame, lang: Language, *, limit: int = 20_000, **options
 def scan(docs: DataFrame, forest: Forest, lang: Language, *, threshold: float = 0.5) -> DataFrame:
     """Every candidate of ``docs(doc_id, text, path)`` with its score and whether it is reported (score >= ``threshold``).
 
-    Null and empty texts have no candidates; a null path is an empty one; repeated rows report repeatedly. The value is
-    given as its offsets and a SHA-256, so that reports don't spread the secrets.
+    Null and empty texts have no candidates; a null path is an empty one; repeated rows report repeatedly. Very long texts are
+    scanned whole; an empty table gives an empty result. The value is given as its offsets and a SHA-256, so that reports don't spread the secrets.
     """
     sent = docs.sparkSession.sparkContext.broadcast((forest, lang))
 

@@ -261,7 +261,9 @@ def train(docs: DataFrame, labels: DataFrame, *, limit: int = 12_000, words: int
 def score(docs: DataFrame, model: Model, *, cut: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= ``cut``), threshold and flagged (by the language's threshold).
 
-    Each score comes from the whole text alone. Null and empty texts score as a text of padding does.
+    Each score comes from the whole text alone. Null and empty texts score as a text of padding does; equal texts, in repeated
+    rows too, get equal scores, and a score at the cut is predicted. A null doc_id gets a row and is not held out. An empty
+    table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

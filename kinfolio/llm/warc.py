@@ -35,9 +35,16 @@ def identified(page_id: object) -> str:
     return f"<urn:page:{'none' if page_id is None or pd.isna(page_id) else page_id}>"
 
 
-def one_line(value: object) -> str:
-    """A header's value: line ends would end the header."""
-    return "" if value is None else str(value).replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if isinstance(value, str) and ("\r" in value or "\n" in value) else str(value)
+#: The fields of a record whose values are escaped, as line ends would end the header; others stand as they are.
+ESCAPED = "WARC-X-Escaped"
+
+
+def fields_of(values: dict[str, str | None]) -> list[str]:
+    """Header lines of the values that are not null. One with a line end has it and all percent signs escaped, and is listed."""
+    told = {k: v for k, v in values.items() if v is not None}
+    listed = [k for k, v in told.items() if "\r" in v or "\n" in v]
+    lines = [f"{k}: " + (v.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if k in listed else v) for k, v in told.items()]
+    return lines + ([f"{ESCAPED}: {', '.join(listed)}"] if listed else [])
 
 
 def record(page_id: object, url: str | None, payload: bytes | None, size: int, digest: str, refers: tuple[object, str | None] | None) -> bytes:
@@ -48,12 +55,11 @@ def record(page_id: object, url: str | None, payload: bytes | None, size: int, d
         "WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: {identified(page_id)}", "WARC-Date: 2000-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}", f"WARC-X-Payload-Length: {size}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
-    if url is not None:
-        head.append(f"WARC-Target-URI: {one_line(url)}")
+    named = {"WARC-Target-URI": url}
     if refers is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {identified(refers[0])}"]
-        if refers[1] is not None:
-            head.append(f"WARC-Refers-To-Target-URI: {one_line(refers[1])}")
+        named["WARC-Refers-To-Target-URI"] = refers[1]
+    head += fields_of(named)
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", LEVEL, mtime=0)
 
 
@@ -77,8 +83,9 @@ def page_of(identifier: str | None) -> str | None:
 
 
 def url_of(fields: dict) -> str | None:
-    url = fields.get("WARC-Target-URI")
-    return url.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%") if url and ("%0D" in url or "%0A" in url) else url
+    name = "WARC-Target-URI"
+    url = fields.get(name)
+    return url.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%") if url and name in fields.get(ESCAPED, "").split(", ") else url
 
 
 def resolved(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -239,7 +246,8 @@ def round_trip(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
     """Archives every row of ``pages`` and reads every record back.
 
     Returns page_id, payload_bytes, payload_digest, record_type, refers_to, url. A null html is an empty payload; rows of
-    equal page_id and html are records of their own, one of which responds; a null page_id orders last.
+    equal page_id and html are records of their own, one of which responds; a null page_id orders last. A very long html is one record; an empty table gives no archive and an
+    empty result.
     """
     folder = new_path(pages.sparkSession, "warc")
     selected = write(resolved(pages, min_bytes), folder)

@@ -1,4 +1,7 @@
+import os
+
 import numpy as np
+import pytest
 
 from kinfolio.llm import ann
 
@@ -127,3 +130,22 @@ def test_ties_are_scored_in_bounded_lots(monkeypatch):
     block = np.arange(1, 501)[:, None] * np.ones((1, 4))  # one direction in 500 lengths: every pair ties
     q, v, s = ann.nearest(block, [np.array([k]) for k in range(500)], block[:200], np.arange(200), 5)
     assert len(q) == 1000 and max(sizes) <= 1500 and np.allclose(s, 1)
+
+
+def test_each_length_is_searched_apart(spark):
+    rng = np.random.default_rng(15)
+    x, y = rng.normal(size=(60, 4)).astype(np.float32), rng.normal(size=(20, 6)).astype(np.float32)
+    rows = [(i, [float(t) for t in v], 0, "") for i, v in enumerate([*x, *y])]
+    got = found(ann.search(spark.createDataFrame(rows, SCHEMA), every=10))
+    want = brute(np.arange(60), x, 10, 5) | brute(np.arange(60, 80), y, 10, 5)
+    assert set(got) == set(want) and all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in want)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_recall_on_the_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").collect()
+    got = found(ann.search(table))
+    want = brute(np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float32), 50, 5)
+    assert set(got) == set(want)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 5 for q in want]) >= 0.9

@@ -83,3 +83,12 @@ def test_cut_spares_good_texts():
     cut = quality.sparing_cut(p, y)
     assert (p[:1000] < cut).mean() <= 0.01 and (p[1000:] < cut).mean() > 0.3
     assert quality.sparing_cut(np.full(5, 0.9), np.ones(5)) == 0.3 / 4 == quality.sparing_cut(np.zeros(0), np.zeros(0))
+
+
+def test_repeated_ids_fit_the_same_model(spark):
+    rng = random.Random(9)
+    rows = [(k // 3, " ".join(rng.choice(["alpha", "beta", "%%%", "x#"]) + str(rng.randint(0, 9)) for _ in range(30)), "x") for k in range(600)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
+    models = [quality.train(spark.createDataFrame(r, DOCS).repartition(n), labels) for r, n in ((rows, 1), (rows[::-1], 7))]
+    assert models[0].cut == models[1].cut
+    assert all(np.array_equal(getattr(models[0], f), getattr(models[1], f)) for f in ("roots", "feature", "threshold", "left", "right", "value"))

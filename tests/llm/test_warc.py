@@ -57,3 +57,16 @@ def test_a_row_repeated_often_has_one_response(spark, monkeypatch):
     rows = [(5, "u", "same")] * 40 + [(5, None, "same"), (9, "u", "same"), (5, "u", "other")]
     got = warc.round_trip(spark.createDataFrame([(*r, "") for r in rows], SCHEMA)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
     assert sorted(str(tuple(r)) for r in got) == brute(rows)
+
+
+def test_urls_come_back_as_they_are(spark):
+    urls = ["http://a/?q=x%0Ay%2520", "http://a/%0D", "a%25\nb%0A", "\r\n", "%", "plain", None]
+    rows = [(k, u, f"same {k // 7}", "") for k, u in enumerate(urls * 2)]
+    folder = new_path(spark, "warc-urls")
+    index = warc.write(warc.resolved(spark.createDataFrame(rows, SCHEMA)), folder)
+    want = sorted(((r[0], r[1]) for r in rows), key=str)
+    assert sorted(((r.page_id, r.url) for r in warc.read(index, folder).collect()), key=str) == want
+    assert sorted(((r.page_id, r.url) for r in warc.index(spark, [r.path for r in index.select("path").distinct().collect()], folder).collect()), key=str) == want
+    data = warc.record(2, "a%0Ab", None, 3, "D", (1, "c\n%0A"))
+    head = warc.parse(next(warc.members(io.BytesIO(data)))[2])
+    assert head["WARC-Target-URI"] == "a%0Ab" and head["WARC-Refers-To-Target-URI"] == "c%0A%250A" and head[warc.ESCAPED] == "WARC-Refers-To-Target-URI"
