@@ -42,7 +42,7 @@ def detect_datestamps(spark: SparkSession, args: argparse.Namespace) -> None:
     rows, _ = library(spark, args.db, args.photo_root)
     rows = photos.first_photos(rows, args.limit)
     if args.photo_root:
-        rows = photos.fill_exif(rows, exif.read_exif(spark, args.photo_root))
+        rows = photos.fill_exif(rows, exif.read_exif(rows.select("full_path")))
     rows = written(datestamps.annotated(rows), "annotated")
     rows.agg(F.count_if(F.size("datestamp_flags") > 0).alias("flagged"), F.count("*").alias("photos")).show()
     datestamps.report(rows, show_clean=args.show_clean).show(100, truncate=30)
@@ -58,17 +58,17 @@ def cluster(spark: SparkSession, args: argparse.Namespace) -> None:
     rows, faces = library(spark, args.db, args.photo_root)
     rows = written(datestamps.annotated(photos.first_photos(rows, args.limit)), "annotated")
     known = identities(spark, args.recognition_db)
-    compute = None
+    compute, cut = None, None
     if args.codec and args.embedder:
         codec, load = loaded(args.codec), loaded(args.embedder)
-        files = images.image_files(spark, args.photo_root) if args.photo_root else spark.createDataFrame([], "full_path string, content binary")
         t = lambda name: sqlite.read_table(spark, args.thumbnails_db, name)
         thumbnails = photos.thumbnails(t("UniqueHashes"), t("Thumbnails")) if args.thumbnails_db else None
-        compute = (files, thumbnails, codec, load)
+        compute = (None, thumbnails, codec, load)
     if args.load_embeddings:
         embeddings = spark.read.parquet(args.load_embeddings)
     elif compute:
-        embeddings = written(assign.embed_faces(rows, faces, *compute), "embeddings")
+        cut = written(images.crops(faces, rows, None, thumbnails, codec), "crops")
+        embeddings = written(assign.embed(cut, load), "embeddings")
     else:
         raise SystemExit("cluster needs --load-embeddings, or --codec and --embedder")
     if args.save_embeddings:
@@ -100,8 +100,8 @@ def cluster(spark: SparkSession, args: argparse.Namespace) -> None:
         shown = gallery.captions(found, rows)
         crops = spark.read.parquet(args.crops) if args.crops else shown.select("photo_id", "face_idx", F.lit(None).cast("binary").alias("jpeg")).limit(0)
         if compute and not args.crops:
-            cut = images.crops(faces, images.photo_images(rows, compute[0], compute[1]), codec.decode, codec.cut, codec.size)
-            crops = cut.select("photo_id", "face_idx", F.col("crop").alias("jpeg"))
+            # cut once for the model and the gallery
+            crops = (cut if cut is not None else images.crops(faces, rows, None, thumbnails, codec)).select("photo_id", "face_idx", "jpeg")
         gallery.write_pages(written(shown.join(crops, ["photo_id", "face_idx"], "left"), "shown"), args.export_html).agg(F.sum("rendered").alias("rendered")).show()
 
 

@@ -614,10 +614,10 @@ def exif_fill(spark: SparkSession, sf: str) -> DataFrame:
     return photos.fill_exif(bare, tags).drop("full_path")
 
 
-@query(f"WITH {FACES} SELECT photo_id, CAST(face_idx AS INT) AS face_idx, p_partkey AS identity_id FROM faces JOIN part ON p_name = person_name AND p_partkey % 3 = 0")
+@query(f"WITH {FACES} SELECT photo_id, CAST(face_idx AS INT) AS face_idx, p_partkey AS identity_id FROM faces JOIN part ON p_name = person_name")
 def tagged_faces(spark: SparkSession, sf: str) -> DataFrame:
     (part,) = tables(spark, sf, "part")
-    ids = part.where(F.col("p_partkey") % 3 == 0).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    ids = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     return assign.tagged_faces(face_rows(spark, sf), ids).select("photo_id", "face_idx", "identity_id")
 
 
@@ -672,14 +672,14 @@ def embed_all_faces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {BOXES}, t AS (SELECT p_partkey AS id, f.photo_id, f.face_idx, row_number() OVER (PARTITION BY p_partkey ORDER BY f.photo_id, f.face_idx) AS k FROM faces f JOIN part ON p_name = person_name AND p_partkey % 3 = 0),
+    f"""WITH {BOXES}, t AS (SELECT p_partkey AS id, f.photo_id, f.face_idx, row_number() OVER (PARTITION BY p_partkey ORDER BY f.photo_id, f.face_idx) AS k FROM faces f JOIN part ON p_name = person_name),
 m AS (SELECT id, avg(x0) AS a, avg(y0) AS b, avg(x1) AS c, avg(y1) AS d FROM t JOIN crops ON crops.photo_id = t.photo_id AND crops.face_idx = t.face_idx WHERE k <= 5 GROUP BY id)
 SELECT id AS identity_id, {joined("[a / n, b / n, c / n, d / n]", 5)} AS centroid FROM (SELECT *, sqrt(a * a + b * b + c * c + d * d) AS n FROM m)"""
 )
 def crop_centroids(spark: SparkSession, sf: str) -> DataFrame:
     rows, files, thumbs = pictures(spark, sf)
     (part,) = tables(spark, sf, "part")
-    ids = part.where(F.col("p_partkey") % 3 == 0).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    ids = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     return assign.crop_centroids(face_rows(spark, sf), ids, rows, files, thumbs, CODEC, _load, 5).select("identity_id", shown(F.col("centroid"), 5).alias("centroid"))
 
 

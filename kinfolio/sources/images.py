@@ -1,56 +1,113 @@
-"""Image bytes of photos, and crops of faces from them."""
+"""Crops of faces from the image files of their photos, with a fallback to thumbnails."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
 
+#: Fixed values of the gallery: the largest side of a shown face in pixels, and its JPEG quality.
+LARGEST, QUALITY = 140, 80
+#: Bytes of crops that a task gathers before it passes them on.
+BATCH_BYTES = 16 << 20
 
-def image_files(spark: SparkSession, folder: str) -> DataFrame:
-    """full_path, content of all files under ``folder``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("full_path"), "content")
 
+@dataclass(frozen=True)
+class Codec:
+    """How images are opened, measured and cut: ``decode(bytes)``, ``size(image)`` -> (width, height), ``cut(image, box)`` -> bytes.
+
+    ``thumb(image, box, largest, quality)`` -> bytes cuts the box and shrinks it to a largest side, at a JPEG quality; without
+    it the cut itself is shown.
+    """
+
+    decode: Callable[[bytes], Any]
+    size: Callable[[Any], tuple[int, int]]
+    cut: Callable[[Any, tuple[int, int, int, int]], bytes | None]
+    thumb: Callable[[Any, tuple[int, int, int, int], int, int], bytes | None] | None = None
 
-def photo_images(photos: DataFrame, files: DataFrame, thumbnails: DataFrame | None) -> DataFrame:
-    """id, image: the file, else the thumbnail of (unique_hash, file_size), else NULL. An empty hash or size 0 finds none."""
-    rows = photos.select("id", "full_path", F.nullif("unique_hash", F.lit("")).alias("unique_hash"), F.nullif("file_size", F.lit(0)).alias("file_size"))
-    rows = rows.join(files, "full_path", "left")
-    if thumbnails is None:
-        return rows.select("id", F.col("content").alias("image"))
-    return rows.join(thumbnails, ["unique_hash", "file_size"], "left").select("id", F.coalesce("content", "data").alias("image"))
 
+def read_file(path: str) -> bytes | None:
+    """A file's bytes, by a path or a URI that Arrow knows; None if there is none."""
+    try:
+        system, name = fs.FileSystem.from_uri(path)
+        with system.open_input_stream(name) as f:
+            return f.read()
+    except (OSError, ValueError):
+        return None
 
-def crops(faces: DataFrame, images: DataFrame, decode: Callable[[bytes], object], cut: Callable[[object, tuple[int, int, int, int]], bytes | None], size: Callable[[object], tuple[int, int]], padding: float = 0.3) -> DataFrame:
-    """photo_id, face_idx, crop: the padded face cut from its image by the given codec; unreadable or tiny ones go.
 
-    ``decode`` opens an image, ``size`` tells (width, height), ``cut`` returns the encoded box. Rectangles apply unscaled,
-    whether the image is a file or a thumbnail.
+def crops(faces: DataFrame, photos: DataFrame, files: DataFrame | None, thumbnails: DataFrame | None, codec: Codec, padding: float = 0.3, largest: int = LARGEST, quality: int = QUALITY) -> DataFrame:
+    """photo_id, face_idx, crop, jpeg: each padded face cut from its image, and as it is shown; unreadable or tiny ones go.
+
+    An image is the photo's file; if there is none, or it cannot be opened, the thumbnail of (unique_hash, file_size), where an
+    empty hash or size 0 finds none. ``files(full_path, content)`` is a table of files; without it a task reads the files of
+    its photos by their ``full_path``, one at a time, and only of photos with faces. An image is opened once for all its
+    faces. Rectangles apply unscaled, whether the image is a file or a thumbnail.
     """
-    rows = faces.join(images.select(F.col("id").alias("photo_id"), "image"), "photo_id").where(F.col("image").isNotNull())
+    spark = faces.sparkSession
+    # a photo's faces are its unit
+    on = faces.groupBy("photo_id").agg(F.collect_list(F.struct("face_idx", "x", "y", "width", "height")).alias("faces"))
+    rows = photos.select(F.col("id").alias("photo_id"), "full_path", F.nullif("unique_hash", F.lit("")).alias("unique_hash"), F.nullif("file_size", F.lit(0)).alias("file_size")).join(on, "photo_id")
+    none = F.lit(None).cast("binary")
+    rows = rows.withColumn("content", none) if files is None else rows.join(files.select("full_path", "content"), "full_path", "left")
+    rows = rows.withColumn("data", none) if thumbnails is None else rows.join(thumbnails.select("unique_hash", "file_size", "data"), ["unique_hash", "file_size"], "left")
+    rows = rows.select("photo_id", "full_path", "faces", "content", "data")
+    if files is None:
+        # a row is a path, but its work is an image
+        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    by_path = files is None
+
+    def opened(r: Any) -> Any:
+        for data in (lambda: read_file(r.full_path) if by_path and r.full_path else r.content, lambda: r.data):
+            found = data()
+            if found is not None:
+                try:
+                    image = codec.decode(bytes(found))
+                    if image is not None:
+                        return image
+                except Exception:  # any codec's error means an unreadable image
+                    continue
+        return None
+
+    def cuts(r: Any) -> Iterator[tuple]:
+        image = opened(r)
+        if image is None:
+            return
+        for f in r.faces:
+            try:
+                width, height = codec.size(image)
+                px, py = int(f["width"] * padding), int(f["height"] * padding)
+                box = (max(0, f["x"] - px), max(0, f["y"] - py), min(width, f["x"] + f["width"] + px), min(height, f["y"] + f["height"] + py))
+                if box[2] - box[0] < 4 or box[3] - box[1] < 4:
+                    continue
+                crop = codec.cut(image, box)
+                shown = codec.thumb(image, box, largest, quality) if codec.thumb else crop
+            except Exception:  # the face is left out, its neighbours stay
+                continue
+            if crop is not None:
+                yield r.photo_id, f["face_idx"], crop, shown
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, held = [], 0
+        frame = lambda: pd.DataFrame(out, columns=["photo_id", "face_idx", "crop", "jpeg"])
         for pdf in batches:
-            out = []
             for r in pdf.itertuples(index=False):
-                try:
-                    image = decode(bytes(r.image))
-                    width, height = size(image)
-                    px, py = int(r.width * padding), int(r.height * padding)
-                    box = (max(0, r.x - px), max(0, r.y - py), min(width, r.x + r.width + px), min(height, r.y + r.height + py))
-                    crop = cut(image, box) if box[2] - box[0] >= 4 and box[3] - box[1] >= 4 else None
-                except Exception:  # any codec's error means an unreadable image
-                    crop = None
-                if crop is not None:
-                    out.append((r.photo_id, r.face_idx, crop))
-            yield pd.DataFrame(out, columns=["photo_id", "face_idx", "crop"])
+                for row in cuts(r):
+                    out.append(row)
+                    held += len(row[2]) + len(row[3] or b"")
+                if held >= BATCH_BYTES:
+                    yield frame()
+                    out, held = [], 0
+        yield frame()
 
-    return rows.select("photo_id", "face_idx", "x", "y", "width", "height", "image").mapInPandas(run, "photo_id long, face_idx int, crop binary")
+    return rows.mapInPandas(run, "photo_id long, face_idx int, crop binary, jpeg binary")
 
 
 def crop_boxes(faces: DataFrame, photos: DataFrame, padding: float = 0.3) -> DataFrame:

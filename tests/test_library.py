@@ -4,6 +4,7 @@ import sqlite3
 import struct
 
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from kinfolio.operators import photos, reports
@@ -81,11 +82,31 @@ def test_images(spark, table, photo_table, tmp_path):
     thumbs = photos.thumbnails(table("UniqueHashes"), table("Thumbnails"))
     assert {(r.unique_hash, r.file_size): r.data for r in thumbs.collect()} == {("h1", 10): b"jpeg1", ("h2", 20): None, ("h5", 0): b"jpeg1"}
     files = spark.createDataFrame([("/photos/misc/20110219_165529.jpg", bytearray(b"file"))], "full_path string, content binary")
-    found = {r.id: r.image for r in images.photo_images(photo_table, files, thumbs).collect()}
-    assert found == {1: b"jpeg1", 2: b"file", 5: None}
     faces = photos.faces(table("ImageTagProperties"), table("Tags"))
-    made = images.crops(faces, images.photo_images(photo_table, files, thumbs), lambda b: b, lambda im, box: repr(box).encode(), lambda im: (100, 80)).collect()
-    assert {(r.photo_id, r.face_idx): bytes(r.crop) for r in made}[(1, 1)] == b"(3, 4, 14, 16)"
+    codec = images.Codec(lambda b: b, lambda im: (100, 80), lambda im, box: im + repr(box).encode(), lambda im, box, largest, quality: repr((box, largest, quality)).encode())
+    made = {(r.photo_id, r.face_idx): r for r in images.crops(faces, photo_table, files, thumbs, codec).collect()}
+    assert bytes(made[(1, 1)].crop) == b"jpeg1(3, 4, 14, 16)" and bytes(made[(1, 1)].jpeg) == b"((3, 4, 14, 16), 140, 80)"
+    assert bytes(made[(2, 0)].crop).startswith(b"file") and {k[0] for k in made} == {1, 2}
+
+
+def test_wanted_files_alone_are_opened_once(spark, tmp_path):
+    for k in range(200):
+        (tmp_path / f"{k}.img").write_bytes(b"bad" if k == 3 else f"image {k}".encode())
+    rows = spark.createDataFrame([(k, str(tmp_path / f"{k}.img"), f"h{k}", 1) for k in range(12)] + [(90, str(tmp_path / "none.img"), "h90", 1), (91, None, "", 0)], "id long, full_path string, unique_hash string, file_size long")
+    thumbs = spark.createDataFrame([("h3", 1, bytearray(b"small 3")), ("h90", 1, bytearray(b"small 90"))], "unique_hash string, file_size long, data binary")
+    faces = spark.createDataFrame([(k, i, 10, 10, 20, 20) for k in [*range(10), 90, 91] for i in range(3)], "photo_id long, face_idx int, x int, y int, width int, height int")
+    opened = spark.sparkContext.accumulator(0)
+
+    def decode(data):
+        opened.add(1)
+        if data == b"bad":
+            raise ValueError
+        return data
+
+    made = images.crops(faces, rows, None, thumbs, images.Codec(decode, lambda im: (50, 50), lambda im, box: im)).collect()
+    want = {k: f"small {k}" if k in (3, 90) else f"image {k}" for k in [*range(10), 90]}
+    assert {(r.photo_id, r.face_idx): bytes(r.crop).decode() for r in made} == {(k, i): v for k, v in want.items() for i in range(3)}
+    assert opened.value == 12  # a photo once, and the thumbnail of the bad one
 
 
 def test_summary(table, photo_table):
@@ -121,6 +142,23 @@ def exif_jpeg(order="<", original=b"2010:01:02 03:04:05\0", make=b"Canon \0"):
     return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(body) + 2) + body + b"\xff\xda"
 
 
+def test_exif_reads_ranges_of_the_wanted_files(spark, tmp_path):
+    data = exif_jpeg()
+    padded = data[:2] + b"\xff\xe0" + struct.pack(">H", 50_002) + b"x" * 50_000 + data[2:] + b"\0" * 3_000_000
+    (tmp_path / "a b.jpg").write_bytes(padded)
+    (tmp_path / "t.tif").write_bytes(data[12:-2] + b"\0" * 2_000_000)
+    (tmp_path / "x.jpg").write_bytes(b"\xff\xd8\xff\xe0")
+    (tmp_path / "empty.jpg").write_bytes(b"")
+    names = ["a b.jpg", "t.tif", "x.jpg", "empty.jpg", "none.jpg"]
+    paths = spark.createDataFrame([(str(tmp_path / n),) for n in [*names, "t.tif"]] + [(None,)], "full_path string")
+    got = {r.full_path.rsplit("/", 1)[1]: (str(r.date), r.make) for r in exif.read_exif(paths).collect()}
+    assert got == {n: ("2010-01-02 03:04:05", "Canon") if n in ("a b.jpg", "t.tif") else ("None", None) for n in names}
+    for name in ("a b.jpg", "t.tif"):
+        with fs.LocalFileSystem().open_input_file(str(tmp_path / name)) as f:
+            ranges = exif.Ranges(f)
+            assert exif.tags_of(ranges)[3] == "Canon " and ranges.read < 1000
+
+
 def test_exif_fills_gaps(spark, photo_table):
     files = spark.createDataFrame([("/photos/2010-10-25 trip/a.jpg", bytearray(exif_jpeg())), ("/photos/misc/20110219_165529.jpg", bytearray(exif_jpeg(">", b"2012:01:02 03:04:05\0"))), ("/x", bytearray(b"\xff\xd8broken")), ("/y", None)], "path string, content binary")
     tags = {r.full_path: r for r in exif.from_files(files).collect()}
