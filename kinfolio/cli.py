@@ -83,13 +83,16 @@ def cluster(spark: SparkSession, args: argparse.Namespace) -> None:
             centroids = similarity.identity_centroids(tagged, "identity_id", ["photo_id", "face_idx"], args.max_seeds)
         centroids = written(centroids, "centroids")
         naming.seeded_names(centroids, known).show(truncate=False)
+        more = centroids.count() - naming.SEEDED_NAMES
+        if more > 0:
+            print(f"(+{more} more)")
     if args.nearest_centroid:
         if centroids is None:
             raise SystemExit("--nearest-centroid requires --semi-supervised")
         named = faces.select("photo_id", "face_idx", "person_name").join(rows.select(F.col("id").alias("photo_id")), "photo_id", "left_semi")
         found = assign.nearest_centroid(embeddings, known, centroids, named, args.min_similarity)
     else:
-        found = clustering.clustered(rows, faces, embeddings, known, centroids, temporal_sigma=args.temporal_sigma, min_cluster_size=args.min_cluster, pca_dims=args.pca_dims, epsilon=args.cluster_epsilon, cut=args.cut_distance)
+        found = clustering.clustered(rows, faces, embeddings, known, centroids, temporal_sigma=args.temporal_sigma, min_cluster_size=args.min_cluster, pca_dims=args.pca_dims, epsilon=args.cluster_epsilon, cut=args.cut_distance, labelled=args.labelled_seeds)
     found = written(found, "results")
     # a line a cluster, as many as there are; fetched a partition at a time
     print("cluster_id\tfaces\tassigned_name")
@@ -102,7 +105,7 @@ def cluster(spark: SparkSession, args: argparse.Namespace) -> None:
         if compute and not args.crops:
             # cut once for the model and the gallery
             crops = (cut if cut is not None else images.crops(faces, rows, None, thumbnails, codec)).select("photo_id", "face_idx", "jpeg")
-        gallery.write_pages(written(shown.join(crops, ["photo_id", "face_idx"], "left"), "shown"), args.export_html).agg(F.sum("rendered").alias("rendered")).show()
+        gallery.write_page(written(shown.join(crops, ["photo_id", "face_idx"], "left"), "shown"), args.export_html).agg(F.sum("rendered").alias("rendered")).show()
 
 
 def parser() -> argparse.ArgumentParser:
@@ -129,10 +132,11 @@ def parser() -> argparse.ArgumentParser:
     clu.add_argument("--pca-dims", type=int, default=0)
     clu.add_argument("--cluster-epsilon", type=float, default=0.0)
     clu.add_argument("--cut-distance", type=float, default=math.inf, help="faces farther apart never share a cluster; set it for large libraries")
+    clu.add_argument("--labelled-seeds", action="store_true", help="with --semi-supervised: no cluster holds the seeds of two identities")
     clu.add_argument("--nearest-centroid", action="store_true")
     clu.add_argument("--min-similarity", type=float, default=0.5)
     clu.add_argument("--baby-names", action="append", required=True)
-    clu.add_argument("--export-html")
+    clu.add_argument("--export-html", help="the gallery as one HTML file")
     clu.add_argument("--crops", help="Parquet of photo_id, face_idx, jpeg")
     return p
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parse
+from ..sources.document import write_document
 from .naming import NOISE, sizes
 
 
@@ -42,12 +43,12 @@ STYLE = (
 )
 
 
-def write_pages(rows: DataFrame, folder: str) -> DataFrame:
-    """Writes the gallery as an HTML document under ``folder`` and returns the shown counts; images are inside as data URLs.
+def document(rows: DataFrame) -> DataFrame:
+    """``value``: the lines of the gallery as an HTML document, in order; images are inside as data URLs.
 
     A line opens the document with its style and totals, a line heads each cluster, a line shows each face. Lines are
-    range-partitioned in gallery order and written by many tasks, so no task or driver holds the gallery; the part files in
-    name order are the document. A cluster without shown faces is left out, though its faces count in badges and totals.
+    range-partitioned in gallery order, so no task or driver holds the gallery. A cluster without shown faces is left out,
+    though its faces count in badges and totals.
     """
     shown = thumbs(rows)
     order = sizes(rows).join(shown.select("cluster_id").distinct(), "cluster_id", "left_semi")
@@ -65,5 +66,20 @@ def write_pages(rows: DataFrame, folder: str) -> DataFrame:
     opening = F.concat(F.lit(f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>Cluster gallery</title><style>{STYLE}</style></head><body><h1>Cluster gallery</h1><p class="stats">'), told, F.lit("</p>"))
     for part, value in ((0, opening), (2, F.lit("</body></html>"))):
         lines = lines.unionByName(totals.select(F.lit(part).alias("part"), value.alias("value")), allowMissingColumns=True)
-    lines.orderBy("part", "last", "size", "first", "kind", "photo_id", "face_idx").select("value").write.mode("overwrite").text(folder)
-    return shown.groupBy("cluster_id").agg(F.count("*").alias("rendered"))
+    return lines.orderBy("part", "last", "size", "first", "kind", "photo_id", "face_idx").select("value")
+
+
+def write_pages(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes the gallery under ``folder``, where the part files in name order are the document, and returns the shown counts."""
+    document(rows).write.mode("overwrite").text(folder)
+    return rendered(rows)
+
+
+def write_page(rows: DataFrame, path: str) -> DataFrame:
+    """Writes the gallery as one file at ``path`` and returns the shown counts."""
+    write_document(document(rows), path)
+    return rendered(rows)
+
+
+def rendered(rows: DataFrame) -> DataFrame:
+    return thumbs(rows).groupBy("cluster_id").agg(F.count("*").alias("rendered"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.parse import present
 
 NOISE = -1
+#: Seeded identities that are shown by name; the rest are counted.
+SEEDED_NAMES = 20
 
 
 def majority_names(rows: DataFrame) -> DataFrame:
@@ -24,7 +26,7 @@ def seed_names(seeds: DataFrame, identities: DataFrame) -> DataFrame:
     return alone.join(identities.select(F.col("id").alias("identity_id"), "name"), "identity_id").where(present(F.col("name"))).select("cluster_id", "name")
 
 
-def seeded_names(centroids: DataFrame, identities: DataFrame, n: int = 20) -> DataFrame:
+def seeded_names(centroids: DataFrame, identities: DataFrame, n: int = SEEDED_NAMES) -> DataFrame:
     """identity_id, name of the first ``n`` identities with a centroid, by id; an identity without a name shows its id."""
     names = identities.select(F.col("id").alias("identity_id"), "name")
     return centroids.select("identity_id").join(names, "identity_id", "left").orderBy("identity_id").limit(n).select("identity_id", F.coalesce("name", F.col("identity_id").cast("string")).alias("name"))

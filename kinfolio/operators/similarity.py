@@ -20,6 +20,8 @@ from ..storage import written
 BROADCAST_CENTROIDS = 10_000
 #: Faces and centroids that meet in a task beyond that.
 BLOCK = 4096
+#: Rows of each side whose pairs one task makes, where all pairs are asked for.
+PAIR_BLOCK = 1024
 
 
 def mean_vector(rows: DataFrame, key: str, vector: str = "embedding", *, unit: bool = False) -> DataFrame:
@@ -40,32 +42,58 @@ def identity_centroids(rows: DataFrame, key: str, order: list[str], max_per_iden
     return mean_vector(capped, key, unit=True)
 
 
-def pairwise(a: DataFrame, b: DataFrame, value: Column) -> DataFrame:
-    """``value`` for each row of ``a`` with each of ``b``: the operator's result is that table.
+def met_in_blocks(a: DataFrame, b: DataFrame, sigma: float | None, least: float | None) -> DataFrame:
+    """i, j, similarity of a(i, va[, ta]) and b(j, vb[, tb]): blocks of both sides meet in a task each, as matrices.
 
-    ``b`` is the small side and its rows are counted: up to BROADCAST_CENTROIDS they are sent to every task, more are dealt
-    to blocks of that size which the rows of ``a`` meet one by one.
+    A block is ``PAIR_BLOCK`` rows, so a task holds that many pairs squared; with ``least`` only pairs that reach it leave it.
+    A null vector or time gives a null similarity.
     """
-    n = b.count()
-    if n <= BROADCAST_CENTROIDS:
-        return a.crossJoin(F.broadcast(b)).withColumn("similarity", value)
-    blocks = math.ceil(n / max(1, BROADCAST_CENTROIDS))
-    met = a.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(b.withColumn("_block", F.pmod(F.xxhash64("j"), F.lit(blocks)).cast("int")), "_block")
-    return met.drop("_block").withColumn("similarity", value)
-
-
-def pairwise_cosine(a: DataFrame, b: DataFrame) -> DataFrame:
+    lots, cuts = max(1, math.ceil(a.count() / PAIR_BLOCK)), max(1, math.ceil(b.count() / PAIR_BLOCK))
+    a = a.withColumn("_lot", F.pmod(F.xxhash64("i"), F.lit(lots)).cast("int")).withColumn("_cut", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))))
+    b = b.withColumn("_cut", F.pmod(F.xxhash64("j"), F.lit(cuts)).cast("int")).withColumn("_lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+    kinds = {c: (a if c == "i" else b).schema[c].dataType.simpleString() for c in ("i", "j")}
+
+    def matrix(s: pd.Series) -> np.ndarray:
+        width = max((len(v) for v in s if v is not None), default=0)
+        return np.stack([np.full(width, np.nan) if v is None else np.asarray(v, float) for v in s])
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"i": x["i"].iloc[:0], "j": y["j"].iloc[:0], "similarity": []})
+        found = matrix(x["va"]) @ matrix(y["vb"]).T
+        if sigma is not None:
+            gap = x["ta"].to_numpy(float)[:, None] - y["tb"].to_numpy(float)[None, :]
+            found *= np.exp(-(gap * gap) / (2.0 * sigma * sigma))
+        p, q = np.indices(found.shape).reshape(2, -1) if least is None else np.nonzero(found >= least)
+        return pd.DataFrame({"i": x["i"].to_numpy()[p], "j": y["j"].to_numpy()[q], "similarity": found[p, q]})
+
+    key = ("_lot", "_cut")
+    return a.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(meet, f"i {kinds['i']}, j {kinds['j']}, similarity double")
+
+
+def pairwise(a: DataFrame, b: DataFrame, sigma: float | None, least: float | None) -> DataFrame:
+    """i, j, similarity for each row of ``a`` with each of ``b``: the operator's result is that table, or its pairs that reach
+    ``least``. ``b`` is counted: up to BROADCAST_CENTROIDS of its rows are sent to every task, more meet ``a`` in blocks."""
+    if b.count() > BROADCAST_CENTROIDS:
+        return met_in_blocks(a, b, sigma, least)
+    value = vectors.dot(F.col("va"), F.col("vb"))
+    value = value if sigma is None else vectors.fused(value, F.col("ta"), F.col("tb"), sigma)
+    met = a.crossJoin(F.broadcast(b)).select("i", "j", value.alias("similarity"))
+    return met if least is None else met.where(F.col("similarity") >= least)
+
+
+def pairwise_cosine(a: DataFrame, b: DataFrame, least: float | None = None) -> DataFrame:
     """a(i, va) and b(j, vb): i, j, similarity."""
     x = a.select("i", vectors.l2_normalize(F.col("va")).alias("va"))
     y = b.select("j", vectors.l2_normalize(F.col("vb")).alias("vb"))
-    return pairwise(x, y, vectors.dot(F.col("va"), F.col("vb"))).select("i", "j", "similarity")
+    return pairwise(x, y, None, least)
 
 
-def fused_similarity(a: DataFrame, b: DataFrame, temporal_sigma: float = 30.0) -> DataFrame:
+def fused_similarity(a: DataFrame, b: DataFrame, temporal_sigma: float = 30.0, least: float | None = None) -> DataFrame:
     """a(i, va, ta) and b(j, vb, tb), times in days: i, j, cosine fading with distance in time."""
-    x = a.select("i", vectors.l2_normalize(F.col("va")).alias("va"), "ta")
-    y = b.select("j", vectors.l2_normalize(F.col("vb")).alias("vb"), "tb")
-    return pairwise(x, y, vectors.fused(vectors.dot(F.col("va"), F.col("vb")), F.col("ta"), F.col("tb"), temporal_sigma)).select("i", "j", "similarity")
+    x = a.select("i", vectors.l2_normalize(F.col("va")).alias("va"), F.col("ta").cast("double").alias("ta"))
+    y = b.select("j", vectors.l2_normalize(F.col("vb")).alias("vb"), F.col("tb").cast("double").alias("tb"))
+    return pairwise(x, y, temporal_sigma, least)
 
 
 def with_days(faces: DataFrame, photos: DataFrame) -> DataFrame:

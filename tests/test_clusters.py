@@ -353,3 +353,52 @@ def naive_tree(x):
             up[b] = a
             edges.append((m[i, j], i, j))
     return core, edges
+
+
+def test_document_is_one_file(spark, tmp_path):
+    from kinfolio.sources.document import write_document
+
+    lines = spark.range(3000).select(F.concat(F.lit("é"), F.col("id").cast("string")).alias("value")).union(spark.range(1).select(F.lit(None).cast("string")))
+    target = tmp_path / "one.html"
+    target.write_text("old")
+    write_document(lines.repartitionByRange(7, F.col("value").asc_nulls_last()).sortWithinPartitions(F.col("value").asc_nulls_last()), str(target))
+    assert target.read_text() == "".join(f"{v}\n" for v in [*sorted(f"é{k}" for k in range(3000)), ""])
+    bad = spark.range(100).select(F.when(F.col("id") < 99, "x").otherwise(F.raise_error(F.lit("no"))).alias("value")).repartition(3)
+    with pytest.raises(Exception, match="no"):
+        write_document(bad, str(target))
+    assert target.read_text().startswith("é") and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["one.html"]
+
+
+def test_pages_and_page_are_equal(spark, tmp_path):
+    rows = spark.createDataFrame([(k, 0, k % 3 - 1, None, None, 1.0) for k in range(40)], ROWS + ", predicted_name string, confidence double")
+    photo = spark.sql("SELECT id, CAST(NULL AS TIMESTAMP_NTZ) AS digikam_date, DATE'2010-01-02' AS folder_date FROM range(40)")
+    shown = gallery.captions(rows, photo).withColumn("jpeg", F.lit(b"x"))
+    counts = [{r.cluster_id: r.rendered for r in f(shown, str(tmp_path / p)).collect()} for f, p in ((gallery.write_pages, "g"), (gallery.write_page, "g.html"))]
+    assert counts[0] == counts[1]
+    assert (tmp_path / "g.html").read_bytes() == b"".join(p.read_bytes() for p in sorted((tmp_path / "g").glob("part-*")))
+
+
+@pytest.mark.parametrize("sigma", [None, 30.0])
+def test_pairs_in_blocks_equal_pairs_by_row(spark, monkeypatch, sigma):
+    rng = np.random.default_rng(3)
+    side = lambda n, i, v, t: spark.createDataFrame([(k, [float(x) for x in rng.normal(size=5)] if k != 4 else None, float(k)) for k in range(n)], f"{i} long, {v} array<float>, {t} double")
+    a, b = side(23, "i", "va", "ta"), side(17, "j", "vb", "tb")
+    run = lambda least: {(r.i, r.j): r.similarity for r in (similarity.pairwise_cosine(a, b, least) if sigma is None else similarity.fused_similarity(a, b, sigma, least)).collect()}
+    want, far = run(None), run(0.2)
+    monkeypatch.setattr(similarity, "BROADCAST_CENTROIDS", 7)
+    monkeypatch.setattr(similarity, "PAIR_BLOCK", 7)
+    got = run(None)
+    assert len(want) == 23 * 17 and got.keys() == want.keys() and all(got[k] is None if want[k] is None else abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert run(0.2).keys() == far.keys() and 0 < len(far) < len(want)
+
+
+def test_blobs_are_floats(spark):
+    import struct
+
+    from kinfolio.functions import vectors
+
+    blobs = [struct.pack("<3f", 1, -2.5, 3), None, b"", b"abc", struct.pack("<2f", 7, 8) + b"xy", struct.pack("<f", 9)]
+    rows = spark.createDataFrame([(k, None if b is None else bytearray(b)) for k, b in enumerate(blobs * 50)], "k int, b binary").repartition(3)
+    got = {r.k: r.v for r in rows.select("k", vectors.from_blob("b").alias("v")).collect()}
+    want = [[1.0, -2.5, 3.0], None, [], [], [7.0, 8.0], [9.0]] * 50
+    assert [got[k] for k in range(300)] == want
