@@ -91,19 +91,25 @@ def neighbour_medians(rows: DataFrame) -> DataFrame:
     unknown = counted.where("model = ''").join(models.where("for_model <> ''"), counted.album_path.eqNullSafe(models.album_path)).select(counted.album_path, "for_model", "exif_date", "n")
     every = counted.select("album_path", F.lit("").alias("for_model"), "exif_date", "n")
     merged = own.unionByName(unknown).unionByName(every).groupBy("album_path", "for_model", "exif_date").agg(F.sum("n").alias("n"))
-    merged = written(merged, "dates")
+    merged = written(merged.withColumn("day", F.to_date("exif_date")), "dates")
     group = ["album_path", "for_model"]
-    at = merged.groupBy(*group).agg(F.floor(F.sum("n") / 2).alias("before"))
-    rows = merged
-    for unit in (F.trunc("exif_date", "month"), F.to_date("exif_date"), F.col("exif_date")):
-        rows = rows.withColumn("unit", unit)
-        held = same_group(rows.groupBy(*group, "unit").agg(F.sum("n").alias("n")), at.select(*group, "before"), group)
-        # the unit in which more than ``before`` dates have been seen first
-        held = held.withColumn("upto", F.sum("n").over(Window.partitionBy(*group).orderBy("unit").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        held = held.where((F.col("upto") > F.col("before")) & (F.col("upto") - F.col("n") <= F.col("before")))
-        at = written(held.select(*group, "unit", (F.col("before") - F.col("upto") + F.col("n")).alias("before")), "middle")
-        rows = same_group(rows, at.drop("before"), [*group, "unit"]).drop("unit")
-    return at.select("album_path", F.col("for_model").alias("model"), F.col("unit").cast("timestamp_ntz").alias("median"))
+    days = merged.groupBy(*group, F.trunc("day", "month").alias("month"), "day").agg(F.sum("n").alias("n"))
+    months = days.groupBy(*group, "month").agg(F.sum("n").alias("n"))
+    # a row for each month of a group
+    at = months.withColumn("before", F.floor(F.sum("n").over(Window.partitionBy(*group)) / 2))
+    at = middle(at, group, "month")
+    at = middle(same_group(days, at, [*group, "month"]), group, "day")
+    # the day of each group: its times alone are ordered
+    at = middle(same_group(merged, written(at, "middle"), [*group, "day"]), group, "exif_date")
+    return at.select("album_path", F.col("for_model").alias("model"), F.col("exif_date").cast("timestamp_ntz").alias("median"))
+
+
+def middle(rows: DataFrame, group: list[str], unit: str) -> DataFrame:
+    """``group``, ``unit``, before: the unit in which more than ``before`` dates have been seen first, of ``rows`` with counts
+    ``n``, and how many of its dates come before the middle."""
+    held = rows.withColumn("upto", F.sum("n").over(Window.partitionBy(*group).orderBy(unit).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    held = held.where((F.col("upto") > F.col("before")) & (F.col("upto") - F.col("n") <= F.col("before")))
+    return held.select(*group, unit, (F.col("before") - F.col("upto") + F.col("n")).alias("before"))
 
 
 def corrected(rows: DataFrame) -> DataFrame:
@@ -120,7 +126,7 @@ def corrected(rows: DataFrame) -> DataFrame:
 
 def annotated(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Flags for all photos, then corrected dates for all."""
-    return corrected(flagged(rows, limits))
+    return corrected(written(flagged(rows, limits), "flagged"))
 
 
 def report(rows: DataFrame, *, show_clean: bool = False, limit: int = 100) -> DataFrame:

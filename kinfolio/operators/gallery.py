@@ -29,9 +29,10 @@ def captions(rows: DataFrame, photos: DataFrame) -> DataFrame:
 
 def thumbs(rows: DataFrame) -> DataFrame:
     """Adds ``thumb``, the HTML of a face with a ``jpeg`` (binary); faces without one are not shown."""
-    url = F.concat(F.lit("data:image/jpeg;base64,"), F.base64("jpeg"))
-    name = F.when(F.col("caption") != "", F.concat(F.lit("<div class=label>"), F.col("caption"), F.lit("</div>"))).otherwise(F.lit(""))
-    return rows.where(F.col("jpeg").isNotNull()).withColumn("thumb", F.concat(F.lit('<div class="thumb" title="'), F.col("tooltip"), F.lit('"><img src="'), url, F.lit('" loading="lazy">'), name, F.lit("</div>")))
+    name = F.when(F.col("caption") != "", F.format_string("<figcaption>%s</figcaption>", "caption")).otherwise(F.lit(""))
+    # one line each, as the document is written by lines
+    figure = F.format_string('<figure title="%s"><img loading="lazy" alt="face" src="data:image/jpeg;base64,%s">%s</figure>', "tooltip", F.regexp_replace(F.base64("jpeg"), "[\\r\\n]", ""), name)
+    return rows.where(F.col("jpeg").isNotNull()).withColumn("thumb", figure)
 
 
 # fixed values: the classes that labels, badges and faces are shown with
@@ -39,7 +40,7 @@ STYLE = (
     "body{margin:0;padding:1rem 1.5rem;background:#111;color:#eee;font-family:sans-serif}.cluster{margin:.8rem 0;border:1px solid #333}"
     ".cluster summary{padding:.6rem 1rem;cursor:pointer}.badge{margin-left:.8rem;padding:.1rem .6rem;border-radius:1rem;font-size:.8rem}"
     ".badge-named{background:#246}.badge-unknown{background:#443}.badge-noise{background:#422}.grid{display:flex;flex-wrap:wrap;gap:6px;padding:10px}"
-    ".thumb{position:relative}.thumb img{width:140px;height:140px;object-fit:cover;display:block}.thumb .label{position:absolute;bottom:0;width:100%;font-size:.7rem;background:#000a}"
+    "figure{margin:0;position:relative}figure img{width:140px;height:140px;object-fit:cover;display:block}figcaption{position:absolute;bottom:0;width:100%;font-size:.7rem;background:#000a}"
 )
 
 

@@ -583,6 +583,20 @@ def gallery_pages(spark: SparkSession, sf: str) -> DataFrame:
     return gallery.write_pages(written(rows, "gallery"), new_path(spark, "gallery"))
 
 
+@query(
+    f"""WITH {ASSIGNED}, p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate END AS day, md5(CAST(o_orderkey AS VARCHAR)) AS jpeg FROM orders)
+SELECT photo_id, face_idx, '<figure title="' || concat_ws(' | ', CASE WHEN coalesce(person_name, '') <> '' THEN person_name END, 'conf ' || CAST(round_even(confidence * 100, 0) AS BIGINT) || '%', strftime(day, '%Y-%m-%d')) || '"><img loading="lazy" alt="face" src="data:image/jpeg;base64,' ||
+  base64(encode(jpeg)) || '">' || CASE WHEN coalesce(person_name, '') <> '' THEN '<figcaption>' || person_name || '</figcaption>' ELSE '' END || '</figure>' AS thumb
+FROM r JOIN p ON o_orderkey = photo_id"""
+)
+def gallery_thumbs(spark: SparkSession, sf: str) -> DataFrame:
+    """Each face as the gallery shows it, with its image as a data URL."""
+    (orders,) = tables(spark, sf, "orders")
+    photo = orders.select(F.col("o_orderkey").alias("id"), F.lit(None).cast("timestamp_ntz").alias("digikam_date"), F.when(F.col("o_orderkey") % 4 != 0, F.to_date("o_orderdate")).alias("folder_date"))
+    shown = gallery.captions(assigned(spark, sf), photo).join(orders.select(F.col("o_orderkey").alias("photo_id"), F.md5(F.col("o_orderkey").cast("string")).cast("binary").alias("jpeg")), "photo_id")
+    return gallery.thumbs(shown).select("photo_id", "face_idx", "thumb")
+
+
 # identities with their vectors, gaps filled from files, tags and days
 
 #: Little-endian floats 1, 2 and -3, by customer.
