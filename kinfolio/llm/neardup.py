@@ -26,6 +26,12 @@ CACHE = 1 << 20
 BROADCAST_IDS = 500_000
 #: Elements of a block of hash values.
 BLOCK = 1 << 22
+#: Classes of a lot, and the bytes of its bitmaps.
+LOT, LOT_BYTES = 1024, 1 << 25
+#: Columns of the matrices that are multiplied at a time; their sums are exact in 32-bit floats.
+COLUMNS = 8192
+#: Meetings in rare shingles for each class of a group, up to which they are joined pair by pair.
+MEETINGS = 16
 
 MIX1, MIX2, MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -301,8 +307,10 @@ def across(left: DataFrame, standings: DataFrame, comp: DataFrame, reps: DataFra
     The giant's member in the middle is the group's pivot P; all are compared with it. For X and Y without a link to P,
     |X & Y| <= min(|X & P|, |Y & P|) + |(X - P) & (Y - P)|. So Y either shares shingles with X that P lacks, which are few
     and rare, or X and Y lie within P almost wholly and are smaller than P. The first kind is found by a join on the rarest
-    of those shingles, as many of each as no pair can do without (prefix and positional filter); the second by sizes.
-    Sketches and whole sets decide. The bound holds for any pivot, so no link is lost.
+    of those shingles, as many of each as no pair can do without (prefix and positional filter); sketches and whole sets
+    decide. The second kind is compared in lots of bounded size, whole sets at once, as bitmaps over the shingles of P
+    (:func:`links_in_lots`), and so is a whole group whose shingles aren't rare, as where many texts are cut from one: there
+    the join would make nearly all pairs. The bound holds for any pivot, so no link is lost.
     """
     percent = round(100 * similarity)
     whole = 100 + percent
@@ -328,10 +336,11 @@ def across(left: DataFrame, standings: DataFrame, comp: DataFrame, reps: DataFra
                 rest = np.setdiff1d(x, last[1], assume_unique=True)
                 base = len(x) - len(rest)
                 linked = base > 0 and 100 * base >= percent * (len(x) + len(last[1]) - base)
-                out.append((xxhash.xxh3_64_intdigest(x.tobytes(), 1) >> 1, len(x), base, linked, rest.view(np.int64)))
-            yield pd.concat([pdf[["g", "rep", "comp", "pivot"]].reset_index(drop=True), pd.DataFrame(out, columns=["which", "size", "base", "linked", "rest"])], axis=1)
+                have = np.packbits(np.isin(last[1], x, assume_unique=True)).tobytes()
+                out.append((xxhash.xxh3_64_intdigest(x.tobytes(), 1) >> 1, len(x), base, linked, rest.view(np.int64), have))
+            yield pd.concat([pdf[["g", "rep", "comp", "pivot"]].reset_index(drop=True), pd.DataFrame(out, columns=["which", "size", "base", "linked", "rest", "have"])], axis=1)
 
-    schema = "g long, rep long, comp long, pivot long, which long, size long, base long, linked boolean, rest array<long>"
+    schema = "g long, rep long, comp long, pivot long, which long, size long, base long, linked boolean, rest array<long>, have binary"
     items = written(rows.select("g", "rep", "comp", "pivot", "text", "middle").mapInPandas(run, schema), "differences")
     comp = merged(comp, items.where("linked AND comp <> g").select(*ordered("rep", "pivot")).distinct())
     named = comp.select(F.col("node").alias("_node"), F.col("component").alias("_c"))
@@ -348,35 +357,115 @@ def across(left: DataFrame, standings: DataFrame, comp: DataFrame, reps: DataFra
     # what a link needs: the other set has at least t times this one's size, and the group's least size
     needs = percent * (F.col("size") + F.greatest(F.col("least").cast("double"), F.col("size") * percent / 100)) / whole
     able = able.withColumn("more", F.ceil(needs - 1e-6) - F.col("base")).where(F.size("held") >= F.col("more"))
-    able = written(able.select(*id_, "comp", "outside", "size", "base", "more", "held"), "able")
+    able = written(able.select(*id_, "comp", "outside", "size", "base", "more", "held", "have"), "able")
 
-    def pairs(x: DataFrame, y: DataFrame, on: list[str], common: Column) -> DataFrame:
-        """Pairs of different components, the first outside, whose sizes fit with ``common`` shingles at most; a pair of two
-        outside comes once."""
+    def pairs(x: DataFrame, y: DataFrame, common: Column) -> DataFrame:
+        """Pairs of different components, the first outside, that meet in a shingle and whose sizes fit with ``common``
+        shingles at most; a pair of two outside comes once."""
         x, y = x.alias("x"), y.alias("y")
-        same = F.lit(True)
-        for c in on:
-            same &= F.col(f"x.{c}") == F.col(f"y.{c}")
+        same = (F.col("x.g") == F.col("y.g")) & (F.col("x.shingle") == F.col("y.shingle"))
         fit = (100 * F.col("x.size") >= percent * F.col("y.size")) & (100 * F.col("y.size") >= percent * F.col("x.size")) & (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.outside") | (F.col("x.rep") < F.col("y.rep")))
         met = x.join(y, same & fit & (whole * common >= percent * (F.col("x.size") + F.col("y.size"))))
         return met.select("x.g", F.col("x.rep").alias("xr"), F.col("x.which").alias("xw"), F.col("y.rep").alias("yr"), F.col("y.which").alias("yw")).distinct()
 
     # where a pair meets first in the order of rarity, only what comes behind in both can be common too
     prefix = able.select("*", F.posexplode(F.slice("held", F.lit(1), F.least(F.size("held"), F.size("held") - F.col("more") + 1).cast("int"))).alias("at", "shingle"))
-    prefix = prefix.withColumn("upto", F.size("held") - F.col("at")).drop("held", "at")
-    met = pairs(prefix.where("outside"), prefix, ["g", "shingle"], F.least("x.base", "y.base") + F.least("x.upto", "y.upto"))
+    prefix = prefix.withColumn("upto", F.size("held") - F.col("at")).drop("held", "at", "have")
+    meetings = prefix.groupBy("g", "shingle").agg((F.count("*") * F.count_if("outside").cast("double")).alias("n")).groupBy("g").agg(F.sum("n").alias("n"))
+    many = meetings.join(able.groupBy("g").agg(F.count("*").alias("classes")), "g").where(F.col("n") > MEETINGS * F.col("classes")).select("g", F.lit(True).alias("many"))
+    many = small(written(many, "many"))
+    prefix = prefix.join(many, "g", "left_anti")
+    met = pairs(prefix.where("outside"), prefix, F.least("x.base", "y.base") + F.least("x.upto", "y.upto"))
     x = able.select("g", F.col("rep").alias("xr"), F.col("which").alias("xw"), F.col("size").alias("xs"), F.col("base").alias("xb"), F.col("held").alias("xh"))
     y = able.select("g", F.col("rep").alias("yr"), F.col("which").alias("yw"), F.col("size").alias("ys"), F.col("base").alias("yb"), F.col("held").alias("yh"))
     met = met.join(x, ["g", "xr", "xw"]).join(y, ["g", "yr", "yw"])
     met = met.where(whole * (F.least("xb", "yb") + F.size(F.array_intersect("xh", "yh"))) >= percent * (F.col("xs") + F.col("ys"))).select("xr", "yr")
-    # within the pivot almost wholly: neighbouring sizes meet
-    steps = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent)).cast("int")
-    within = able.where("more <= 0").select(*id_, "comp", "outside", "size", "base", steps.alias("step"))
-    around = within.where("outside").withColumn("step", F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)))
-    alone = pairs(around, within, ["g", "step"], F.least("x.base", "y.base")).select("xr", "yr")
-    found = met.unionByName(alone).select(*ordered("xr", "yr")).distinct().join(tested, ["a", "b"], "left_anti")
+    found = met.select(*ordered("xr", "yr")).distinct().join(tested, ["a", "b"], "left_anti")
     found = written(sketched(found, reps, similarity).select("a", "b").distinct(), "across")
-    return comp if found.isEmpty() else merged(comp, confirmed(found, texts, width, similarity))
+    if not found.isEmpty():
+        comp = merged(comp, confirmed(found, texts, width, similarity))
+    rows = able.join(many, "g", "left").where("many OR more <= 0").select(*id_, "comp", "outside", "size", F.col("held").alias("rest"), "have")
+    links = links_in_lots(with_component(rows.drop("comp"), comp), percent)
+    return comp if links.isEmpty() else merged(comp, links)
+
+
+def overlaps(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
+    """Shingles that each row of ``x`` and each of ``y`` have in common, as products of their incidence matrices: over the
+    pivot's shingles (``have``) and over those others (``rest``) that both sides hold."""
+    common = np.zeros((len(x), len(y)))
+    hx, hy = (np.frombuffer(b"".join(d["have"]), np.uint8).reshape(len(d), -1) for d in (x, y))
+    for at in range(0, hx.shape[1], COLUMNS // 8):
+        u, v = (np.unpackbits(h[:, at : at + COLUMNS // 8], axis=1).astype(np.float32) for h in (hx, hy))
+        common += u @ v.T
+    sides = [(np.concatenate([np.asarray(r, np.int64) for r in d["rest"]]), np.repeat(np.arange(len(d)), d["rest"].map(len)), len(d)) for d in (x, y)]
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    for at in range(0, len(both), COLUMNS):
+        part = both[at : at + COLUMNS]
+        u, v = (np.zeros((n, len(part)), np.float32) for *_, n in sides)
+        for m, (shingle, row, _) in zip((u, v), sides, strict=True):
+            k = np.minimum(np.searchsorted(part, shingle), len(part) - 1)
+            hit = part[k] == shingle
+            m[row[hit], k[hit]] = 1
+        common += u @ v.T
+    return common
+
+
+def spanning(a: np.ndarray, b: np.ndarray, comp_a: np.ndarray, comp_b: np.ndarray) -> list[int]:
+    """Places of links (a, b) that join their components as all the links do: one at most for each component joined."""
+    _, first = np.unique(np.stack([comp_a, comp_b]), axis=1, return_index=True)
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while up.get(c, c) != c:
+            up[c] = c = up.get(up[c], up[c])
+        return c
+
+    kept = []
+    for k in first.tolist():
+        p, q = root(int(comp_a[k])), root(int(comp_b[k]))
+        if p != q:
+            up[q] = p
+            kept.append(k)
+    return kept
+
+
+def links_in_lots(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join what all links between different components of a group join, of ``rows(g, rep, which, comp,
+    outside, size, rest, have)``, at least one side of each outside.
+
+    A group's rows of a size step are dealt into lots of at most LOT rows or LOT_BYTES on average; lots of neighbouring steps
+    meet, one task each, which counts common shingles by products of matrices. A row travels once for each lot that it
+    meets; pairs don't travel, but for at most one link for each row of the lots. Comparisons still grow with the square of
+    the group's rows of neighbouring sizes, but as sums of products, some 10^10 a second and core.
+    """
+    step = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent)).cast("int")
+    rows = written(rows.withColumns({"step": step, "deal": F.xxhash64("rep", "which")}), "within")
+    per = F.greatest(F.lit(16.0), F.least(F.lit(float(LOT)), F.lit(float(LOT_BYTES)) / F.greatest(F.lit(1), F.max(F.length("have")))))
+    lots = written(rows.groupBy("g", "step").agg(F.ceil(F.count("*") / per).alias("lots"), F.ceil(F.count_if("outside") / per).alias("out")), "lots")
+    x, y = lots.where("out > 0").select("g", F.col("step").alias("xs"), F.col("out").alias("xn")), lots.select("g", F.col("step").alias("ys"), F.col("lots").alias("yn"))
+    meets = written(x.join(y, "g").where(F.abs(F.col("xs") - F.col("ys")) <= 1), "meets")
+    key = ["g", "xs", "ys", "xk", "yk"]
+
+    def dealt(rows: DataFrame, mine: str, other: str) -> DataFrame:
+        rows = rows.withColumnRenamed("step", f"{mine}s").join(small(meets), ["g", f"{mine}s"])
+        own, each = F.pmod("deal", f"{mine}n").alias(f"{mine}k"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}n") - 1)).alias(f"{other}k")
+        rows = rows.select("g", "xs", "ys", own, each, "rep", "comp", "outside", "size", "rest", "have")
+        return rows.toDF(*rows.columns)  # columns of its own, as both sides come from one table
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        a = b = np.zeros(0, np.int64)
+        if len(x) and len(y):
+            x, y = x.sort_values("rep", ignore_index=True), y.sort_values("rep", ignore_index=True)
+            common, xs, ys = overlaps(x, y), x["size"].to_numpy()[:, None], y["size"].to_numpy()[None, :]
+            near = (common > 0) & (100 * common >= percent * (xs + ys - common))
+            i, j = np.nonzero(near & (x["comp"].to_numpy()[:, None] != y["comp"].to_numpy()[None, :]))
+            a, b = x["rep"].to_numpy()[i], y["rep"].to_numpy()[j]
+            k = spanning(a, b, x["comp"].to_numpy()[i], y["comp"].to_numpy()[j])
+            a, b = a[k], b[k]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    sides = [dealt(r, *names).groupBy(*key) for r, names in ((rows.where("outside"), "xy"), (rows, "yx"))]
+    return written(sides[0].cogroup(sides[1]).applyInPandas(run, "a long, b long").distinct(), "linked_in_lots")
 
 
 def merged(comp: DataFrame, links: DataFrame) -> DataFrame:

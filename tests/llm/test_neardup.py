@@ -123,3 +123,62 @@ def test_texts_of_one_id_and_equal_length_keep_their_near_copies(spark):
         rows += [(10 * k, " ".join(a), ""), (10 * k, " ".join(b), ""), (10 * k + 1, " ".join([*a[:59], "end"]), ""), (10 * k + 2, " ".join([*b[:59], "end"]), "")]
     got = {r.doc_id: r.component_id for r in neardup.link(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {i: i // 10 * 10 for i, *_ in rows}
+
+
+def cut(n, seed):
+    """One text of 400 words, and others that lack four stretches of 19 words each: just not near it. Some come in near pairs."""
+    rng = random.Random(seed)
+    words = [f"v{k}" for k in range(400)]
+    rows = [(0, " ".join(words))]
+    for k in range(1, n):
+        starts = sorted(rng.sample(range(400 - 4 * 19), 4))
+        gone = {a + 19 * i + j for i, a in enumerate(starts) for j in range(19)}
+        left = [w for j, w in enumerate(words) if j not in gone]
+        rows.append((k, " ".join(left)))
+        if k % 10 == 0:
+            rows.append((10_000 + k, " ".join([*left[:-2], f"x{k}", "y"])))
+    return rows
+
+
+def test_texts_cut_from_one_make_few_pairs(spark, monkeypatch):
+    counts = []
+    sketched, lots = neardup.sketched, neardup.links_in_lots
+    monkeypatch.setattr(neardup, "sketched", lambda pairs, *a: (counts.append(pairs.count()), sketched(pairs, *a))[1])
+    monkeypatch.setattr(neardup, "links_in_lots", lambda *a: (links := lots(*a), counts.append(links.count()))[0])
+    for n in (100, 200):
+        counts.clear()
+        rows = cut(n, 3)
+        df = spark.createDataFrame([(i, t, "c") for i, t in rows], DOCS)
+        got = sorted(str((r.doc_id, r.n_shingles, r.component_id, r.kept)) for r in neardup.link(df).collect())
+        assert got == brute(rows, 3, 85)
+        # hubs: one of the first bands and three of each band a class; behind them, where all pairs could meet, few a class
+        assert counts[0] <= neardup.FIRST_BANDS * len(rows) and counts[1] <= 3 * neardup.bands_for(0.85) * len(rows)
+        assert len(counts) == 4 and sum(counts[2:]) <= len(rows)
+
+
+def test_links_in_lots(spark, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(neardup, "LOT", 16)
+    monkeypatch.setattr(neardup, "COLUMNS", 64)
+    pivot, rows, sets = list(range(300)), [], {}
+    for k in range(120):
+        have = sorted(rng.sample(pivot, rng.choice([200, 230, 260]))) if k % 3 else sorted(set(sets[k - 1][0]) - set(rng.sample(pivot, 20)) if k else pivot[:250])
+        rest = sorted(rng.sample(range(1000, 1400), 12)) if k % 2 else [2000 + k % 5, 2010]
+        sets[k] = (have, rest)
+        bits = np.zeros(300, bool)
+        bits[have] = True
+        rows.append((k // 60, k, 0, k // 4 * 4, k % 4 != 0, len(have) + len(rest), rest, bytearray(np.packbits(bits).tobytes())))
+    df = spark.createDataFrame(rows, "g long, rep long, which long, comp long, outside boolean, size long, rest array<long>, have binary")
+
+    def joined(links):
+        up = {k: k // 4 * 4 for k in range(120)}
+        for a, b in links:
+            p, q = up[a], up[b]
+            up = {k: min(p, q) if v in (p, q) else v for k, v in up.items()}
+        return up
+
+    whole = {k: {("p", v) for v in h} | set(r) for k, (h, r) in sets.items()}
+    near = {(a, b) for a in range(120) for b in range(a + 1, 120) if a // 60 == b // 60 and a // 4 != b // 4 and (a % 4 or b % 4) and 100 * len(whole[a] & whole[b]) >= 80 * len(whole[a] | whole[b])}
+    got = {(r.a, r.b) for r in neardup.links_in_lots(df, 80).collect()}
+    assert got <= near and near and joined(got) == joined(near)
+    assert neardup.links_in_lots(df.limit(0), 80).count() == 0
