@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_ids, map_with_ids, written
 
+#: Short names of passwords. They count as a whole part of a name alone, as in ``pw``, ``DB_PASS`` or ``admin-pw``.
+SHORT_WORDS = ("pw", "psw", "pass", "cred", "creds")
 #: Words beside a candidate that name a secret, or a harmless value.
 SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "auth", "bearer", "credential", "private")
 BENIGN_WORDS = ("sha", "sha1", "sha256", "md5", "checksum", "commit", "digest", "uuid", "id", "hash", "etag", "revision", "example", "placeholder", "page", "integrity")
@@ -25,6 +27,7 @@ ENDINGS = ("token", "secret", "password", "passwd", "pwd", "apikey", "_key", "-k
 FEATURES = (
     "length", "entropy", "transitions", "digit_share", "upper_share", "lower_share", "vowel_share", "bigram", "dictionary",
     "hex_only", "quoted", "assigned", "secret_word", "benign_word", "prefix", "path_word", "path_test",
+    "login", "encoded", "pieces", "template",
 )
 #: Characters read on either side.
 AROUND = 48
@@ -34,15 +37,32 @@ RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0
 ISSUED = re.compile(r"(?<![A-Za-z0-9+/_.-])(?:" + "|".join(map(re.escape, PREFIXES)) + r")(?:[A-Za-z0-9+/_-]|\.(?=[A-Za-z0-9+/_-])){8,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 #: A name and what assigns to it; whether the name holds a secret word is looked up.
 LEAD = re.compile(r"(?<![\w-])([\w-]++)[\"'\]]{0,2}[\x20\t]*+(?:=>|:=|={1,3}|:)[\x20\t]*+(?:(?i:bearer|basic|token)[\x20\t]++)?")
-NAMES = re.compile("|".join(SECRET_WORDS), re.I)
+NAMES = re.compile("|".join(SECRET_WORDS) + r"|(?<![^\W_])(?:" + "|".join(SHORT_WORDS) + r")(?![^\W_])", re.I)
+#: The user of a URL with a password, and the password up to the host.
+LOGIN = re.compile(r"://[^\s/:@?#\"'`<>]*+:")
+PASSWORD = re.compile(r"[^\s/@\"'`]{4,}+(?=@)")
+#: What stands for a value that is filled in later: <name>, ${name}, {{name}}, %(name)s, %NAME%, $NAME, or one character repeated.
+TEMPLATE = re.compile(r"<[^<>]*>|\$?\{.*\}|%\(\w+\)s|%\w+%|\$[A-Z_]+|(.)\1*", re.S)
+#: Openings of encoded pictures and fonts, and of subresource digests.
+ENCODED = re.compile(r"iVBORw0KGgo|/9j/|R0lGOD|UklGR|d09GR|PHN2Zy|sha(?:1|256|384|512)-")
+#: Parts of an identifier: capitals, or lower-case letters behind at most one capital.
+PIECE = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}(?![a-z])")
+#: Letters that can be said: a vowel, and no more than four consonants in a row.
+VOWEL, CONSONANTS = re.compile(r"[aeiouy]", re.I), re.compile(r"[^aeiouy]{5}", re.I)
 #: Assigned values: in quotes, or up to a blank or quote without the punctuation behind.
 IN_QUOTES = {q: re.compile(rf"(?:[^{q}\\\r\n]|\\.){{8,}}+(?={q})") for q in "\"'`"}
 BARE = re.compile(r"[^\s\"'`]{7,}[^\s\"'`.,;:!?)\]}>]")
 
 
 class Candidates:
-    """What can be a secret: runs of 16 key characters or more, issued tokens, and values of 8 characters or more that are
-    assigned to a name with a secret word. None has a largest length."""
+    """What can be a secret: runs of 16 key characters or more, issued tokens, values of 8 characters or more that are
+    assigned to a name with a secret word, and passwords of 4 characters or more in URLs. None has a largest length."""
+
+    @staticmethod
+    def logins(text: str) -> Iterator[re.Match[str]]:
+        for m in LOGIN.finditer(text):
+            if value := PASSWORD.match(text, m.end()):
+                yield value
 
     @staticmethod
     def assigned(text: str) -> Iterator[re.Match[str]]:
@@ -60,7 +80,7 @@ class Candidates:
 
     def finditer(self, text: str) -> list[re.Match[str]]:
         """Matches in order, each span once. A value and a run inside it are both candidates."""
-        found = {m.span(): m for ways in (RUN.finditer(text), ISSUED.finditer(text), self.assigned(text)) for m in ways}
+        found = {m.span(): m for ways in (RUN.finditer(text), ISSUED.finditer(text), self.assigned(text), self.logins(text)) for m in ways}
         return [found[span] for span in sorted(found)]
 
 
@@ -88,7 +108,10 @@ class Language:
     floor: float
 
     def __post_init__(self) -> None:
-        self.longest = max(map(len, self.words), default=0)
+        lengths: dict[str, set[int]] = {}
+        for w in self.words:
+            lengths.setdefault(w[:3], set()).add(len(w))
+        self.lengths = {head: sorted(of, reverse=True) for head, of in lengths.items()}
 
     def likelihood(self, s: str) -> float:
         s = s.lower()
@@ -98,8 +121,8 @@ class Language:
         """Share of the letters in words of the dictionary, longest first from the left."""
         low, at, hit = s.lower(), 0, 0
         while at < len(low):
-            for n in range(min(self.longest, len(low) - at), 2, -1):
-                if low[at : at + n] in self.words:
+            for n in self.lengths.get(low[at : at + 3], ()):
+                if at + n <= len(low) and low[at : at + n] in self.words:
                     hit, at = hit + n, at + n
                     break
             else:
@@ -125,6 +148,12 @@ def language(docs: DataFrame, *, share: float = 1e-5) -> Language:
     return Language({p: math.log(n / total) for p, n in pairs.items()}, frozenset(words), math.log(0.1 / total))
 
 
+def pieces(s: str) -> float:
+    """Share of the characters in parts of a name that can be said, whatever the language."""
+    found = (m.group() for m in PIECE.finditer(s))
+    return sum(len(w) for w in found if len(w) > 2 and VOWEL.search(w) and not CONSONANTS.search(w)) / max(1, len(s))
+
+
 def features(s: str, before: str, after: str, path: str, lang: Language) -> list[float]:
     n, counts, kinds = len(s), Counter(s), [kind(c) for c in s]
     near = re.findall(r"[a-z0-9_]+", (before[-AROUND:] + " " + after[:AROUND]).lower())
@@ -135,8 +164,9 @@ def features(s: str, before: str, after: str, path: str, lang: Language) -> list
         min(n, 256), -sum(k / n * math.log2(k / n) for k in counts.values()), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1),
         kinds.count(0) / n, kinds.count(1) / n, kinds.count(2) / n, vowels / n, lang.likelihood(s), lang.coverage(s),
         float(re.fullmatch(r"[0-9a-fA-F]+", s) is not None), float(before[-1:] in "\"'" and before[-1:] != ""), float(re.search(r"[:=]\s*[\"']?$", before[-6:]) is not None),
-        float(any(w in SECRET_WORDS or w.endswith(ENDINGS) for w in lead)), float(any(w in BENIGN_WORDS for w in lead)), float(s.startswith(PREFIXES)),
+        float(any(w in SECRET_WORDS or w.endswith(ENDINGS) or w.rpartition("_")[2] in SHORT_WORDS for w in lead)), float(any(w in BENIGN_WORDS for w in lead)), float(s.startswith(PREFIXES)),
         float(any(w in ("env", "config", "secret", "secrets", "credentials", "settings") for w in where)), float(any(w in ("test", "tests", "example", "examples", "docs", "fixture", "fixtures") for w in where) or any(w in ("example", "dummy", "fake") for w in near)),
+        float(after.startswith("@") and re.search(r"://[^\s/:@]*:$", before[-AROUND:]) is not None), float(ENCODED.match(s) is not None or before.endswith("base64,")), pieces(s), float(TEMPLATE.fullmatch(s) is not None),
     ]
 
 
@@ -222,7 +252,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 def labelled(seed: int = 1, n: int = 3000) -> pd.DataFrame:
     """Labelled findings (value, before, after, path, label), generated: issued-looking keys in the places people leave
     them, and what scanners wrongly report: digests, identifiers, paths, long words, placeholders. Behind the ``n`` of these
-    stand half as many short, long and dotted ones."""
+    stand half as many short, long and dotted ones, and half as many in URLs, under short names, encoded or as identifiers."""
     rng = np.random.default_rng(seed)
     alpha = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     some = lambda letters, k: "".join(letters[i] for i in rng.integers(0, len(letters), k))
@@ -269,6 +299,32 @@ def labelled(seed: int = 1, n: int = 3000) -> pd.DataFrame:
                 (pick("x=-_a0") * int(rng.integers(16, 3000)), ""), ("/".join(word(2) for _ in range(int(rng.integers(4, 60)))), ""), (".".join(word(2) for _ in range(3)), ""), ("-".join(word(2) for _ in range(4)), ""),
             )[int(rng.integers(0, 8))]
             rows.append((value, (before if len(value) < 60 else f"{pick(parts)} ") + q, q + " " + pick(parts), pick(("tests/data.py", "docs/readme.md", "", "src4", "src/settings.py")), 0))
+    # logins in URLs and short names; encoded files, digests and identifiers
+    names = ("user", "get", "profile", "settings", "element", "class", "cache", "page", "index", "order", "list", "view", "name", "date", "value", "data", "state", "handler", "version", "item")
+    for k in range(n // 2):
+        mixed, digits = word(int(rng.integers(1, 3))), some("0123456789", 3)
+        if k % 2:
+            value = (
+                some(alpha, int(rng.integers(8, 20))), some(alpha + "!$%^&*", int(rng.integers(8, 16))), mixed[:2] + digits[:1] + mixed[2:] + digits[1:], mixed + digits[:1] + some("abcdefghijklmnopqrstuvwxyz", 1) + digits[1:2],
+                mixed.translate(str.maketrans("aeio", "4310")).capitalize() + digits,
+            )[int(rng.integers(0, 5))]
+            q = pick(("", "", '"', "'"))
+            before, after = (
+                (f"{pick(parts)}{pick(('', '=', ' '))}{pick(('postgres', 'https', 'mysql', 'redis', 'amqp', 'mongodb+srv', 'ftp'))}://{pick((word(2), 'admin', 'root', ''))}:", f"@{word(2)}.{pick(('com', 'local', 'internal'))}/{pick(parts)}"),
+                (f"{pick(parts)} {pick(('', 'db_', 'admin_'))}{pick(('pw', 'pass', 'psw', 'PW', 'PASS', 'creds'))}{pick((': ', '=', ' = '))}{q}", q + " " + pick(parts)),
+            )[int(rng.integers(0, 2))]
+            rows.append((value, before, after, pick(("src/settings.py", "config/prod.env", "", "src4", "app/secrets.yml")), 1))
+        else:
+            name = [pick(names) for _ in range(int(rng.integers(2, 6)))]
+            camel, snake = name[0] + "".join(map(str.capitalize, name[1:])), "_".join(name) + pick(("", "_v2", "_v3", "_1"))
+            picture = pick(("iVBORw0KGgo", "/9j/", "R0lGODlh", "PHN2Zy", "")) + some(alpha + "+/", int(rng.integers(60, 2000)))
+            value, before, after = (
+                (pick(("sha512-", "sha384-", "sha256-")) + some(alpha + "+/", pick((43, 64, 86))) + pick(("", "=", "==")), pick(("integrity ", '"integrity": "', "integrity=")), " "), (picture, f"{pick(parts)} data:{pick(('image/png', 'font/woff', 'image/jpeg'))};base64,", '"'),
+                (camel + "".join(map(str.capitalize, name)), pick(parts) + pick((".", " ", " = ")), "("), (snake, f"{pick(parts)} {pick(('cache_key', 'sort_key', 'primary_key', 'keyboard', 'author', 'authority', 'token_type'))}{pick((' = ', ': ', '='))}" + '"', '"'),
+                (pick(("password", "pass", "<password>", "${DB_PASS}", "$PASSWORD", "xxxx", "****", "{password}", "%(password)s", "yourpassword")), f"{pick(parts)} {pick(('postgres', 'https', 'mysql'))}://{pick(('user', 'username', 'root'))}:", "@" + pick(("localhost", "host", "example.com"))),
+                (pick(("${DB_PASS}", "<password>", "required", "optional", "undefined")), f"{pick(parts)} {pick(('pw', 'pass'))}{pick((': ', '='))}", " "),
+            )[int(rng.integers(0, 6))]
+            rows.append((value, before, after, pick(("tests/data.py", "docs/readme.md", "", "src4", "src/settings.py")), 0))
     return pd.DataFrame(rows, columns=["value", "before", "after", "path", "label"])
 
 
