@@ -1,7 +1,9 @@
+import os
 import random
 import zlib
 
 import numpy as np
+import pytest
 
 from kinfolio.llm import toxicity
 
@@ -104,3 +106,17 @@ def test_training_words_are_bounded(spark):
     finally:
         toxicity.fit = fit
     assert 0 < seen[0] <= 3000 + 200
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_held_out_rows_by_language(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    rows = toxicity.score(docs, model).where("held_out").join(labels.where("toxic IS NOT NULL").select("doc_id", "toxic"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    at = rows.assign(hit=rows["predicted"] == 1, own=rows["flagged"]).groupby(["lang", "toxic"], dropna=False)[["hit", "own"]].agg(["sum", "count"])
+    print(model.thresholds, model.default, at, sep="\n")
+    toxic, clean = rows[rows["toxic"] == 1], rows[rows["toxic"] == 0]
+    assert (toxic["predicted"] == 1).mean() >= 0.7 and (clean["predicted"] == 0).mean() >= 0.97
+    for lang, of in clean.groupby("lang"):
+        assert (~of["flagged"]).mean() >= 0.9, lang
+    assert toxic[toxic["lang"] == "en"]["flagged"].mean() >= 0.85
