@@ -231,6 +231,37 @@ def test_core_distances(spark, monkeypatch):
         assert np.allclose([got[k] for k in range(len(x))], d[:, 2])
 
 
+def test_points_go_once_to_a_group_of_blocks(spark, monkeypatch):
+    """Vectors in many dimensions let all blocks meet: a point travels to groups of them, not to each."""
+    x = np.random.default_rng(4).normal(size=(120, 12))
+    x[50:55] = x[49]
+    d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), axis=1)
+    monkeypatch.setattr(metric, "BLOCK", 20)
+    monkeypatch.setattr(metric, "GROUPS", 2)
+    seen, meet = [], metric.meet
+
+    def counted(a, found, *rest):
+        seen.append((found.select("own", "group").distinct().count(), found.count()))
+        return meet(a, found, *rest)
+
+    monkeypatch.setattr(metric, "meet", counted)
+    got = {r.point: r.core for r in hdbscan.core_distances(frame(spark, x), 3).collect()}
+    assert np.allclose([got[k] for k in range(len(x))], d[:, 2]) and seen[0][0] < 0.6 * seen[0][1]
+
+
+def test_products_of_matrices_find_the_exact_pairs():
+    rng = np.random.default_rng(6)
+    for off in (0.0, 1e6):
+        a, b = rng.normal(size=(50, 7)).round(1) + off, rng.normal(size=(60, 7)).round(1) + off
+        b[:9] = a[3]
+        d = metric.distances(a, b)
+        for bound in (0.0, 2.5, np.inf):
+            i, j, e = metric.within(a, b, np.full(50, bound))
+            assert list(zip(i, j, strict=True)) == list(zip(*np.nonzero(d <= bound), strict=True)) and (e == d[i, j]).all()
+        near = metric.nearest_bound(a, b, 4)
+        assert ((d <= near[:, None]).sum(axis=1) >= 4).all()
+
+
 def test_votes_and_seeds(spark):
     rows = spark.createDataFrame([(1, 0, 0, "B"), (1, 1, 0, "A"), (2, 0, 0, "A"), (3, 0, 0, "B"), (4, 0, 1, ""), (5, 0, 1, None), (6, 0, 2, None), (7, 0, -1, "C")], ROWS)
     vote = naming.majority_names(rows)
