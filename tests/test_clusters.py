@@ -307,6 +307,21 @@ def test_embed_leaves_unreadable_faces_out(spark):
     assert sorted((r.photo_id, r.embedding) for r in assign.embed(faces, load).collect()) == [(1, [2.0, 2.0]), (3, [3.0, 2.0])]
 
 
+def test_names_are_capped_before_faces_meet_identities(spark, monkeypatch):
+    """Forty faces and thirty identities of one name: two faces meet the identities, not all."""
+    met, tagged = [], assign.tagged_faces
+    monkeypatch.setattr(assign, "tagged_faces", lambda faces, ids: (met.append(faces.count()), tagged(faces, ids))[1])
+    faces = spark.createDataFrame([(k, 0, 0, 0, 10 + k, 10, "a" if k < 40 else "b") for k in range(41)], "photo_id long, face_idx int, x long, y long, width long, height long, person_name string")
+    ids = spark.createDataFrame([(k, "a") for k in range(30)] + [(30, "b"), (31, "b"), (31, "a"), (32, "c")], "id long, name string")
+    photos = spark.createDataFrame([(k, f"/{k}", "", 0) for k in range(41)], "id long, full_path string, unique_hash string, file_size long")
+    codec = assign.Codec(lambda b: (100, 100), lambda image: image, lambda image, box: str(box[2]).encode())
+    files = spark.createDataFrame([(f"/{k}", b"x") for k in range(41)], "full_path string, content binary")
+    got = {r.identity_id: r.centroid for r in assign.crop_centroids(faces, ids, photos, files, None, codec, lambda: lambda crops: [[float(bytes(c)), 1.0] for c in crops], 2).collect()}
+    assert met == [3] and set(got) == set(range(32))
+    for k, mean in ((0, 13.5), (29, 13.5), (30, 65.0), (31, 13.5)):
+        assert np.allclose(got[k], np.array([mean, 1.0]) / np.hypot(mean, 1.0))
+
+
 @pytest.mark.parametrize("sigma", [30.0, 0.0])
 def test_features_and_seeds(spark, sigma):
     faces = spark.createDataFrame([(1, 0, [3.0, 4.0], 10.0), (2, 0, [0.0, 0.0], 0.0)], "photo_id long, face_idx int, embedding array<float>, days double")
