@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +15,10 @@ from ..functions import vectors
 
 #: Fixed values of the gallery: the largest side of a shown face in pixels, and its JPEG quality.
 LARGEST, QUALITY = 140, 80
-#: Bytes of crops that a task gathers before it passes them on.
-BATCH_BYTES = 16 << 20
+#: Bytes and rows of crops that a task gathers before it passes them on.
+BATCH_BYTES, BATCH_ROWS = 16 << 20, 10_000
+#: By how much of its sides a face's rectangle is widened on each side.
+PADDING = 0.3
 
 
 @dataclass(frozen=True)
@@ -43,13 +45,11 @@ def read_file(path: str) -> bytes | None:
         return None
 
 
-def crops(faces: DataFrame, photos: DataFrame, files: DataFrame | None, thumbnails: DataFrame | None, codec: Codec, padding: float = 0.3, largest: int = LARGEST, quality: int = QUALITY) -> DataFrame:
-    """photo_id, face_idx, crop, jpeg: each padded face cut from its image, and as it is shown; unreadable or tiny ones go.
+def with_faces(faces: DataFrame, photos: DataFrame, files: DataFrame | None, thumbnails: DataFrame | None) -> DataFrame:
+    """photo_id, full_path, faces, content, data: a row per photo with faces, its file's bytes and its thumbnail's, if any.
 
-    An image is the photo's file; if there is none, or it cannot be opened, the thumbnail of (unique_hash, file_size), where an
-    empty hash or size 0 finds none. ``files(full_path, content)`` is a table of files; without it a task reads the files of
-    its photos by their ``full_path``, one at a time, and only of photos with faces. An image is opened once for all its
-    faces. Rectangles apply unscaled, whether the image is a file or a thumbnail.
+    A thumbnail is that of (unique_hash, file_size), where an empty hash or size 0 finds none. ``files(full_path, content)`` is
+    a table of files; without it ``content`` is NULL, and files are read by their path where images are cut.
     """
     spark = faces.sparkSession
     # a photo's faces are its unit
@@ -62,52 +62,79 @@ def crops(faces: DataFrame, photos: DataFrame, files: DataFrame | None, thumbnai
     if files is None:
         # a row is a path, but its work is an image
         rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    by_path = files is None
+    return rows
+
+
+def cuts(batches: Iterator[pa.RecordBatch], codec: Codec, by_path: bool, padding: float, shown: tuple[int, int] | None = None) -> Iterator[tuple]:
+    """photo_id, face_idx, crop, jpeg of rows of :func:`with_faces`, inside a task: one image at a time, opened once.
 
-    def opened(r: Any) -> Any:
-        for data in (lambda: read_file(r.full_path) if by_path and r.full_path else r.content, lambda: r.data):
-            found = data()
+    ``shown``: the largest side and quality of the jpeg; None leaves it out.
+    """
+
+    def opened(path: str | None, content: pa.Scalar, data: pa.Scalar) -> Any:
+        for get in (lambda: read_file(path) if by_path and path else content.as_py(), data.as_py):
+            found = get()
             if found is not None:
                 try:
-                    image = codec.decode(bytes(found))
+                    image = codec.decode(found)
                     if image is not None:
                         return image
                 except Exception:  # any codec's error means an unreadable image
                     continue
         return None
 
-    def cuts(r: Any) -> Iterator[tuple]:
-        image = opened(r)
-        if image is None:
-            return
-        for f in r.faces:
+    for batch in batches:
+        lists, column = batch.column("faces"), batch.column
+        ends = lists.offsets.to_pylist()
+        flat = lists.values.slice(ends[0], ends[-1] - ends[0])
+        found = list(zip(*(flat.field(n).to_pylist() for n in ("face_idx", "x", "y", "width", "height")), strict=True))
+        for k, (photo_id, path) in enumerate(zip(column("photo_id").to_pylist(), column("full_path").to_pylist(), strict=True)):
+            image = opened(path, column("content")[k], column("data")[k])
+            if image is None:
+                continue
             try:
-                width, height = codec.size(image)
-                px, py = int(f["width"] * padding), int(f["height"] * padding)
-                box = (max(0, f["x"] - px), max(0, f["y"] - py), min(width, f["x"] + f["width"] + px), min(height, f["y"] + f["height"] + py))
-                if box[2] - box[0] < 4 or box[3] - box[1] < 4:
-                    continue
-                crop = codec.cut(image, box)
-                shown = codec.thumb(image, box, largest, quality) if codec.thumb else crop
-            except Exception:  # the face is left out, its neighbours stay
+                wide, high = codec.size(image)
+            except Exception:  # an image without a size is unreadable
                 continue
-            if crop is not None:
-                yield r.photo_id, f["face_idx"], crop, shown
+            for face_idx, x, y, width, height in found[ends[k] - ends[0] : ends[k + 1] - ends[0]]:
+                try:
+                    px, py = int(width * padding), int(height * padding)
+                    box = (max(0, x - px), max(0, y - py), min(wide, x + width + px), min(high, y + height + py))
+                    if box[2] - box[0] < 4 or box[3] - box[1] < 4:
+                        continue
+                    crop = codec.cut(image, box)
+                    jpeg = None if shown is None else codec.thumb(image, box, *shown) if codec.thumb else crop
+                except Exception:  # the face is left out, its neighbours stay
+                    continue
+                if crop is not None:
+                    yield photo_id, face_idx, crop, jpeg
+
+
+def crops(faces: DataFrame, photos: DataFrame, files: DataFrame | None, thumbnails: DataFrame | None, codec: Codec, padding: float = PADDING, largest: int = LARGEST, quality: int = QUALITY) -> DataFrame:
+    """photo_id, face_idx, crop, jpeg: each padded face cut from its image, and as it is shown; unreadable or tiny ones go.
+
+    An image is the photo's file; if there is none, or it cannot be opened, the thumbnail. Files and thumbnails as in
+    :func:`with_faces`; without ``files`` a task reads the files of its photos by their ``full_path``, one at a time, and only
+    of photos with faces. An image is opened once for all its faces. Rectangles apply unscaled, whether the image is a file or
+    a thumbnail.
+    """
+    by_path = files is None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
-        frame = lambda: pd.DataFrame(out, columns=["photo_id", "face_idx", "crop", "jpeg"])
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                for row in cuts(r):
-                    out.append(row)
-                    held += len(row[2]) + len(row[3] or b"")
-                if held >= BATCH_BYTES:
-                    yield frame()
-                    out, held = [], 0
-        yield frame()
-
-    return rows.mapInPandas(run, "photo_id long, face_idx int, crop binary, jpeg binary")
+        for row in cuts(batches, codec, by_path, padding, (largest, quality)):
+            out.append(row)
+            held += len(row[2]) + len(row[3] or b"")
+            if held >= BATCH_BYTES or len(out) >= BATCH_ROWS:
+                yield frame(out)
+                out, held = [], 0
+        yield frame(out)
+
+    def frame(out: list[tuple]) -> pa.RecordBatch:
+        kinds = {"photo_id": pa.int64(), "face_idx": pa.int32(), "crop": pa.binary(), "jpeg": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds.values())], list(kinds))
+
+    return with_faces(faces, photos, files, thumbnails).mapInArrow(run, "photo_id long, face_idx int, crop binary, jpeg binary")
 
 
 def crop_boxes(faces: DataFrame, photos: DataFrame, padding: float = 0.3) -> DataFrame:

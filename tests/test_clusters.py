@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kinfolio.operators import assign, gallery, hdbscan, metric, naming, similarity
 from kinfolio.operators.ordinal import with_ordinal
+from kinfolio.sources import images
 
 POINTS = "point long, features array<double>"
 ROWS = "photo_id long, face_idx int, cluster_id long, person_name string"
@@ -307,6 +308,39 @@ def test_embed_leaves_unreadable_faces_out(spark):
     assert sorted((r.photo_id, r.embedding) for r in assign.embed(faces, load).collect()) == [(1, [2.0, 2.0]), (3, [3.0, 2.0])]
 
 
+def test_faces_are_cut_and_embedded_in_one_pass(spark):
+    """One pass of Python, in batches that go on across photos, without the gallery's thumbnails; equal to crops, then embed."""
+    faces = spark.createDataFrame([(k, j, 5 + j, 5, 10 + k, 10 if k != 3 else 1, None) for k in range(7) for j in range(2)], "photo_id long, face_idx int, x long, y long, width long, height long, person_name string")
+    photos = spark.createDataFrame([(k, f"/{k}", f"h{k}", 1) for k in range(7)], "id long, full_path string, unique_hash string, file_size long")
+    files = spark.createDataFrame([(f"/{k}", b"broken" if k in (1, 2) else b"file") for k in range(7) if k != 5], "full_path string, content binary")
+    thumbs = spark.createDataFrame([("h2", 1, b"thumb"), ("h5", 1, b"thumb")], "unique_hash string, file_size long, data binary")
+
+    def decode(data):
+        if data == b"broken":
+            raise ValueError
+        return data
+
+    def load():
+        def model(crops):
+            if len(crops) > 3 or any(c.endswith(b"(1, 2, 23, 18)") for c in crops):
+                raise ValueError
+            return [None if c.endswith(b"(2, 2, 26, 18)") else [float(len(crops)), *map(float, c.split(b"(")[1].rstrip(b")").split(b","))] for c in crops]
+
+        return model
+
+    cut = lambda image, box: image + repr(box).encode()
+    shrinks = assign.Codec(decode, lambda image: (100, 80), cut, lambda *a: 1 / 0)
+    codec = assign.Codec(decode, lambda image: (100, 80), cut)
+    found = assign.embed_faces(photos, faces, files, thumbs, shrinks, load, 3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapIn") == 1
+    got = {(r.photo_id, r.face_idx): r.embedding[1:] for r in found.collect()}
+    two = {(r.photo_id, r.face_idx): r.embedding[1:] for r in assign.embed(images.crops(faces, photos, files, thumbs, codec), load, batch_size=3).collect()}
+    # photo 1 has no readable image, 3 only low faces; the model fails on (4, 0) and gives nothing for (6, 1)
+    assert got == two and set(got) == {(0, 0), (0, 1), (2, 0), (2, 1), (4, 1), (5, 0), (5, 1), (6, 0)}
+    assert got[2, 1] == [3.0, 2.0, 21.0, 18.0] and got[5, 0] == [1.0, 2.0, 24.0, 18.0]
+
+
 def test_names_are_capped_before_faces_meet_identities(spark, monkeypatch):
     """Forty faces and thirty identities of one name: two faces meet the identities, not all."""
     met, tagged = [], assign.tagged_faces

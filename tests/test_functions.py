@@ -31,6 +31,13 @@ def test_rect(spark, xml, want):
     assert (tuple(got) if got else None) == want
 
 
+def test_sides_of_a_rect(spark):
+    """Read off a string that is known to be a rectangle; a number beyond 64 bits is NULL."""
+    xml = ' <rect x="1" y="99999999999999999999" width="33" height="4"/>\n'
+    assert one(spark, parse.is_rect(F.lit(xml))) and not one(spark, parse.is_rect(F.lit(xml + "z")))
+    assert tuple(one(spark, parse.sides(F.lit(xml)))) == tuple(one(spark, parse.rect(F.lit(xml)))) == (1, None, 33, 4)
+
+
 @pytest.mark.parametrize(
     ("path", "want"),
     [("/2009-08-23 new in Germany", dt.date(2009, 8, 23)), ("/Family/2009-08-23", None), ("/2009-02-30", None), ("/0000-01-01", None), ("2009-08-23", None), (None, None)],
