@@ -1,3 +1,4 @@
+import collections
 import itertools
 import os
 import random
@@ -356,6 +357,21 @@ def test_names_are_capped_before_faces_meet_identities(spark, monkeypatch):
         assert np.allclose(got[k], np.array([mean, 1.0]) / np.hypot(mean, 1.0))
 
 
+def test_faces_of_a_common_name_meet_identities_in_blocks(spark):
+    """Ninety faces and seventy identities of one name: no task makes more than a fraction of their pairs."""
+    faces = spark.createDataFrame([(k, 0, "a" if k < 90 else "b" if k < 93 else None) for k in range(95)], "photo_id long, face_idx int, person_name string")
+    ids = spark.createDataFrame([(k, "a") for k in range(70)] + [(70, "b"), (71, None), (72, "c"), (0, "b")], "id long, name string")
+    columns = ["photo_id", "face_idx", "person_name", "identity_id"]
+    found = assign.tagged_faces(faces, ids, 10)
+    assert found.columns == assign.tagged_faces(faces, ids).columns
+    rows = found.select(*columns, F.spark_partition_id().alias("task")).collect()
+    want = [(f, 0, "a", i) for f in range(90) for i in range(70)] + [(f, 0, "b", i) for f in range(90, 93) for i in (0, 70)]
+    assert sorted(tuple(r)[:4] for r in rows) == sorted(want)
+    made = collections.Counter(r.task for r in rows)
+    assert len(made) > 20 and max(made.values()) < 1000
+    assert assign.tagged_faces(faces, ids.where("name = 'c'"), 10).count() == 0
+
+
 @pytest.mark.parametrize("sigma", [30.0, 0.0])
 def test_features_and_seeds(spark, sigma):
     faces = spark.createDataFrame([(1, 0, [3.0, 4.0], 10.0), (2, 0, [0.0, 0.0], 0.0)], "photo_id long, face_idx int, embedding array<float>, days double")
