@@ -498,3 +498,35 @@ def test_blobs_are_floats(spark):
     got = {r.k: r.v for r in rows.select("k", vectors.from_blob("b").alias("v")).collect()}
     want = [[1.0, -2.5, 3.0], None, [], [], [7.0, 8.0], [9.0]] * 50
     assert [got[k] for k in range(300)] == want
+
+
+def test_pairs_are_sought_in_tiles():
+    """No whole matrix of two sides is in memory, in any number of tiles, and what isn't finite hides no other pair."""
+    import tracemalloc
+
+    rng = np.random.default_rng(14)
+    a, b = rng.normal(size=(2600, 8)), rng.normal(size=(4500, 8))
+    b[4300:4310] = a[2500]
+    a[7, 3], b[9, 2] = np.nan, np.inf
+    tracemalloc.start()
+    i, j, e = metric.within(a, b, np.full(len(a), 0.9))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    with np.errstate(invalid="ignore"):
+        d = metric.distances(a, b)
+    assert list(zip(i, j, strict=True)) == list(zip(*np.nonzero(d <= 0.9), strict=True)) and (e == d[i, j]).all()
+    assert {(2500, k) for k in range(4300, 4310)} <= set(zip(i.tolist(), j.tolist(), strict=True))
+    assert peak < 4500 * 2600
+
+
+def test_points_of_dense_groups_search_about_once(spark, monkeypatch):
+    """Groups larger than what is kept of a point's nearest: their points learn what lies outside in one search, not in every round."""
+    rng = np.random.default_rng(15)
+    x = np.concatenate([c + 0.01 * rng.normal(size=(50, 12)) for c in rng.normal(size=(4, 12))] + [rng.normal(size=(40, 12))])
+    whole = labels(frame(spark, x), cut=float("inf"))
+    monkeypatch.setattr(metric, "BLOCK", 40)
+    monkeypatch.setattr(hdbscan, "NEAR", 3)
+    searched, probes = [], metric.probes
+    monkeypatch.setattr(metric, "probes", lambda rows, blocks, keep=None, n=None: (searched.append(n or 0), probes(rows, blocks, keep, n))[1])
+    assert labels(frame(spark, x), cut=float("inf")) == whole and len(set(whole)) > 4
+    assert 0 < sum(searched) < 1.2 * len(x)
