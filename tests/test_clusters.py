@@ -530,3 +530,14 @@ def test_points_of_dense_groups_search_about_once(spark, monkeypatch):
     monkeypatch.setattr(metric, "probes", lambda rows, blocks, keep=None, n=None: (searched.append(n or 0), probes(rows, blocks, keep, n))[1])
     assert labels(frame(spark, x), cut=float("inf")) == whole and len(set(whole)) > 4
     assert 0 < sum(searched) < 1.2 * len(x)
+
+
+def test_trees_are_joined_alike_in_one_task_and_by_stars(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-40, 40, (45, 2)) * 2**55 if a != b]
+    df = spark.createDataFrame([*pairs, *((b, a) for a, b in pairs[:9])], "tree long, other long")
+    run = lambda: {r.node: r.component for r in hdbscan.contracted(df).collect()}
+    one = run()
+    monkeypatch.setattr(hdbscan, "JOINED", 0)
+    assert one == run() and set(one) == {v for p in pairs for v in p} and all(one[a] == one[b] <= min(a, b) for a, b in pairs)
+    assert len(set(one.values())) > 2
